@@ -31,6 +31,12 @@ def op4_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.decontam import find_contamination, judge
+
+    return judge(find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.token_counts import count_tokens
 
@@ -41,9 +47,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_near_dedup": op2_near_dedup,
         "op4_piece_dropout": op4_piece_dropout,
+        "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lattica.llm import oracles
+
+    return {"op2_near_dedup": oracles.OP2, "op5_decontamination": oracles.OP5}
