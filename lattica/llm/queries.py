@@ -19,6 +19,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.pii import digest, find_personal_data
+
+    return digest(find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.near_dedup import near_duplicates
 
@@ -43,12 +49,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.toxicity import score_toxicity, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_personal_data": op1_personal_data,
         "op2_near_dedup": op2_near_dedup,
         "op4_piece_dropout": op4_piece_dropout,
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
+        "op9_toxicity": op9_toxicity,
     }
 
 
