@@ -31,6 +31,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.quality import judge
+
+    return judge(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op4_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.pieces import encode
 
@@ -49,6 +55,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op8_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.toxicity import score_toxicity, train
 
@@ -60,9 +72,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_personal_data": op1_personal_data,
         "op2_near_dedup": op2_near_dedup,
+        "op3_divergence": op3_divergence,
         "op4_piece_dropout": op4_piece_dropout,
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
+        "op8_linked_secrets": op8_linked_secrets,
         "op9_toxicity": op9_toxicity,
     }
 

@@ -40,7 +40,7 @@ REACH = 300
 KINDS = (*BASE, "linked_id", "linked_secret")
 
 #: Stand between matches and the rest; where a text holds them itself they are taken for OTHER, which no pattern matches.
-CUT, OTHER = "", ""
+CUT, OTHER = "\ue000", "\ue001"
 _SPANS = "array<struct<kind:int,start:bigint,end:bigint>>"
 
 
