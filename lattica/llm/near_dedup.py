@@ -8,10 +8,11 @@
    Confirmed links are contracted, which takes large groups of copies down to
    one component in a number of pairs proportional to their size.
 3. Trees: independent trees branch vertices by chosen minwise tokens. A node
-   whose vertices are all in one component is done; a node of at most ``leaf``
-   vertices is compared exhaustively across components; a larger one branches
-   again, by 1 / threshold tokens on average. Nodes still large at the last
-   depth are compared exhaustively too, in blocks of ``leaf`` vertices.
+   whose vertices are all in one component is done. A node of at most ``leaf``
+   vertices, or of at most so many outside its largest component, is compared
+   exhaustively across components (the largest component in blocks of ``leaf``).
+   Any other node branches again, by 1 / threshold tokens on average. Nodes that
+   are still large at the last depth are compared exhaustively in blocks, too.
 4. Every candidate that its signature doesn't rule out is confirmed on the full
    sets, recomputed from the texts; components follow from the links.
 """
@@ -30,15 +31,15 @@ from lattica.llm.textscan import SPACES, U64, Words, as_batches, mix, slices, te
 from lattica.operators.components import connected_components
 from lattica.session import cut
 
-#: Minwise values in a signature, each kept as 32 bits.
-MINWISE = 64
+#: Minwise values in a signature, each kept as 16 bits, and in the short sketch, each kept as 8.
+MINWISE, SHORT = 128, 64
 _odd = np.random.default_rng(7).integers(0, 2**63, MINWISE, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def least_agree(percent: int) -> float:
-    """Lowest share of equal minwise values at which a pair is still confirmed: five standard deviations below the threshold."""
+def least_agree(percent: int, values: int) -> float:
+    """Lowest share of equal minwise values at which a pair is still a candidate: 4.5 standard deviations below the threshold."""
     p = percent / 100
-    return p - 5 * (p * (1 - p) / MINWISE) ** 0.5
+    return p - 4.5 * (p * (1 - p) / values) ** 0.5
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -66,7 +67,7 @@ def signature(shingles: np.ndarray) -> bytes:
     least = np.full(MINWISE, U64(2**64 - 1))
     for k in range(0, len(shingles), 4096):
         np.minimum(least, (shingles[k : k + 4096, None] * _odd).min(0), out=least)
-    return (mix(least) >> U64(32)).astype("<u4").tobytes()
+    return (mix(least) >> U64(48)).astype("<u2").tobytes()
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
@@ -85,8 +86,8 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _path(tree: F.Column, place: F.Column) -> F.Column:
-    """The minwise value at a place of the signature (4 bytes), with its tree and place, as a node key."""
-    return F.xxhash64(tree, place, F.substring(F.col("sig"), place * 4 + 1, 4))
+    """The minwise value at a place of the signature (2 bytes), with its tree and place, as a node key."""
+    return F.xxhash64(tree, place, F.substring(F.col("sig"), place * 2 + 1, 2))
 
 
 def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
@@ -97,8 +98,8 @@ def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, MINWISE) for c in ("sig_a", "sig_b"))
-                near = pa.array((x == y).mean(1) >= least_agree(percent))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, MINWISE) for c in ("sig_a", "sig_b"))
+                near = pa.array((x == y).mean(1) >= least_agree(percent, MINWISE))
                 yield batch.select(["a", "b"]).filter(near).cast(schema)
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
@@ -123,28 +124,46 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def _spokes(on_path: DataFrame, percent: int) -> DataFrame:
+    """For each vertex, the pivot (smallest vertex on a path) that its short sketch is nearest to, if near enough."""
+    middle = on_path.groupBy("node").agg(F.min(F.struct("id", "short")).alias("m"), F.count("*").alias("c")).where("c > 1")
+    met = on_path.join(middle, "node").where("id != m.id").select(F.col("id").alias("a"), F.col("m.id").alias("b"), "short", F.col("m.short").alias("other"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SHORT) for c in ("short", "other"))
+                agree = (x == y).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree, pa.int64())], schema=schema).filter(pa.array(agree >= SHORT * least_agree(percent, SHORT)))
+
+    near = met.mapInArrow(run, "a long, b long, agree long")
+    return near.groupBy("a").agg(F.min_by("b", F.struct(-F.col("agree"), F.col("b"))).alias("b"))
+
+
 def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within each leaf (a list of at most a few hundred vertices), by signature and size."""
+    """Pairs across components within each leaf (a list of a bounded number of vertices), by short sketch and size."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least = SHORT * least_agree(percent, SHORT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found = [np.zeros((0, 2), np.int64)]
             for members in batch.column("members").to_pylist():
-                ids, comp, n, right = (np.array([m[c] for m in members], np.int64) for c in ("id", "comp", "n", "side"))
-                sig = np.frombuffer(b"".join(m["sig"] for m in members), "<u4").reshape(-1, MINWISE)
+                ids, comp, n, side = (np.array([m[c] for m in members], np.int64) for c in ("id", "comp", "n", "side"))
+                short = np.frombuffer(b"".join(m["short"] for m in members), np.uint8).reshape(-1, SHORT)
                 for i in range(len(ids)):
-                    j = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (ids > ids[i]) & ((right != right[i]) | (right < 0)))
+                    j = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & ((side != side[i]) | (side < 0)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+                    j = j[(short[j] == short[i]).sum(1) >= least]
                     if len(j):
-                        j = j[(sig[j] == sig[i]).mean(1) >= least_agree(percent)]
-                        found.extend((ids[i], x) for x in ids[j])
-            found = np.array(found, np.int64).reshape(-1, 2)
-            yield from as_batches([{"a": found[:, 0], "b": found[:, 1]}], schema)
+                        found.append(np.stack([np.full(len(j), ids[i]), ids[j]], 1))
+            both = np.concatenate(found)
+            yield from as_batches([{"a": both[:, 0], "b": both[:, 1]}], schema)
 
     return leaves.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, star_trees: int = 4, leaf: int = 96, depth: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 12, star_trees: int = 4, leaf: int = 128, depth: int = 5) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
 
     Texts are linked when 100 * common >= percent * all over their distinct
@@ -158,35 +177,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     sketched = cut(sketch(docs, k))
     some = sketched.where("n_shingles > 0 and doc_id is not null")
     sets = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    vertices = cut(sets.select("id", F.col("n_shingles").alias("n"), "sig", "fp1", "fp2"))
+    short = F.expr(f"unhex(array_join(transform(sequence(0, {SHORT - 1}), i -> hex(substring(sig, 2 * i + 1, 1))), ''))")
+    vertices = cut(sets.select("id", F.col("n_shingles").alias("n"), "sig", short.alias("short"), "fp1", "fp2"))
 
     tree = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tree")
     # stars, by tree, token and size class
-    on_path = vertices.select("id", "n", "sig", tree(star_trees)).select("id", F.xxhash64(_path(F.col("tree"), F.col("tree")), F.floor(F.log("n") / F.log(F.lit(1.25)))).alias("node"))
-    middle = on_path.groupBy("node").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").select("node", "b")
-    spokes = on_path.join(middle, "node").where("id != b").select(F.col("id").alias("a"), "b").distinct()
-    links = cut(confirm(_agreeing(spokes, vertices, percent), docs, k, percent))
-    first = cut(connected_components(links, "a", "b"))
+    size_class = F.floor(F.log("n") / F.log(F.lit(1.25)))
+    on_path = vertices.select("id", "n", "sig", "short", tree(star_trees)).select("id", "short", F.xxhash64(_path(F.col("tree"), F.col("tree")), size_class).alias("node"))
+    links = cut(confirm(_agreeing(_spokes(on_path, percent), vertices, percent), docs, k, percent))
+    first = connected_components(links, "a", "b")
     # trees
-    with_comp = vertices.join(first.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "sig")
-    with_comp = cut(with_comp)
-    at = with_comp.select("id", "comp", "sig", tree(trees)).select("id", "comp", "tree", _path(F.col("tree"), F.col("tree")).alias("node"))
+    with_comp = cut(vertices.join(first.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "sig", "short"))
+    at = with_comp.select("id", "comp", F.posexplode(F.array(*[_path(F.lit(t), F.lit(t)) for t in range(trees)])).alias("tree", "node"))
     pairs = None
     for level in range(1, depth + 1):
-        sizes = at.groupBy("node").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("node", "c")
+        by_comp = at.groupBy("node", "comp").agg(F.count("*").alias("c"))
+        sizes = by_comp.groupBy("node").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+        sizes = sizes.select("node", "c", F.col("top.comp").alias("top"), (F.col("c") - F.col("top.c")).alias("outside"))
         at = cut(at.join(sizes, "node"))
+        last = level == depth
         small = at.where(F.col("c") <= leaf).select("node", "id", F.lit(-1).alias("side"))
-        pairs = _union(pairs, _leaf_pairs(_gather(small, with_comp), percent).distinct())
-        big = at.where(F.col("c") > leaf).select("id", "comp", "tree", "node")
-        if big.isEmpty():
-            break
-        if level == depth:
-            pairs = _union(pairs, _leaf_pairs(_gather(_blocks(at.where(F.col("c") > leaf), leaf), with_comp), percent).distinct())
+        lopsided = at.where((F.col("c") > leaf) & (F.col("outside") <= leaf))
+        big = at.where(F.col("outside") > leaf)
+        members = small.union(_against_largest(lopsided, leaf))
+        if last:
+            members = members.union(_blocks(big, leaf))
+        pairs = _union(pairs, _leaf_pairs(_gather(members, with_comp), percent).distinct())
+        if last or big.isEmpty():
             break
         # one more token always, and a second one for a share of the nodes: 1 / threshold on average
         places = F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(MINWISE)), F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(100)) < F.lit(10_000 // percent - 100), F.pmod(F.xxhash64("node", F.lit(3)), F.lit(MINWISE))))
-        at = big.join(with_comp.select("id", "sig"), "id").withColumn("place", F.explode(F.filter(places, lambda x: x.isNotNull())))
-        at = at.select("id", "comp", "tree", F.xxhash64("node", _path(F.col("tree"), F.col("place").cast("int"))).alias("node"))
+        chosen = big.select("id", "node", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("place")).groupBy("id").agg(F.collect_list(F.struct("node", "place")).alias("paths"))
+        tokens = chosen.join(with_comp.select("id", "comp", "sig"), "id")
+        children = F.transform("paths", lambda x: F.xxhash64(x["node"], x["place"], F.substring(F.col("sig"), (x["place"] * 2 + 1).cast("int"), F.lit(2))))
+        at = tokens.select("id", "comp", F.posexplode(children).alias("tree", "node"))
+    pairs = _agreeing(pairs.distinct(), vertices, percent)
     more = confirm(cut(pairs.distinct()), docs, k, percent)
     comp_of = with_comp.select("id", "comp")
     joined = more.join(comp_of.withColumnsRenamed({"id": "a", "comp": "ca"}), "a").join(comp_of.withColumnsRenamed({"id": "b", "comp": "cb"}), "b").select("ca", "cb")
@@ -204,8 +229,18 @@ def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
 
 def _gather(members: DataFrame, vertices: DataFrame) -> DataFrame:
     """One row for each leaf with its members; a leaf has a bounded number of them."""
-    full = members.join(vertices, "id")
-    return full.groupBy("node").agg(F.collect_list(F.struct("id", "comp", "n", "side", "sig")).alias("members"))
+    full = members.join(vertices.select("id", "comp", "n", "short"), "id")
+    return full.groupBy("node").agg(F.collect_list(F.struct("id", "comp", "n", "side", "short")).alias("members"))
+
+
+def _against_largest(nodes: DataFrame, leaf: int) -> DataFrame:
+    """Cut the largest component of each node into blocks of about ``leaf`` vertices; those outside it, few, go to each block."""
+    n = F.ceil((F.col("c") - F.col("outside")) / leaf).cast("int")
+    inside = F.col("comp") == F.col("top")
+    block = F.when(inside, F.array(F.pmod(F.xxhash64("id"), n).cast("int"))).otherwise(F.sequence(F.lit(0), n - 1))
+    dealt = nodes.select("node", "id", inside.alias("inside"), F.explode(block).alias("block"))
+    side = F.when(F.col("inside"), 0).when(F.col("block") == 0, -1).otherwise(1)
+    return dealt.select(F.xxhash64("node", "block").alias("node"), "id", side.alias("side"))
 
 
 def _blocks(big: DataFrame, leaf: int) -> DataFrame:

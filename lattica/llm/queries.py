@@ -55,6 +55,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.url_filter import judge, rule_labels, train
+
+    pages = _table(spark, sf_dir, "pages")
+    return judge(pages, train(rule_labels(pages))).drop("block_score")
+
+
 def op8_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.secrets import digest, find_secrets
 
@@ -76,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_piece_dropout": op4_piece_dropout,
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
+        "op7_url_trees": op7_url_trees,
         "op8_linked_secrets": op8_linked_secrets,
         "op9_toxicity": op9_toxicity,
     }
