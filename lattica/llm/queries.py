@@ -75,6 +75,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_personal_data": op1_personal_data,
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_trees": op7_url_trees,
         "op8_linked_secrets": op8_linked_secrets,
         "op9_toxicity": op9_toxicity,
+        "op10_main_text": op10_main_text,
     }
 
 
