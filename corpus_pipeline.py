@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage reads the Parquet table that the one before it wrote."""
+"""The corpus pipeline: each stage reads the Parquet table that the one before it wrote.
+
+Every stage works on all rows of its predecessor and its decisions take effect.
+Rows are never dropped but by a stage's own verdict: a row without doc_id passes
+the filters, as no verdict names it.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +12,52 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.near_dedup import near_duplicates
-from lattica.llm.pieces import encode
+from lattica.llm import decontam, near_dedup, pieces, pii, toxicity
 from lattica.llm.queries import piece_model
 from lattica.session import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    stay = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go; it learns from the labels of the documents given."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels))
+    return _without(docs, scored.where("predicted = 1"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
+    return _without(docs, near_dedup.near_duplicates(docs, k=5, percent=80).where("not kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which windows of benchmark items make up 5 % or more go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontam.judge(decontam.find_contamination(docs, benchmark)).where("contaminated"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in every text give way to their kinds; n_chars follows the text."""
+    return pii.mask_spans(docs, columns=("lang", "source", "n_chars")).select("doc_id", "text", "lang", "source", F.when(F.col("n_masked") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
-def _pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every text; the ids decode to it."""
-    ids = encode(docs, piece_model()).select("doc_id", "n_bytes", "n_tokens", "lossless", "token_ids")
-    return ids
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as piece ids with merge-dropout, and whether they decode to it."""
+    return pieces.encode(docs, piece_model())
 
 
-STAGES = [("near_dedup", _near_dedup), ("pieces", _pieces)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("pieces", encode_pieces),
+]
 
 #: Trained and seeded models take part in the stages, which SQL can't express.
 ORACLE_SQL = None

@@ -259,13 +259,13 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def mask_spans(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """doc_id, text with every span replaced by its kind in angle brackets, n_masked; overlapping spans become one.
+def mask_spans(docs: DataFrame, tagger: Tagger | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text with every span replaced by its kind in angle brackets, n_masked, and the named ``columns`` as they are.
 
-    A null text stays null.
+    Overlapping spans become one. A null text stays null.
     """
     tagger = tagger or train(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_masked", pa.int64())])
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,6 +282,8 @@ def mask_spans(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                         done = max(done, b)
                     out.append("".join([*pieces, text[done:]]) if spans else text)
                     counts.append(n)
-                yield from as_batches([{"doc_id": part.column("doc_id"), "text": out, "n_masked": counts}], schema)
+                arrays = [part.column("doc_id"), pa.array(out, pa.string()), pa.array(counts, pa.int64()), *[part.column(c) for c in columns]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "n_masked", *columns])
 
-    return needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, text string, n_masked long")
+    ddl = ", ".join(["doc_id long, text string, n_masked long", *[f"`{c}` {kinds[c]}" for c in columns]])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns).mapInArrow(run, ddl)
