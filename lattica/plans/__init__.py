@@ -1 +1,16 @@
+"""The library's named queries."""
 
+from __future__ import annotations
+
+from lattica.plans import registry, store_queries
+
+
+def all_queries() -> dict[str, registry.Query]:
+    return registry.QUERIES
+
+
+def all_oracles() -> dict[str, str]:
+    return registry.ORACLES
+
+
+__all__ = ["all_oracles", "all_queries", "store_queries"]
