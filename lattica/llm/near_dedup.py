@@ -3,18 +3,21 @@
 1. Every text becomes its set of distinct k-word shingles (64-bit hashes), of
    which a row keeps the size, a 128-bit fingerprint of the whole set and a
    signature of minwise values. Equal sets are one vertex from here on.
-2. Stars: in each of a few trees a vertex chooses the path of one minwise token;
-   it is compared with the smallest vertex on the same path and of like size.
-   Confirmed links are contracted, which takes large groups of copies down to
-   one component in a number of pairs proportional to their size.
+2. Stars: in each of a few trees a vertex chooses the path of one minwise token
+   and meets the pivots of the path (three of its vertices, of like size). It is
+   compared with the pivots it agrees with best. Confirmed links are contracted,
+   which takes large groups of copies down to a few components in a number of
+   pairs proportional to their size.
 3. Trees: independent trees branch vertices by chosen minwise tokens. A node
    whose vertices are all in one component is done. A node of at most ``leaf``
    vertices, or of at most so many outside its largest component, is compared
    exhaustively across components (the largest component in blocks of ``leaf``).
    Any other node branches again, by 1 / threshold tokens on average. Nodes that
-   are still large at the last depth are compared exhaustively in blocks, too.
-4. Every candidate that its signature doesn't rule out is confirmed on the full
-   sets, recomputed from the texts; components follow from the links.
+   are still large at the last depth are compared exhaustively in blocks, too. A
+   vertex with many shingles counts as several, so a leaf's sets fit a task.
+4. In a leaf, vertices that a signature puts near one of another component get
+   their full sets, and links are counted out on these; only links that join
+   components leave the leaf. Components follow from the links.
 """
 
 from __future__ import annotations
@@ -27,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
+from lattica.llm.pieces import ragged_take
 from lattica.llm.textscan import SPACES, U64, Words, as_batches, mix, slices, text_bytes
 from lattica.operators.components import connected_components
 from lattica.session import cut
 
-#: Minwise values in a signature, each kept as 16 bits, and in the short sketch, each kept as 8.
-MINWISE, SHORT = 128, 64
+#: Minwise values in a signature, each kept as 8 bits, those of them in its short form, and those kept as 16 bits to choose paths by.
+MINWISE, SHORT, PATHS = 256, 64, 64
+#: Shingles of a vertex that count as one.
+UNIT = 1000
 _odd = np.random.default_rng(7).integers(0, 2**63, MINWISE, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -62,17 +68,18 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return sets
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """The smallest values of a set under MINWISE hash functions."""
+def signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """The smallest values of a set under MINWISE hash functions: 8 bits of each, and 16 bits of the first PATHS."""
     least = np.full(MINWISE, U64(2**64 - 1))
-    for k in range(0, len(shingles), 4096):
-        np.minimum(least, (shingles[k : k + 4096, None] * _odd).min(0), out=least)
-    return (mix(least) >> U64(48)).astype("<u2").tobytes()
+    for k in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[k : k + 1024, None] * _odd).min(0), out=least)
+    least = mix(least)
+    return (least >> U64(56)).astype(np.uint8).tobytes(), (least[:PATHS] >> U64(32)).astype("<u2").tobytes()
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (fingerprint of the set) and sig of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sig", pa.binary())])
+    """doc_id, n_shingles, fp1, fp2 (fingerprint of the set), sig and tokens of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,14 +87,15 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(part.column("text"), k)
                 fp1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 fp2 = np.array([mix(s + U64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                yield from as_batches([{"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "fp1": fp1, "fp2": fp2, "sig": [signature(s) for s in sets]}], schema)
+                signed = [signature(s) for s in sets]
+                yield from as_batches([{"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "fp1": fp1, "fp2": fp2, "sig": [x for x, _ in signed], "tokens": [x for _, x in signed]}], schema)
 
-    return needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary")
+    return needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, tokens binary")
 
 
 def _path(tree: F.Column, place: F.Column) -> F.Column:
-    """The minwise value at a place of the signature (2 bytes), with its tree and place, as a node key."""
-    return F.xxhash64(tree, place, F.substring(F.col("sig"), place * 2 + 1, 2))
+    """The minwise value at a place of the path tokens (2 bytes), with its tree and place, as a node key."""
+    return F.xxhash64(tree, place, F.substring(F.col("tokens"), place * 2 + 1, 2))
 
 
 def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
@@ -98,7 +106,7 @@ def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, MINWISE) for c in ("sig_a", "sig_b"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINWISE) for c in ("sig_a", "sig_b"))
                 near = pa.array((x == y).mean(1) >= least_agree(percent, MINWISE))
                 yield batch.select(["a", "b"]).filter(near).cast(schema)
 
@@ -125,9 +133,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
 
 def _spokes(on_path: DataFrame, percent: int) -> DataFrame:
-    """For each vertex, the pivot (smallest vertex on a path) that its short sketch is nearest to, if near enough."""
-    middle = on_path.groupBy("node").agg(F.min(F.struct("id", "short")).alias("m"), F.count("*").alias("c")).where("c > 1")
-    met = on_path.join(middle, "node").where("id != m.id").select(F.col("id").alias("a"), F.col("m.id").alias("b"), "short", F.col("m.short").alias("other"))
+    """For each vertex, the two pivots on its paths that its short signature agrees with best, where they agree enough."""
+    here = F.struct("id", "short")
+    pivots = F.array_distinct(F.array(F.min(here), *[F.min_by(here, F.xxhash64("id", F.lit(k))) for k in (1, 2)]))
+    middle = on_path.groupBy("node").agg(pivots.alias("m"), F.count("*").alias("c")).where("c > 1")
+    met = on_path.join(middle, "node").select(F.col("id").alias("a"), "short", F.explode("m").alias("p")).select("a", F.col("p.id").alias("b"), "short", F.col("p.short").alias("other")).where("a != b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,32 +148,110 @@ def _spokes(on_path: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree, pa.int64())], schema=schema).filter(pa.array(agree >= SHORT * least_agree(percent, SHORT)))
 
     near = met.mapInArrow(run, "a long, b long, agree long")
-    return near.groupBy("a").agg(F.min_by("b", F.struct(-F.col("agree"), F.col("b"))).alias("b"))
+    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("agree")).alias("worse"), "b"))), 1, 2).alias("best"))
+    return best.select("a", F.explode("best.b").alias("b"))
 
 
-def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within each leaf (a list of a bounded number of vertices), by short sketch and size."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    least = SHORT * least_agree(percent, SHORT)
+_MEMBERS = ("id", "comp", "n", "side")
+
+
+def _comparable(m: list[dict], percent: int):
+    """For member i of a leaf, the members after it that it is compared with: of another component, like size and the other side."""
+    ids, comp, n, side = (np.array([x[c] for x in m], np.int64) for c in _MEMBERS)
+    order = np.argsort(ids, kind="stable")
+    ids, comp, n, side = ids[order], comp[order], n[order], side[order]
+
+    def of(i: int) -> np.ndarray:
+        j = slice(i + 1, None)
+        ok = (comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] < 0)) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+        return np.flatnonzero(ok) + i + 1
+
+    return order, ids, comp, n, side, of
+
+
+def _near_members(leaves: DataFrame, percent: int) -> DataFrame:
+    """node, id, comp, n and side of the members of each leaf whose signature is near that of one they are compared with."""
+    schema = pa.schema([("node", pa.int64()), *[(c, pa.int64()) for c in _MEMBERS]])
+    least = MINWISE * least_agree(percent, MINWISE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
-            for members in batch.column("members").to_pylist():
-                ids, comp, n, side = (np.array([m[c] for m in members], np.int64) for c in ("id", "comp", "n", "side"))
-                short = np.frombuffer(b"".join(m["short"] for m in members), np.uint8).reshape(-1, SHORT)
+            out = [np.zeros((5, 0), np.int64)]
+            for node, m in zip(batch.column("node").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                order, ids, comp, n, side, after = _comparable(m, percent)
+                sig = np.frombuffer(b"".join(m[k]["sig"] for k in order), np.uint8).reshape(-1, MINWISE)
+                near = np.zeros(len(ids), bool)
                 for i in range(len(ids)):
-                    j = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & ((side != side[i]) | (side < 0)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-                    j = j[(short[j] == short[i]).sum(1) >= least]
+                    j = after(i)
+                    j = j[(sig[j] == sig[i]).sum(1) >= least]
                     if len(j):
-                        found.append(np.stack([np.full(len(j), ids[i]), ids[j]], 1))
+                        near[i] = near[j] = True
+                if near.any():
+                    out.append(np.stack([np.full(near.sum(), node), ids[near], comp[near], n[near], side[near]]))
+            yield from as_batches([dict(zip(schema.names, np.concatenate(out, 1), strict=True))], schema)
+
+    return leaves.mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in _MEMBERS))
+
+
+def _full_sets(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id and set (shingle hashes) of the texts of the given vertices."""
+    texts = needed(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), k)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+    return texts.mapInArrow(run, "id long, set array<long>")
+
+
+def _leaf_links(leaves: DataFrame, percent: int) -> DataFrame:
+    """Components (a, b) that links between full sets join, in each leaf; links that join what is joined already are left out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column("members")
+            found = [np.zeros((0, 2), np.int64)]
+            for row in range(batch.num_rows):
+                m = members.slice(row, 1).flatten()
+                plain = [dict(zip(_MEMBERS, x, strict=True)) for x in zip(*(m.field(c).to_pylist() for c in _MEMBERS), strict=True)]
+                order, _, comp, _, _, after = _comparable(plain, percent)
+                lists = m.field("set").take(pa.array(order))
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                _, number = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                by = np.argsort(number, kind="stable")
+                held, bounds = owner[by], np.searchsorted(number[by], np.arange(number.max(initial=-1) + 2))
+                root = {c: c for c in comp.tolist()}
+
+                def top(c: int) -> int:
+                    while root[c] != c:
+                        root[c] = root[root[c]]
+                        c = root[c]
+                    return c
+
+                for i in range(len(sizes)):
+                    j = after(i)
+                    if not len(j):
+                        continue
+                    own = number[ends[i] : ends[i + 1]]
+                    others, _ = ragged_take(held, bounds, own)
+                    common = np.bincount(others, minlength=len(sizes))[j]
+                    for x in j[(common > 0) & (100 * common >= percent * (sizes[j] + sizes[i] - common))].tolist():
+                        a, b = top(int(comp[i])), top(int(comp[x]))
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
+                            found.append(np.array([[a, b]]))
             both = np.concatenate(found)
             yield from as_batches([{"a": both[:, 0], "b": both[:, 1]}], schema)
 
     return leaves.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 12, star_trees: int = 4, leaf: int = 128, depth: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 12, star_trees: int = 4, leaf: int = 2048, depth: int = 5) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
 
     Texts are linked when 100 * common >= percent * all over their distinct
@@ -176,49 +264,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     """
     sketched = cut(sketch(docs, k))
     some = sketched.where("n_shingles > 0 and doc_id is not null")
-    sets = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    short = F.expr(f"unhex(array_join(transform(sequence(0, {SHORT - 1}), i -> hex(substring(sig, 2 * i + 1, 1))), ''))")
-    vertices = cut(sets.select("id", F.col("n_shingles").alias("n"), "sig", short.alias("short"), "fp1", "fp2"))
+    sets = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("tokens").alias("tokens"))
+    vertices = cut(sets.select("id", F.col("n_shingles").alias("n"), "sig", "tokens", "fp1", "fp2"))
 
     tree = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tree")
     # stars, by tree, token and size class
     size_class = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    on_path = vertices.select("id", "n", "sig", "short", tree(star_trees)).select("id", "short", F.xxhash64(_path(F.col("tree"), F.col("tree")), size_class).alias("node"))
+    on_path = vertices.select("id", "n", "tokens", F.substring("sig", 1, SHORT).alias("short"), tree(star_trees)).select("id", "short", F.xxhash64(_path(F.col("tree"), F.col("tree")), size_class).alias("node"))
     links = cut(confirm(_agreeing(_spokes(on_path, percent), vertices, percent), docs, k, percent))
     first = connected_components(links, "a", "b")
     # trees
-    with_comp = cut(vertices.join(first.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "sig", "short"))
-    at = with_comp.select("id", "comp", F.posexplode(F.array(*[_path(F.lit(t), F.lit(t)) for t in range(trees)])).alias("tree", "node"))
-    pairs = None
+    with_comp = cut(vertices.join(first.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "sig", "tokens"))
+    weight = F.ceil(F.col("n") / UNIT)
+    at = with_comp.select("id", "comp", weight.alias("w"), F.explode(F.array(*[_path(F.lit(t), F.lit(t)) for t in range(trees)])).alias("node"))
+    members = None
     for level in range(1, depth + 1):
-        by_comp = at.groupBy("node", "comp").agg(F.count("*").alias("c"))
+        by_comp = at.groupBy("node", "comp").agg(F.sum("w").alias("c"))
         sizes = by_comp.groupBy("node").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         sizes = sizes.select("node", "c", F.col("top.comp").alias("top"), (F.col("c") - F.col("top.c")).alias("outside"))
         at = cut(at.join(sizes, "node"))
         last = level == depth
-        small = at.where(F.col("c") <= leaf).select("node", "id", F.lit(-1).alias("side"))
-        lopsided = at.where((F.col("c") > leaf) & (F.col("outside") <= leaf))
+        members = _union(members, at.where(F.col("c") <= leaf).select("node", "id", F.lit(-1).alias("side")))
+        members = members.union(_against_largest(at.where((F.col("c") > leaf) & (F.col("outside") <= leaf)), leaf))
         big = at.where(F.col("outside") > leaf)
-        members = small.union(_against_largest(lopsided, leaf))
         if last:
             members = members.union(_blocks(big, leaf))
-        pairs = _union(pairs, _leaf_pairs(_gather(members, with_comp), percent).distinct())
         if last or big.isEmpty():
             break
         # one more token always, and a second one for a share of the nodes: 1 / threshold on average
-        places = F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(MINWISE)), F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(100)) < F.lit(10_000 // percent - 100), F.pmod(F.xxhash64("node", F.lit(3)), F.lit(MINWISE))))
-        chosen = big.select("id", "node", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("place")).groupBy("id").agg(F.collect_list(F.struct("node", "place")).alias("paths"))
-        tokens = chosen.join(with_comp.select("id", "comp", "sig"), "id")
-        children = F.transform("paths", lambda x: F.xxhash64(x["node"], x["place"], F.substring(F.col("sig"), (x["place"] * 2 + 1).cast("int"), F.lit(2))))
-        at = tokens.select("id", "comp", F.posexplode(children).alias("tree", "node"))
-    pairs = _agreeing(pairs.distinct(), vertices, percent)
-    more = confirm(cut(pairs.distinct()), docs, k, percent)
-    comp_of = with_comp.select("id", "comp")
-    joined = more.join(comp_of.withColumnsRenamed({"id": "a", "comp": "ca"}), "a").join(comp_of.withColumnsRenamed({"id": "b", "comp": "cb"}), "b").select("ca", "cb")
+        places = F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PATHS)), F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(100)) < F.lit(10_000 // percent - 100), F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PATHS))))
+        paths = big.groupBy("id").agg(F.flatten(F.collect_list(F.transform(F.filter(places, lambda x: x.isNotNull()), lambda x: F.struct("node", x.alias("place"))))).alias("paths"))
+        chosen = paths.join(with_comp.select("id", "comp", weight.alias("w"), "tokens"), "id")
+        children = F.transform("paths", lambda x: F.xxhash64(x["node"], x["place"], F.substring(F.col("tokens"), (x["place"] * 2 + 1).cast("int"), F.lit(2))))
+        at = chosen.select("id", "comp", "w", F.explode(children).alias("node"))
+    near = cut(_near_members(_gather(members, with_comp.select("id", "comp", "n", "sig"), "sig"), percent))
+    full = near.join(_full_sets(near, docs, k), "id").groupBy("node").agg(F.collect_list(F.struct(*_MEMBERS, "set")).alias("members"))
+    joined = _leaf_links(full, percent).select(F.col("a").alias("ca"), F.col("b").alias("cb"))
     second = connected_components(joined, "ca", "cb")
     final = with_comp.join(second.withColumnsRenamed({"node": "comp"}), "comp", "left").select("id", F.coalesce("component", "comp").alias("component_id"))
     by_set = vertices.select("id", "fp1", "fp2", F.col("n").alias("n_shingles")).join(final.distinct(), "id").drop("id")
-    out = sketched.drop("sig").join(by_set, ["fp1", "fp2", "n_shingles"], "left")
+    out = sketched.drop("sig", "tokens").join(by_set, ["fp1", "fp2", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -227,10 +312,10 @@ def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
     return b if a is None else a.union(b)
 
 
-def _gather(members: DataFrame, vertices: DataFrame) -> DataFrame:
+def _gather(members: DataFrame, vertices: DataFrame, what: str) -> DataFrame:
     """One row for each leaf with its members; a leaf has a bounded number of them."""
-    full = members.join(vertices.select("id", "comp", "n", "short"), "id")
-    return full.groupBy("node").agg(F.collect_list(F.struct("id", "comp", "n", "side", "short")).alias("members"))
+    full = members.join(vertices, "id")
+    return full.groupBy("node").agg(F.collect_list(F.struct("id", "comp", F.col("n").alias("n"), "side", what)).alias("members"))
 
 
 def _against_largest(nodes: DataFrame, leaf: int) -> DataFrame:
