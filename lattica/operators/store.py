@@ -8,10 +8,13 @@ summed first and each partition numbers its own rows, so no single task sorts al
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import canonical_entity_key, canonical_relation, casefold, content_hash, normalize_text
+from lattica.session import cut
 
 ORDER = ("dataset_id", "source_index", "triple_index")
 
@@ -111,16 +114,35 @@ def triple_links(t: DataFrame, triple_table: DataFrame, records: DataFrame) -> t
 
 
 class Store:
-    """The tables of one build; each is planned from the parsed triples and can be written as Parquet."""
+    """The tables of one build. Those that others are built from are computed once, when first asked for."""
 
     def __init__(self, raw: DataFrame):
         self.parsed = parsed(raw)
         self.kvs = default_kvs(self.parsed)
-        self.kv_records = kv_records(self.kvs)
-        self.nodes = nodes(self.parsed)
-        self.triples = graph_triples(self.parsed, self.nodes)
-        self.triple_kvs, self.triple_sources = triple_links(self.parsed, self.triples, self.kv_records)
-        self.aliases = aliases(self.parsed, self.nodes)
+
+    @cached_property
+    def kv_records(self) -> DataFrame:
+        return cut(kv_records(self.kvs))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return cut(nodes(self.parsed))
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        return cut(graph_triples(self.parsed, self.nodes))
+
+    @cached_property
+    def triple_kvs(self) -> DataFrame:
+        return triple_links(self.parsed, self.triples, self.kv_records)[0]
+
+    @cached_property
+    def triple_sources(self) -> DataFrame:
+        return triple_links(self.parsed, self.triples, self.kv_records)[1]
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return aliases(self.parsed, self.nodes)
 
     def write(self, path: str) -> None:
         for name in ("kv_records", "nodes", "aliases", "triples", "triple_kvs", "triple_sources"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.plans import registry, store_queries
+from lattica.plans import graph_queries, registry, store_queries, text_queries
 
 
 def all_queries() -> dict[str, registry.Query]:
@@ -13,4 +13,4 @@ def all_oracles() -> dict[str, str]:
     return registry.ORACLES
 
 
-__all__ = ["all_oracles", "all_queries", "store_queries"]
+__all__ = ["all_oracles", "all_queries", "graph_queries", "store_queries", "text_queries"]

@@ -18,7 +18,7 @@ def lex(x: str) -> str:
     from lattica.functions.text import STOP_WORDS
 
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return f"list_filter(string_split_regex(regexp_replace(lower({x}), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+'), w -> w <> '' AND w NOT IN ({stop}))"
+    return f"list_filter(string_split_regex(regexp_replace(lower({x}), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ({stop}))"
 
 
 def answer(x: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.text import name_reasons
@@ -177,7 +177,7 @@ def entity_kv_distribution(spark: Spark, sf_dir: str) -> DataFrame:
     return metrics.summary(per, "v", []).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@query("a18_suspicious_objects", f"""WITH {sql.TRIPLES}, f AS (SELECT o.canonical_name AS name, unnest(list_filter([CASE WHEN length(o.canonical_name) <= 1 THEN 'very_short' END, CASE WHEN regexp_matches(o.canonical_name, '^[0-9\\s.,%-]+$') THEN 'numeric_only' END, CASE WHEN length(o.canonical_name) > 120 THEN 'very_long' END], x -> x IS NOT NULL)) AS reason FROM triples JOIN nodes o ON o.node_id = object_id)
+@query("a18_suspicious_objects", f"""WITH {sql.TRIPLES}, f AS (SELECT o.canonical_name AS name, unnest(list_filter([CASE WHEN length(o.canonical_name) <= 1 THEN 'very_short' END, CASE WHEN regexp_matches(o.canonical_name, '^[0-9\\s.,%-]+$') THEN 'numeric_only' END, CASE WHEN length(o.canonical_name) > 120 THEN 'very_long' END], lambda x: x IS NOT NULL)) AS reason FROM triples JOIN nodes o ON o.node_id = object_id)
   SELECT reason, count(*) AS n, count(DISTINCT name) AS names FROM f GROUP BY 1""")
 def suspicious_objects(spark: Spark, sf_dir: str) -> DataFrame:
     s = built(spark, sf_dir)
@@ -185,7 +185,7 @@ def suspicious_objects(spark: Spark, sf_dir: str) -> DataFrame:
     return names.select("name", F.explode(name_reasons("name")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
 
 
-_HOP = f"""WITH RECURSIVE {sql.INCIDENT}, capped AS (SELECT * FROM ranked WHERE rank <= 16), seeds AS (SELECT row_number() OVER (ORDER BY node_id) AS qid, node_id FROM nodes WHERE canonical_key LIKE 'region %' OR node_id <= 10),
+_HOP = f"""WITH RECURSIVE {sql.INCIDENT}, capped AS (SELECT * FROM ranked WHERE rank <= 16), seeds AS (SELECT n_nationkey AS qid, node_id FROM nation JOIN nodes ON canonical_key = {sql.key('n_name')}),
   h1 AS (SELECT DISTINCT qid, triple_id, other_id FROM seeds JOIN capped USING (node_id)), f1 AS (SELECT DISTINCT qid, other_id AS node_id FROM h1 WHERE (qid, other_id) NOT IN (SELECT (qid, node_id) FROM seeds)),
   h2 AS (SELECT DISTINCT qid, triple_id FROM f1 JOIN nodes USING (node_id) JOIN capped USING (node_id) WHERE kind = 'entity')
   SELECT qid, triple_id FROM h1 UNION SELECT qid, triple_id FROM h2"""
@@ -194,7 +194,8 @@ _HOP = f"""WITH RECURSIVE {sql.INCIDENT}, capped AS (SELECT * FROM ranked WHERE
 @query("g3_two_hop_candidates", _HOP)
 def two_hop(spark: Spark, sf_dir: str) -> DataFrame:
     s = built(spark, sf_dir)
-    seeds = s.nodes.where("canonical_key like 'region %' or node_id <= 10").select(F.row_number().over(Window.orderBy("node_id")).cast("long").alias("qid"), "node_id")
+    nation = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("qid"), F.col("n_name").alias("name"))
+    seeds = store.resolve(nation, s).select("qid", "node_id")
     entities = s.nodes.where("kind = 'entity'").select("node_id")
     return graph.k_hop(seeds, store.incidence(s.triples, 16), 2, entities)[1]
 
@@ -223,7 +224,7 @@ def mentions(spark: Spark, sf_dir: str) -> DataFrame:
     return search.mentions(q, built(spark, sf_dir).aliases)
 
 
-_TOP = """WITH v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+_TOP = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
   s AS (SELECT q.vec_id AS qid, v.vec_id AS node_id, q.label = v.label AS same, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM q, v),
   r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, node_id) AS rank FROM s) """
 
