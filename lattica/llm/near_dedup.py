@@ -35,8 +35,8 @@ from lattica.llm.textscan import SPACES, U64, Words, as_batches, mix, slices, te
 from lattica.operators.components import connected_components
 from lattica.session import cut
 
-#: Minwise values in a signature, each kept as 8 bits, those of them in its short form, and those kept as 16 bits to choose paths by.
-MINWISE, SHORT, PATHS = 256, 64, 64
+#: Minwise values in a signature, each kept as 8 bits, those of them compared in leaves and in its short form, and those kept as 16 bits to choose paths by.
+MINWISE, LEAF, SHORT, PATHS = 256, 128, 64, 64
 #: Shingles of a vertex that count as one.
 UNIT = 1000
 _odd = np.random.default_rng(7).integers(0, 2**63, MINWISE, dtype=np.uint64) * U64(2) + U64(1)
@@ -113,11 +113,30 @@ def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+#: Bits of a filter of ids: 256 bitmaps of 32,768 bits, a MB however many ids there are.
+FILTER_BITS = 256 * 32768
+
+
+def with_ids_of(df: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``ids``; a filter of bounded size that goes before a join.
+
+    It spares the join's shuffle the rows that can't match. With very many ids it
+    lets most rows pass, and the join alone decides, as it always does.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    bits = ids.select(place(name).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring("_bits", (F.expr("_pos div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = df.withColumns({"_bucket": F.bitmap_bucket_number(place(column)), "_pos": at}).join(F.broadcast(bits), "_bucket")
+    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0).drop("_bucket", "_pos", "_bits")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets overlap enough: 100 * common >= percent * all."""
     texts = needed(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    pairs = cut(pairs)
+    left = with_ids_of(texts, "doc_id", pairs, "a").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = with_ids_of(texts, "doc_id", pairs, "b").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +191,14 @@ def _comparable(m: list[dict], percent: int):
 def _near_members(leaves: DataFrame, percent: int) -> DataFrame:
     """node, id, comp, n and side of the members of each leaf whose signature is near that of one they are compared with."""
     schema = pa.schema([("node", pa.int64()), *[(c, pa.int64()) for c in _MEMBERS]])
-    least = MINWISE * least_agree(percent, MINWISE)
+    least = LEAF * least_agree(percent, LEAF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros((5, 0), np.int64)]
             for node, m in zip(batch.column("node").to_pylist(), batch.column("members").to_pylist(), strict=True):
                 order, ids, comp, n, side, after = _comparable(m, percent)
-                sig = np.frombuffer(b"".join(m[k]["sig"] for k in order), np.uint8).reshape(-1, MINWISE)
+                sig = np.frombuffer(b"".join(m[k]["sig"] for k in order), np.uint8).reshape(-1, LEAF)
                 near = np.zeros(len(ids), bool)
                 for i in range(len(ids)):
                     j = after(i)
@@ -194,33 +213,34 @@ def _near_members(leaves: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """id and set (shingle hashes) of the texts of the given vertices."""
-    texts = needed(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi")
+    """id and set (shingle hashes, cut to 32 bits) of the texts of vertices that may be among the given ones."""
+    texts = with_ids_of(needed(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "id"), "id", members, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+                sets = [s.astype("<u4").tobytes() for s in shingle_sets(part.column("text"), k)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return texts.mapInArrow(run, "id long, set array<long>")
+    return texts.mapInArrow(run, "id long, set binary")
 
 
 def _leaf_links(leaves: DataFrame, percent: int) -> DataFrame:
-    """Components (a, b) that links between full sets join, in each leaf; links that join what is joined already are left out."""
+    """Pairs (a, b) of vertices whose sets overlap enough, in each leaf; pairs in components that such a pair joins already are left out.
+
+    Sets of 32-bit hashes can only overlap more than the full ones, so no link is
+    missed; the few pairs that come out are confirmed on full sets.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = batch.column("members")
             found = [np.zeros((0, 2), np.int64)]
-            for row in range(batch.num_rows):
-                m = members.slice(row, 1).flatten()
-                plain = [dict(zip(_MEMBERS, x, strict=True)) for x in zip(*(m.field(c).to_pylist() for c in _MEMBERS), strict=True)]
-                order, _, comp, _, _, after = _comparable(plain, percent)
-                lists = m.field("set").take(pa.array(order))
-                sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                _, number = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            for m in batch.column("members").to_pylist():
+                order, ids, comp, n, _, after = _comparable(m, percent)
+                sets = [np.frombuffer(m[k]["set"], "<u4") for k in order]
+                sizes = np.array([len(x) for x in sets])
+                _, number = np.unique(np.concatenate(sets), return_inverse=True)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 by = np.argsort(number, kind="stable")
@@ -237,21 +257,20 @@ def _leaf_links(leaves: DataFrame, percent: int) -> DataFrame:
                     j = after(i)
                     if not len(j):
                         continue
-                    own = number[ends[i] : ends[i + 1]]
-                    others, _ = ragged_take(held, bounds, own)
+                    others, _ = ragged_take(held, bounds, number[ends[i] : ends[i + 1]])
                     common = np.bincount(others, minlength=len(sizes))[j]
-                    for x in j[(common > 0) & (100 * common >= percent * (sizes[j] + sizes[i] - common))].tolist():
+                    for x in j[(common > 0) & (100 * common >= percent * (n[j] + n[i] - common))].tolist():
                         a, b = top(int(comp[i])), top(int(comp[x]))
                         if a != b:
                             root[max(a, b)] = min(a, b)
-                            found.append(np.array([[a, b]]))
+                            found.append(ids[[[i, x]]])
             both = np.concatenate(found)
             yield from as_batches([{"a": both[:, 0], "b": both[:, 1]}], schema)
 
     return leaves.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 12, star_trees: int = 4, leaf: int = 2048, depth: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 8, star_trees: int = 4, leaf: int = 2048, depth: int = 5) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
 
     Texts are linked when 100 * common >= percent * all over their distinct
@@ -271,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     # stars, by tree, token and size class
     size_class = F.floor(F.log("n") / F.log(F.lit(1.25)))
     on_path = vertices.select("id", "n", "tokens", F.substring("sig", 1, SHORT).alias("short"), tree(star_trees)).select("id", "short", F.xxhash64(_path(F.col("tree"), F.col("tree")), size_class).alias("node"))
-    links = cut(confirm(_agreeing(_spokes(on_path, percent), vertices, percent), docs, k, percent))
+    links = confirm(_agreeing(_spokes(on_path, percent), vertices, percent), docs, k, percent)
     first = connected_components(links, "a", "b")
     # trees
     with_comp = cut(vertices.join(first.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "sig", "tokens"))
@@ -297,9 +316,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         chosen = paths.join(with_comp.select("id", "comp", weight.alias("w"), "tokens"), "id")
         children = F.transform("paths", lambda x: F.xxhash64(x["node"], x["place"], F.substring(F.col("tokens"), (x["place"] * 2 + 1).cast("int"), F.lit(2))))
         at = chosen.select("id", "comp", "w", F.explode(children).alias("node"))
-    near = cut(_near_members(_gather(members, with_comp.select("id", "comp", "n", "sig"), "sig"), percent))
+    near = cut(_near_members(_gather(members, with_comp.select("id", "comp", "n", F.substring("sig", 1, LEAF).alias("sig")), "sig"), percent))
     full = near.join(_full_sets(near, docs, k), "id").groupBy("node").agg(F.collect_list(F.struct(*_MEMBERS, "set")).alias("members"))
-    joined = _leaf_links(full, percent).select(F.col("a").alias("ca"), F.col("b").alias("cb"))
+    more = confirm(_leaf_links(full, percent).distinct(), docs, k, percent)
+    comp_of = lambda x: with_comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
+    joined = more.join(comp_of("a"), "a").join(comp_of("b"), "b").select("ca", "cb")
     second = connected_components(joined, "ca", "cb")
     final = with_comp.join(second.withColumnsRenamed({"node": "comp"}), "comp", "left").select("id", F.coalesce("component", "comp").alias("component_id"))
     by_set = vertices.select("id", "fp1", "fp2", F.col("n").alias("n_shingles")).join(final.distinct(), "id").drop("id")
