@@ -69,7 +69,7 @@ def test_secrets_link_only_with_a_partner(spark):
     rows = secrets.digest(secrets.find_secrets(docs)).collect()
     got = sorted((r.doc_id, r.spans) for r in rows)
     assert [s for i, s in got if i != 2] == ["", "", ""]
-    assert [s for i, s in got if i == 2] == ["linked_id:0:23,linked_secret:29:57"] * 2
+    assert [s for i, s in got if i == 2] == ["linked_id:0:22,linked_secret:28:56"] * 2
 
 
 def test_empty_tables(spark):
