@@ -62,13 +62,13 @@ def multi_hop(spark: Spark, sf_dir: str) -> DataFrame:
     return graph.multi_hop_adjacency(a, 2, 0.5).withColumn("weight", F.round("weight", 6))
 
 
-_Q = "qe AS (SELECT o_custkey AS qid, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) AS eid, l_partkey % 11 AS src, l_suppkey % 11 AS dst, l_quantity / 50.0 AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_Q = "qe AS (SELECT o_custkey AS qid, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS eid, l_partkey % 11 AS src, l_suppkey % 11 AS dst, l_quantity / 50.0 AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def question_edges(spark: Spark, sf_dir: str) -> DataFrame:
     """A small multigraph for each customer: its order lines, as edges between eleven groups of parts and suppliers."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    eid = F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber"))
+    eid = F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return lines.select(F.col("o_custkey").alias("qid"), eid.cast("long").alias("eid"), (F.col("l_partkey") % 11).alias("src"), (F.col("l_suppkey") % 11).alias("dst"), (F.col("l_quantity") / 50.0).alias("score"))
 
 

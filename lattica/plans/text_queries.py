@@ -133,14 +133,14 @@ def running_offsets(spark: Spark, sf_dir: str) -> DataFrame:
     return exclusive_offsets(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "o_custkey", "n", "start_id")
 
 
-@query("w4_rank_change", "WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS rank_before, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank_after FROM lineitem) SELECT *, rank_before - rank_after AS rose FROM r")
+@query("w4_rank_change", "WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank_before, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank_after FROM lineitem) SELECT *, rank_before - rank_after AS rose FROM r")
 def rank_change(spark: Spark, sf_dir: str) -> DataFrame:
-    return metrics.rank_change(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "rank_before", "rank_after", "rose")
+    return metrics.rank_change(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey", "rank_before", "rank_after", "rose")
 
 
-@query("w6_answer_rank_hits", "WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS rank, l_returnflag = 'R' AS is_answer FROM lineitem) SELECT l_orderkey, min(rank) AS best, (min(rank) <= 3)::INT AS top3 FROM r WHERE is_answer GROUP BY 1")
+@query("w6_answer_rank_hits", "WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_returnflag) AS rank, l_returnflag = 'R' AS is_answer FROM lineitem) SELECT l_orderkey, min(rank) AS best, (min(rank) <= 3)::INT AS top3 FROM r WHERE is_answer GROUP BY 1")
 def answer_rank_hits(spark: Spark, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber")))
+    r = table(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")))
     return r.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.min("rank").alias("best")).withColumn("top3", (F.col("best") <= 3).cast("int"))
 
 
