@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -353,9 +354,13 @@ def build_dag(edges: list[Edge], topics: list[int], b: Budget) -> set[int]:
 def per_question(edges: DataFrame, topics: DataFrame, step: Callable[[list[Edge], list[int]], set[int]]) -> DataFrame:
     """Run a step over every question: edges (qid, eid, src, dst, score) and topics (qid, node) to the edges that stay."""
 
-    def run(edge_rows: pd.DataFrame, topic_rows: pd.DataFrame) -> pd.DataFrame:
-        own = [Edge(int(r.eid), int(r.src), int(r.dst), float(r.score)) for r in edge_rows.itertuples()]
-        keep = step(own, sorted(int(n) for n in set(topic_rows["node"])))
-        return edge_rows[edge_rows["eid"].isin(keep)]
+    by_question = topics.groupBy(F.col("qid").alias("_qid")).agg(F.sort_array(F.collect_set("node")).alias("_topics"))
+    columns = edges.columns
 
-    return edges.groupBy("qid").cogroup(topics.groupBy("qid")).applyInPandas(run, edges.schema)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [Edge(int(r.eid), int(r.src), int(r.dst), float(r.score)) for r in rows.itertuples()]
+        asked = rows["_topics"].iloc[0]
+        keep = step(own, [int(n) for n in asked] if asked is not None else [])
+        return rows.loc[rows["eid"].isin(keep), columns]
+
+    return edges.join(by_question, F.col("qid") == F.col("_qid"), "left").groupBy("qid").applyInPandas(run, edges.schema)

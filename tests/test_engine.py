@@ -115,3 +115,15 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError, match="missing columns: nope"):
         spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "p"))
         files.parquet_preview(spark, str(tmp_path / "p"), ["nope"], 1)
+
+
+def test_steps_run_by_question(spark):
+    """Topics may be derived from the edges themselves, and a question may have none."""
+    from lattica.operators import selection
+
+    e = spark.createDataFrame([(1, 0, 1, 2, 0.9), (1, 1, 2, 1, 0.4), (2, 0, 5, 6, 0.3)], "qid long, eid long, src long, dst long, score double")
+    topics = e.where("qid = 1").groupBy("qid").agg(F.min("src").alias("node"))
+    kept = selection.per_question(e, topics, lambda own, _: selection.without_cycles(own))
+    assert sorted((r.qid, r.eid) for r in kept.collect()) == [(1, 0), (2, 0)]
+    built = selection.per_question(e, topics, lambda own, t: selection.limit_terminals(own, t, 1))
+    assert {r.qid for r in built.collect()} <= {1}
