@@ -220,7 +220,11 @@ def semantic_label(path: tuple[str, ...]) -> bool:
 
 def train(pages: DataFrame, sampled: int = TRAIN_PAGES, made: int = MADE_PAGES, epochs: int = 8, seed: int = 9) -> Tagger:
     """Train the labeller on ``sampled`` pages with an article or main element, picked by hash of their id, and ``made`` pages of their words."""
-    rows = needed(pages, page_id="long", html="string").where("html rlike '(?i)<(article|main)[ >]' and length(html) < 40000").orderBy(F.xxhash64("page_id"), "page_id").limit(sampled).collect()
+    usable = needed(pages, page_id="long", html="string").where("page_id is not null and html rlike '(?i)<(article|main)[ >]' and length(html) < 40000")
+    # ids are picked first, so that what meets for the pick is small
+    picked = usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sampled).distinct()
+    rows = usable.join(F.broadcast(picked), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()
+    rows.sort(key=lambda r: r["page_id"])
     rng, sequences = np.random.default_rng(seed), []
     for row in rows:
         found = blocks(row["html"])

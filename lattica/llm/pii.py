@@ -138,8 +138,11 @@ def labelled_windows(carriers: list[str], count: int, seed: int = 11) -> tuple[n
 
 def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, windows: int = TRAIN_WINDOWS, epochs: int = 6, seed: int = 11) -> Tagger:
     """Train the tagger on spans planted in the first KB of ``documents`` texts, picked by hash of their id."""
-    texts = needed(docs, doc_id="long", text="string").where("text is not null and text != ''")
-    rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", F.substring("text", 1, 1000).alias("text")).limit(documents).collect()
+    texts = needed(docs, doc_id="long", text="string").where("doc_id is not null and text is not null and text != ''")
+    # ids are picked first, so that what meets for the pick is small
+    picked = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).distinct()
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.substring("text", 1, 1000)).alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     tagger = Tagger(12, 16, TAGS, SYMBOLS, seed)
     tagger.fit(*labelled_windows([r["text"] for r in rows], windows, seed), epochs=epochs, batch=48, rate=0.03)
     return tagger
