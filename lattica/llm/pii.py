@@ -8,8 +8,10 @@ begins, so every place is judged once and with context on both sides. The spans
 of a text are then reconciled: a span that touches a base span or a better
 scored one goes, and so does one whose characters can't be of its kind.
 
-A span that can be of a kind holds a digit, an @ or a spelled-out "at" or "dot";
-windows without any of these are not decoded, as no span of theirs could stay.
+A span that can be of a kind holds a digit, an @, a spelled-out "at" or "dot", or
+a colon before a colon or a hex digit (an address such as dead:beef::cafe); every
+window that holds one of these is decoded, the others are not, as no span of
+theirs could stay.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_spelled = re.compile(r"(?i)[\[( ](?:at|dot)[\]) ]")
+#: What every span that can be of a kind holds; a spelled-out word counts from its first letter.
+_trigger = re.compile(r"(?i)[0-9@]|:(?=[0-9a-f:])|(?<=[\[( ])(?:at|dot)(?=[\]) ])")
 
 
 def luhn(digits: str) -> bool:
@@ -171,18 +174,20 @@ def possible(kind: int, span: str) -> bool:
     return kind == 0 or 9 <= len(digits) <= 15 and bool(re.search(r"[ ()-]", span)) and not re.match(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", span)
 
 
-def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
-    """(kind, start, end, score) of the tagger's spans in each text: windows decoded side by side, each span from the window in whose core it begins."""
+def tagged_spans(tagger: Tagger, texts: list[str], gated: bool = True) -> list[list[tuple[int, int, int, float]]]:
+    """(kind, start, end, score) of the tagger's spans in each text: windows decoded side by side, each span from the window in whose core it begins.
+
+    With ``gated`` only windows that hold a trigger are decoded.
+    """
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     where, rows = [], []
     for k, text in enumerate(texts):
-        at = [m.start() for m in re.finditer(r"[0-9@]", text)]
-        if "at" in text or "dot" in text or "AT" in text or "DOT" in text:
-            at += [m.start() + 1 for m in _spelled.finditer(text)]
+        at = [m.start() for m in _trigger.finditer(text)] if gated else range(len(text))
         if not at:
             continue
         own = codes(text)
-        core = np.unique(np.concatenate([(np.array(at) + d) // CORE for d in (-WINDOW + CORE // 2, 0, CORE // 2)]))
+        # a place is in the windows of two cores
+        core = np.unique(np.concatenate([(np.array(at) + d) // CORE for d in (-CORE // 2, CORE // 2)]))
         for c in core[(core >= 0) & (core * CORE < len(own))].tolist():
             a = c * CORE - CORE // 2
             row = np.full(WINDOW, PAD, np.int16)

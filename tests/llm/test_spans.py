@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from lattica.llm import pii, secrets
@@ -103,3 +104,35 @@ def test_masking_leaves_clean_text_alone(spark, tagger):
     docs = spark.createDataFrame([(1, "nothing here", "en"), (2, "write a.b@c.de now", None), (3, None, "fr")], "doc_id long, text string, lang string")
     rows = {r.doc_id: r for r in pii.mask_spans(docs, tagger, ("lang",)).collect()}
     assert (rows[1].text, rows[2].text, rows[3].text) == ("nothing here", "write <EMAIL> now", None)
+
+
+class UpperTagger:
+    """Tags upper-case words, digits and signs, with single spaces between them, as inside of one kind."""
+
+    def __init__(self, kind):
+        self.kind, self.p = kind, {"moves": np.zeros((pii.TAGS, pii.TAGS))}
+
+    def scores(self, x, mask):
+        lower = (x >= ord("a")) & (x <= ord("z"))
+        solid = mask & ~lower & (x != ord(" "))
+        near = np.pad(solid, ((1, 1), (0, 0)))
+        inside = solid | (mask & (x == ord(" ")) & near[:-2] & near[2:])
+        scores = np.zeros((*x.shape, pii.TAGS))
+        scores[:, :, 2 + 2 * self.kind] = np.where(inside, 1.0, -1.0)
+        return scores
+
+
+def planted(span):
+    """Texts with ``span`` at each of the places of a core, and where it lies."""
+    words = "the onder of that was entin and the rest of it " * 5
+    for k in range(pii.CORE):
+        lead = words[-100 - k :].strip() + " "
+        yield lead + span + " " + words, len(lead), len(lead) + len(span)
+
+
+@pytest.mark.parametrize(("kind", "span"), [(0, "JANE.DOE (AT) X (DOT) ORG"), (3, "(555) 123-4567"), (1, "FE80:12AB::9C01:77DE"), (1, "DEAD:BEEF::CAFE")])
+def test_windows_with_triggers_are_decoded(kind, span):
+    texts, starts, ends = zip(*planted(span), strict=True)
+    gated, every = (pii.tagged_spans(UpperTagger(kind), list(texts), g) for g in (True, False))
+    kept = [[pii.reconcile(t, [], s) for t, s in zip(texts, found, strict=True)] for found in (gated, every)]
+    assert kept[0] == kept[1] == [[(kind, a + (span[0] == "("), b)] for a, b in zip(starts, ends, strict=True)]
