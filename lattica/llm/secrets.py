@@ -3,11 +3,12 @@
 Base matches (assignments, access ids, long hex) are reported as they are. Weak
 candidates, which alone are too common to report, are long mixed tokens (secrets)
 and assigned account names (identifiers). With base matches and endpoints (URLs
-and assigned hosts) they form the parts of a text. Parts are dealt into buckets
-of REACH code points and joined with the parts of the same and the neighbouring
-buckets of their text: a weak secret is reported when an identifier or an
-endpoint lies in its scope (a paragraph) within REACH, a weak identifier when a
-secret does.
+and assigned hosts) they form the parts of a text. Weak parts are dealt into the
+buckets of REACH code points that they cover, and joined with the parts that
+cover a bucket of their text when widened by REACH on both sides; parts within
+REACH of each other share a bucket, however long they are. A weak secret is
+reported when an identifier or an endpoint lies in its scope (a paragraph) within
+REACH, a weak identifier when a secret does.
 """
 
 from __future__ import annotations
@@ -90,9 +91,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     placed = let(breaks, lambda b: F.transform(parts, lambda p: F.struct(*[p[c].alias(c) for c in ("kind", "start", "end")], F.size(F.filter(b, lambda x: x < p["start"])).alias("scope"))))
     keyed = cut(df.select("doc_id", "base", F.when(F.size(parts) > 0, placed).alias("parts"), F.monotonically_increasing_id().alias("row_key")))
 
-    each = keyed.select("row_key", F.explode("parts").alias("p")).select("row_key", "p.*", F.floor(F.col("p.start") / REACH).alias("bucket"))
-    weak = each.where(F.col("kind").isin(3, 4))
-    others = each.select("row_key", "scope", F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket"))
+    each = keyed.select("row_key", F.explode("parts").alias("p")).select("row_key", "p.*")
+    buckets = lambda start, end: F.explode(F.sequence(F.floor(start / REACH), F.floor(end / REACH))).alias("bucket")
+    weak = each.where(F.col("kind").isin(3, 4)).select("row_key", "kind", "start", "end", "scope", buckets(F.col("start"), F.col("end")))
+    others = each.select("row_key", "scope", F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), buckets(F.col("start") - REACH, F.col("end") + REACH))
     gap = F.greatest(F.col("start") - F.col("o_end"), F.col("o_start") - F.col("end"))
     complement = F.when(F.col("kind") == 4, F.col("o_kind").isin(1, 3, 5)).otherwise(F.col("o_kind").isin(0, 2, 4))
     linked = weak.join(others, ["row_key", "bucket", "scope"]).where((gap <= REACH) & complement).select("row_key", "kind", "start", "end").distinct()

@@ -73,6 +73,27 @@ def test_secrets_link_only_with_a_partner(spark):
     assert [s for i, s in got if i == 2] == ["linked_id:0:22,linked_secret:28:56"] * 2
 
 
+def test_secrets_link_by_distance_wherever_they_stand(spark):
+    secret = "Zx9k2LmQ81sdfkjh2348sdfkjh23"
+    # (kind, start of a part) and (kind, text) of what it is paired with; the kinds that are reported when both are in reach
+    pairs = [("https://h.example/", secret, (4,)), ("client_id = ", secret, (3, 4)), ("password=", "client_id = abc_user1", (3,))]
+    rows, expected = [], []
+    for begin, partner, kinds in pairs:
+        for n in (20, 60, 120, 300, 600, 1500):
+            part = begin + ("ab." * n)[: n - 1] + "z"
+            for offset in range(0, 300, 75):
+                for gap in (1, 150, 299, 300, 301):
+                    for first, second in ((part, partner), (partner, part)):
+                        a, b = offset, offset + len(first) + gap
+                        spans = {first: (a, a + len(first)), second: (b, b + len(second))}
+                        weak = {3: partner if kinds == (3,) else part, 4: partner}
+                        rows.append((len(rows), " " * offset + first + " " * gap + second))
+                        expected.append(sorted((*spans[weak[k]], k) for k in kinds if gap <= secrets.REACH))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: sorted((s.start, s.end, s.kind) for s in r.linked) for r in secrets.find_secrets(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == expected
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.digest(secrets.find_secrets(none)).count() == 0
