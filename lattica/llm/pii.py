@@ -4,14 +4,16 @@ The tagger is trained in numpy from labelled spans: emails, addresses, cards and
 phone numbers, plain and disguised, and look-alikes that are none, planted in
 stretches of a bounded sample of the corpus. Texts are cut into overlapping
 windows; the CRF decodes each, and a span belongs to the window in whose core it
-begins, so every place is judged once and with context on both sides. The spans
-of a text are then reconciled: a span that touches a base span or a better
-scored one goes, and so does one whose characters can't be of its kind.
+begins, so every place is judged once and with context on both sides. A span that
+comes near the end of its window goes on in the next one, and so forth, so spans
+of any length come out whole. The spans of a text are then reconciled: a span that
+touches a base span or a better scored one goes, and so does one whose characters
+can't be of its kind.
 
 A span that can be of a kind holds a digit, an @, a spelled-out "at" or "dot", or
 a colon before a colon or a hex digit (an address such as dead:beef::cafe); every
-window that holds one of these is decoded, the others are not, as no span of
-theirs could stay.
+window that holds one of these is decoded, and so are those that a span may have
+come from or go on into. The others are not, as no span of theirs could stay.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from lattica.llm.textscan import as_batches, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Characters in a window, and in its core, which begins a quarter of the window in.
 WINDOW, CORE = 128, 64
+#: Where a span leaves its window for the next one: both have context around this place.
+LEAVE = WINDOW - CORE // 4
 #: Documents whose stretches carry the training spans, and windows made from them.
 TRAIN_DOCUMENTS, TRAIN_WINDOWS = 300, 2048
 
@@ -174,47 +178,75 @@ def possible(kind: int, span: str) -> bool:
     return kind == 0 or 9 <= len(digits) <= 15 and bool(re.search(r"[ ()-]", span)) and not re.match(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", span)
 
 
+def _end(tags: list[int], at: int, inside: int) -> int:
+    """Where the run of ``inside`` that holds or begins at ``at`` ends."""
+    while at < WINDOW and tags[at] == inside:
+        at += 1
+    return at
+
+
 def tagged_spans(tagger: Tagger, texts: list[str], gated: bool = True) -> list[list[tuple[int, int, int, float]]]:
     """(kind, start, end, score) of the tagger's spans in each text: windows decoded side by side, each span from the window in whose core it begins.
 
-    With ``gated`` only windows that hold a trigger are decoded.
+    A span that comes to LEAVE in its window goes on where the next window has that
+    place, if that one has it inside of the same kind, too. With ``gated``
+    only windows that hold a trigger are decoded, and their neighbours that share a
+    span with them.
     """
-    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    where, rows = [], []
+    symbols: dict[int, np.ndarray] = {}
+    held: dict[tuple[int, int], tuple[list[int], np.ndarray] | None] = {}
+    wanted: list[tuple[int, int]] = []
     for k, text in enumerate(texts):
         at = [m.start() for m in _trigger.finditer(text)] if gated else range(len(text))
         if not at:
             continue
-        own = codes(text)
+        symbols[k] = codes(text)
         # a place is in the windows of two cores
         core = np.unique(np.concatenate([(np.array(at) + d) // CORE for d in (-CORE // 2, CORE // 2)]))
-        for c in core[(core >= 0) & (core * CORE < len(own))].tolist():
-            a = c * CORE - CORE // 2
-            row = np.full(WINDOW, PAD, np.int16)
-            lo, hi = max(0, a), min(len(own), a + WINDOW)
-            row[lo - a : hi - a] = own[lo:hi]
-            rows.append(row)
-            where.append((k, a))
-    for at in range(0, len(rows), 1024):
-        x = np.array(rows[at : at + 1024]).T
-        mask = x != PAD
-        scores = tagger.scores(x, mask)
-        path = viterbi(scores, mask, tagger.p["moves"])
-        margin = np.take_along_axis(scores, path[:, :, None], 2)[:, :, 0] - scores[:, :, 0]
-        for n in np.flatnonzero((path > 0).any(0)).tolist():
-            (k, a), tags = where[at + n], path[:, n]
-            t = CORE // 2
-            while t < CORE // 2 + CORE:
-                tag = tags[t]
-                begins = tag > 0 and (tag % 2 == 1 or tags[t - 1] not in (tag, tag - 1))
-                if begins:
-                    kind, end = (tag - 1) // 2, t + 1
-                    while end < WINDOW and tags[end] == 2 + 2 * kind:
-                        end += 1
-                    found[k].append((int(kind), a + t, a + end, float(margin[t:end, n].mean())))
-                    t = end
-                else:
-                    t += 1
+        wanted += [(k, c) for c in core[(core >= 0) & (core * CORE < len(text))].tolist()]
+    while wanted:
+        near: set[tuple[int, int]] = set()
+        for at in range(0, len(wanted), 1024):
+            some = wanted[at : at + 1024]
+            x = np.full((len(some), WINDOW), PAD, np.int16)
+            for n, (k, c) in enumerate(some):
+                a = c * CORE - CORE // 2
+                own = symbols[k][max(0, a) : a + WINDOW]
+                x[n, max(0, -a) : max(0, -a) + len(own)] = own
+            x = x.T
+            mask = x != PAD
+            scores = tagger.scores(x, mask)
+            path = viterbi(scores, mask, tagger.p["moves"])
+            margin = np.take_along_axis(scores, path[:, :, None], 2)[:, :, 0] - scores[:, :, 0]
+            held.update(dict.fromkeys(some))
+            for n in np.flatnonzero((path > 0).any(0)).tolist():
+                k, c = some[n]
+                tags = path[:, n].tolist()
+                held[k, c] = tags, margin[:, n].copy()
+                if tags[LEAVE - CORE] > 0 and tags[LEAVE - CORE] % 2 == 0 and c > 0:
+                    near.add((k, c - 1))
+                if tags[LEAVE - 1] > 0 and (c + 1) * CORE < len(texts[k]):
+                    near.add((k, c + 1))
+        wanted = sorted(near - held.keys())
+    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    for (k, c), window in sorted((w, v) for w, v in held.items() if v):
+        tags, a, t = window[0], c * CORE - CORE // 2, CORE // 2
+        while t < CORE // 2 + CORE:
+            tag = tags[t]
+            begins = tag > 0 and (tag % 2 == 1 or tags[t - 1] not in (tag, tag - 1))
+            if begins:
+                inside, (run, margin), first, at, total = (tag + 1) // 2 * 2, window, t, c, 0.0
+                end = _end(run, t + 1, inside)
+                while end >= LEAVE and (after := held.get((k, at + 1))) and after[0][LEAVE - CORE] == inside:
+                    total += float(margin[first:LEAVE].sum())
+                    (run, margin), first, at = after, LEAVE - CORE, at + 1
+                    end = _end(run, first, inside)
+                total += float(margin[first:end].sum())
+                end += (at - c) * CORE
+                found[k].append((inside // 2 - 1, a + t, a + end, total / (end - t)))
+                t = end
+            else:
+                t += 1
     return found
 
 

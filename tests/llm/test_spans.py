@@ -157,3 +157,15 @@ def test_windows_with_triggers_are_decoded(kind, span):
     gated, every = (pii.tagged_spans(UpperTagger(kind), list(texts), g) for g in (True, False))
     kept = [[pii.reconcile(t, [], s) for t, s in zip(texts, found, strict=True)] for found in (gated, every)]
     assert kept[0] == kept[1] == [[(kind, a + (span[0] == "("), b)] for a, b in zip(starts, ends, strict=True)]
+
+
+@pytest.mark.parametrize(("kind", "length"), [(1, 39), (0, 45), (0, 60), (0, 130), (0, 400)])
+@pytest.mark.parametrize("first", [True, False])
+def test_spans_longer_than_a_window_are_whole(kind, length, first):
+    long, rest = "ABC-" * (length // 4), " (AT) X (DOT) ORG"
+    span = "2001:0DB8:85A3:0000:0000:8A2E:0370:7334" if kind else long[: length - len(rest) - 1] + "D" + rest if first else "J (AT) " + long[: length - 15] + "D (DOT) X"
+    assert abs(len(span) - length) < 2
+    texts, starts, ends = zip(*planted(span), strict=True)
+    gated, every = (pii.tagged_spans(UpperTagger(kind), list(texts), g) for g in (True, False))
+    kept = [[pii.reconcile(t, [], s) for t, s in zip(texts, found, strict=True)] for found in (gated, every)]
+    assert kept[0] == kept[1] == [[(kind, a, b)] for a, b in zip(starts, ends, strict=True)]
