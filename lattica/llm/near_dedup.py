@@ -23,6 +23,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from lattica.session import cut
 MINWISE, LEAF, SHORT, PATHS = 256, 128, 64, 64
 #: Shingles of a vertex that count as one.
 UNIT = 1000
+#: Chance that a pair at the threshold whose nodes stay large is compared at the last level.
+RECALL = 0.999
 _odd = np.random.default_rng(7).integers(0, 2**63, MINWISE, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -48,6 +51,21 @@ def least_agree(percent: int, values: int) -> float:
     return p - 4.5 * (p * (1 - p) / values) ** 0.5
 
 
+def survival(percent: int, level: int) -> float:
+    """The chance that a tree keeps a pair at the threshold together down to ``level``: one token at the root, then one and a share of a second."""
+    p, second = percent / 100, min(1.0, (10_000 // percent - 100) / 100)
+    kept = p
+    for _ in range(level - 1):
+        kept = p * (1 - (1 - kept) * (1 - second * kept))
+    return kept
+
+
+def trees_for(percent: int, depth: int, recall: float = RECALL) -> int:
+    """Trees that keep a pair at the threshold together down to the last level in at least one with chance ``recall``."""
+    lost = 1 - survival(percent, depth)
+    return 1 if lost < 1e-9 else ceil(log(1 - recall) / log(lost))
+
+
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one."""
     data, offsets = text_bytes(column)
@@ -270,7 +288,7 @@ def _leaf_links(leaves: DataFrame, percent: int) -> DataFrame:
     return leaves.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 8, star_trees: int = 4, leaf: int = 2048, depth: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int | None = None, star_trees: int = 4, leaf: int = 2048, depth: int = 5) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
 
     Texts are linked when 100 * common >= percent * all over their distinct
@@ -279,8 +297,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     over links, kept says that it is the row's own. A null, empty or blank text has
     no shingles and no links. A row without doc_id takes no part: its component_id
     is null and it is kept. Repeated rows fall into one component; a doc_id that
-    comes with several texts is one vertex with the links of each.
+    comes with several texts is one vertex with the links of each. The number of
+    ``trees`` follows from depth and RECALL when none is given.
     """
+    trees = trees or trees_for(percent, depth)
     sketched = cut(sketch(docs, k))
     some = sketched.where("n_shingles > 0 and doc_id is not null")
     sets = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("tokens").alias("tokens"))

@@ -1,6 +1,7 @@
 """Near-duplicates, pieces, counts, contamination, quality, URLs, pages and toxicity against brute force."""
 
 import hashlib
+import inspect
 import random
 import re
 from collections import Counter
@@ -227,3 +228,17 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert toxicity.score_toxicity(docs, toxicity.train(docs, none)).first().predicted == 0
+
+
+def test_trees_keep_pairs_at_the_threshold_together():
+    """Pairs of which 80 % of the minwise tokens agree, followed through as many trees as production has, down to the last level."""
+    given = {k: p.default for k, p in inspect.signature(near_dedup.near_duplicates).parameters.items()}
+    trees = given["trees"] or near_dedup.trees_for(80, given["depth"])
+    rng, pairs = np.random.default_rng(5), 40_000
+    met = np.zeros(pairs, bool)
+    for _ in range(trees):
+        shared = rng.binomial(1, 0.8, pairs)
+        for _ in range(given["depth"] - 1):
+            shared = rng.binomial(shared + rng.binomial(shared, 0.25), 0.8)
+        met |= shared > 0
+    assert (~met).mean() < 0.002
