@@ -2,38 +2,38 @@
 
 Identity is a hash of normalised content; ids are ranks of first occurrence in a
 total order, so a build gives the same tables however its input is partitioned.
-Ranks over all keys run through a range-partitioned sort: partition counts are
-summed first and each partition numbers its own rows, so no single task sorts all.
+Ranks over all keys run through a range-partitioned sort that is written once:
+each partition numbers its own rows and only the partitions' sizes are summed
+apart, so no single task sorts all. Keys and hashes are computed once for each
+raw triple; the tables of a build are Parquet that later queries read.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import canonical_entity_key, canonical_relation, casefold, content_hash, normalize_text
-from lattica.session import cut
+from lattica.operators.windows import numbered
+from lattica.session import saved
 
 ORDER = ("dataset_id", "source_index", "triple_index")
 
 
-def numbered(df: DataFrame, by: list[str], name: str, start: int = 1) -> DataFrame:
-    """Add the row's rank in the order of ``by`` (unique together), counting from ``start``."""
-    keyed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
-    local = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
-    sizes = local.groupBy("_part").agg(F.max("_n").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return local.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_n") + start - 1).cast("long")).drop("_part", "_n", "_before")
-
-
 def parsed(raw: DataFrame) -> DataFrame:
     """Normalised triples of the two types with no empty field."""
     t = raw.withColumns({"triple_type": F.upper(normalize_text("triple_type")), **{c: normalize_text(c) for c in ("subject", "predicate", "object")}})
     return t.where(F.col("triple_type").isin("RELATION", "ATTRIBUTE") & (F.col("subject") != "") & (F.col("predicate") != "") & (F.col("object") != ""))
 
 
+def keyed(t: DataFrame) -> DataFrame:
+    """Parsed triples with the keys of both ends and the content key of the triple."""
+    ends = t.withColumns({"s_key": canonical_entity_key("subject"), "o_key": canonical_entity_key("object")})
+    return ends.withColumn("content_key", content_hash("triple_type", "s_key", canonical_relation("predicate"), "o_key"))
+
+
 def forward_key(subject: Column, predicate: Column) -> Column:
     return F.concat_ws(" ", subject, predicate)
 
@@ -61,41 +61,47 @@ def _ord(*more: str) -> Column:
     return F.struct(*ORDER, *more)
 
 
+def kv_keyed(kvs: DataFrame) -> DataFrame:
+    """Key/value pairs with the content key of the pair."""
+    return kvs.withColumn("kv_key", content_hash(casefold("key_text"), "value_text"))
+
+
 def kv_records(kvs: DataFrame) -> DataFrame:
-    """kv_offset (from 0, by first occurrence), content_key, key_text and value_text of the distinct pairs; the first text wins."""
-    keyed = kvs.withColumn("content_key", content_hash(casefold("key_text"), "value_text"))
-    first = keyed.groupBy("content_key").agg(F.min(_ord("kv_index")).alias("first"), F.min_by(F.struct("key_text", "value_text"), _ord("kv_index")).alias("t"))
-    flat = first.select("content_key", "first.*", "t.*")
+    """kv_offset (from 0, by first occurrence), content_key, key_text and value_text of the distinct pairs (with kv_key); the first text wins."""
+    first = kvs.groupBy("kv_key").agg(F.min_by(F.struct(*ORDER, "kv_index", "key_text", "value_text"), _ord("kv_index")).alias("t"))
+    flat = first.select(F.col("kv_key").alias("content_key"), "t.*")
     return numbered(flat, [*ORDER, "kv_index"], "kv_offset", 0).select("kv_offset", "content_key", "key_text", "value_text")
 
 
 def kv_sources(kvs: DataFrame, records: DataFrame) -> DataFrame:
-    keyed = kvs.withColumn("content_key", content_hash(casefold("key_text"), "value_text"))
-    return keyed.join(records.select("content_key", "kv_offset"), "content_key").select("kv_offset", "dataset_id", "sample_id", "triple_index", "kv_index").distinct()
+    joined = kvs.join(records.select(F.col("content_key").alias("kv_key"), "kv_offset"), "kv_key")
+    return joined.select("kv_offset", "dataset_id", "sample_id", "triple_index", "kv_index").distinct()
+
+
+def _ends(t: DataFrame) -> DataFrame:
+    """Both ends of keyed triples: order, role (0 for the subject), name and canonical_key."""
+    end = lambda role, name, key: F.struct(F.lit(role).alias("role"), F.col(name).alias("name"), F.col(key).alias("canonical_key"))
+    return t.select(*ORDER, F.explode(F.array(end(0, "subject", "s_key"), end(1, "object", "o_key"))).alias("end")).select(*ORDER, "end.*")
 
 
 def nodes(t: DataFrame) -> DataFrame:
     """node_id (from 1, subject before object), canonical_key, canonical_name (the first) and kind: entity if it is ever a subject."""
-    ends = t.select(*ORDER, F.lit(0).alias("role"), F.col("subject").alias("name")).union(t.select(*ORDER, F.lit(1).alias("role"), F.col("object").alias("name")))
-    first = ends.withColumn("canonical_key", canonical_entity_key("name")).groupBy("canonical_key").agg(F.min(_ord("role")).alias("first"), F.min_by("name", _ord("role")).alias("canonical_name"), F.min("role").alias("role_"))
-    flat = first.select("canonical_key", "canonical_name", F.when(F.col("role_") == 0, "entity").otherwise("literal").alias("kind"), "first.*")
-    return numbered(flat, [*ORDER, "role"], "node_id").select("node_id", "canonical_key", "canonical_name", "kind")
+    first = _ends(t).groupBy("canonical_key").agg(F.min_by(F.struct(*ORDER, "role", "name"), _ord("role")).alias("t"), F.min("role").alias("least_role"))
+    flat = first.select("canonical_key", F.when(F.col("least_role") == 0, "entity").otherwise("literal").alias("kind"), "t.*")
+    return numbered(flat, [*ORDER, "role"], "node_id").select("node_id", "canonical_key", F.col("name").alias("canonical_name"), "kind")
 
 
 def aliases(t: DataFrame, node_table: DataFrame) -> DataFrame:
     """alias_key, alias_name (the first) and node_id: every surface form of every node."""
-    ends = t.select(*ORDER, F.lit(0).alias("role"), F.col("subject").alias("name")).union(t.select(*ORDER, F.lit(1).alias("role"), F.col("object").alias("name")))
-    ends = ends.withColumn("alias_key", casefold("name")).withColumn("canonical_key", canonical_entity_key("name"))
-    joined = ends.join(node_table.select("node_id", "canonical_key"), "canonical_key")
-    return joined.groupBy("alias_key", "node_id").agg(F.min_by("name", _ord("role")).alias("alias_name"))
+    forms = _ends(t).groupBy("name", "canonical_key").agg(F.min(_ord("role")).alias("first"))
+    joined = forms.withColumn("alias_key", casefold("name")).join(node_table.select("node_id", "canonical_key"), "canonical_key")
+    return joined.groupBy("alias_key", "node_id").agg(F.min_by("name", "first").alias("alias_name"))
 
 
 def graph_triples(t: DataFrame, node_table: DataFrame) -> DataFrame:
     """triple_id (from 1), content_key, triple_type, subject_id, predicate (first text), object_id and object_kind of the distinct triples."""
-    keyed = t.withColumns({"s_key": canonical_entity_key("subject"), "o_key": canonical_entity_key("object")})
-    keyed = keyed.withColumn("content_key", content_hash("triple_type", "s_key", canonical_relation("predicate"), "o_key"))
-    first = keyed.groupBy("content_key").agg(F.min(_ord()).alias("first"), F.min_by(F.struct("triple_type", "s_key", "predicate", "o_key"), _ord()).alias("t"))
-    flat = first.select("content_key", "first.*", "t.*")
+    first = t.groupBy("content_key").agg(F.min_by(F.struct(*ORDER, "triple_type", "s_key", "predicate", "o_key"), _ord()).alias("t"))
+    flat = first.select("content_key", "t.*")
     s = node_table.select(F.col("canonical_key").alias("s_key"), F.col("node_id").alias("subject_id"))
     o = node_table.select(F.col("canonical_key").alias("o_key"), F.col("node_id").alias("object_id"), F.col("kind").alias("o_kind"))
     joined = numbered(flat, list(ORDER), "triple_id").join(s, "s_key").join(o, "o_key")
@@ -103,52 +109,82 @@ def graph_triples(t: DataFrame, node_table: DataFrame) -> DataFrame:
     return joined.select("triple_id", "content_key", "triple_type", "subject_id", "predicate", "object_id", kind.alias("object_kind"))
 
 
-def triple_links(t: DataFrame, triple_table: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(triple_kvs, triple_sources): the pairs of each triple by first ordinal, and where each triple came from."""
-    keyed = t.withColumn("content_key", content_hash("triple_type", canonical_entity_key("subject"), canonical_relation("predicate"), canonical_entity_key("object")))
-    known = keyed.join(triple_table.select("content_key", "triple_id"), "content_key").drop("content_key")
-    kvs = default_kvs(known).withColumn("content_key", content_hash(casefold("key_text"), "value_text")).join(records.select("content_key", "kv_offset"), "content_key")
-    links = kvs.groupBy("triple_id", "kv_offset").agg(F.min("kv_index").alias("ordinal"))
-    sources = known.groupBy("triple_id", "dataset_id", "sample_id", "triple_index").agg(F.min("source_index").alias("source_index"), F.min_by("title", "source_index").alias("title"))
-    return links, sources
+def triple_kvs(t: DataFrame, triple_table: DataFrame, records: DataFrame) -> DataFrame:
+    """triple_id, kv_offset and ordinal (the first) of the pairs of each triple."""
+    pairs = kv_keyed(default_kvs(t)).groupBy("content_key", "kv_key").agg(F.min("kv_index").alias("ordinal"))
+    known = pairs.join(triple_table.select("content_key", "triple_id"), "content_key").drop("content_key")
+    return known.join(records.select(F.col("content_key").alias("kv_key"), "kv_offset"), "kv_key").groupBy("triple_id", "kv_offset").agg(F.min("ordinal").alias("ordinal"))
+
+
+def triple_sources(t: DataFrame, triple_table: DataFrame) -> DataFrame:
+    """Where each triple came from: triple_id, dataset_id, sample_id, triple_index, source_index and title."""
+    known = t.join(triple_table.select("content_key", "triple_id"), "content_key")
+    return known.groupBy("triple_id", "dataset_id", "sample_id", "triple_index").agg(F.min("source_index").alias("source_index"), F.min_by("title", "source_index").alias("title"))
 
 
 class Store:
-    """The tables of one build. Those that others are built from are computed once, when first asked for."""
+    """The tables of one build, each computed and written once, when first asked for."""
+
+    TABLES = ("kv_records", "nodes", "aliases", "triples", "triple_kvs", "triple_sources")
 
     def __init__(self, raw: DataFrame):
         self.parsed = parsed(raw)
         self.kvs = default_kvs(self.parsed)
 
+    @cached_property
+    def keyed(self) -> DataFrame:
+        return saved(keyed(self.parsed), "keyed")
+
+    @cached_property
+    def kv_keyed(self) -> DataFrame:
+        return saved(kv_keyed(default_kvs(self.keyed)), "kv_keyed")
+
     @cached_property
     def kv_records(self) -> DataFrame:
-        return cut(kv_records(self.kvs))
+        return saved(kv_records(self.kv_keyed), "kv_records")
+
+    @cached_property
+    def kv_sources(self) -> DataFrame:
+        return kv_sources(self.kv_keyed, self.kv_records)
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return cut(nodes(self.parsed))
+        return saved(nodes(self.keyed), "nodes")
 
     @cached_property
     def triples(self) -> DataFrame:
-        return cut(graph_triples(self.parsed, self.nodes))
+        return saved(graph_triples(self.keyed, self.nodes), "triples")
 
     @cached_property
     def triple_kvs(self) -> DataFrame:
-        return triple_links(self.parsed, self.triples, self.kv_records)[0]
+        return saved(triple_kvs(self.keyed, self.triples, self.kv_records), "triple_kvs")
 
     @cached_property
     def triple_sources(self) -> DataFrame:
-        return triple_links(self.parsed, self.triples, self.kv_records)[1]
+        return saved(triple_sources(self.keyed, self.triples), "triple_sources")
 
     @cached_property
     def aliases(self) -> DataFrame:
-        return aliases(self.parsed, self.nodes)
+        return saved(aliases(self.keyed, self.nodes), "aliases")
+
+    @cached_property
+    def incidence(self) -> DataFrame:
+        """All incident triples with their rank; laid out by node, so that expansions read it without sorting it again."""
+        return saved(incidence(self.triples).repartition("node_id").sortWithinPartitions("node_id"), "incidence")
 
     def write(self, path: str) -> None:
-        for name in ("kv_records", "nodes", "aliases", "triples", "triple_kvs", "triple_sources"):
+        for name in self.TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+class StoredTables(Store):
+    """A store that ``Store.write`` left at a path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        for name in self.TABLES:
+            self.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+
+
 def hydrated(store: Store) -> DataFrame:
     """Triples with the names of both ends and the first title that isn't empty."""
     name = lambda side: store.nodes.select(F.col("node_id").alias(f"{side}_id"), F.col("canonical_name").alias(f"{side}_name"))

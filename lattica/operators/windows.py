@@ -5,19 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.session import cut
+
+
+def in_order(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with ``_part`` and ``_n``: range partitions in the order of ``by``, and each row's place in its partition from 0.
+
+    Written once (``cut``): everything read from the result agrees on which row is
+    in which partition. Computed twice, the partitions differ, as a second reading
+    samples its bounds anew and may be coalesced otherwise.
+    """
+    place = F.monotonically_increasing_id()
+    laid = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", place))
+    return laid.withColumns({"_part": F.shiftright("_place", 33), "_n": F.col("_place").bitwiseAND((1 << 33) - 1)}).drop("_place")
+
+
+def _before(sizes: DataFrame) -> DataFrame:
+    """_part and what the partitions before it hold together; one row for each partition."""
+    rows = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sizes.select("_part", F.coalesce(F.sum("_size").over(rows), F.lit(0)).alias("_before")))
+
+
+def numbered(df: DataFrame, by: list[str], name: str, start: int = 1) -> DataFrame:
+    """Add the row's rank in the order of ``by`` (unique together), counting from ``start``."""
+    laid = in_order(df, by)
+    sizes = laid.groupBy("_part").agg((F.max("_n") + 1).alias("_size"))
+    return laid.join(_before(sizes), "_part").withColumn(name, (F.col("_before") + F.col("_n") + start).cast("long")).drop("_part", "_n", "_before")
+
 
 def exclusive_offsets(df: DataFrame, order: str, size: str, name: str) -> DataFrame:
     """Add the sum of ``size`` over all rows before, in order of ``order`` (unique).
 
     Rows are range-partitioned; each partition sums its own rows, and the
-    partitions' totals, a row for each, are summed apart.
+    partitions' totals, a row for each, are summed apart. A null size counts 0.
     """
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = parts.withColumn("_own", F.coalesce(F.sum(size).over(own), F.lit(0)))
-    totals = parts.groupBy("_part").agg(F.sum(size).alias("_total"))
-    before = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
+    laid = in_order(df, [order])
+    own = Window.partitionBy("_part").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    local = laid.withColumn("_own", F.coalesce(F.sum(size).over(own), F.lit(0)))
+    totals = laid.groupBy("_part").agg(F.coalesce(F.sum(size), F.lit(0)).alias("_size"))
+    return local.join(_before(totals), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_n", "_own", "_before")
 
 
 def running_parts(df: DataFrame, order: str, mark: str) -> DataFrame:

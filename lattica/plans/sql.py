@@ -32,10 +32,15 @@ _PARTS = [
     ("supplier", "s_suppkey", 0, "RELATION", "s_name", "located in", "n_name", "supplier JOIN nation ON s_nationkey = n_nationkey"),
     ("orders", "o_orderkey", 0, "RELATION", "'Order ' || o_orderkey", "placed by", "c_name", "orders JOIN customer ON o_custkey = c_custkey"),
     ("orders", "o_orderkey", 1, "ATTRIBUTE", "'Order ' || o_orderkey", "status", "o_orderstatus", "orders"),
+    ("orders", "o_orderkey", 2, "ATTRIBUTE", "'Order ' || o_orderkey", "priority", "o_orderpriority", "orders"),
+    ("lineitem", "l_orderkey", "place * 2", "RELATION", "'Order ' || l_orderkey", "supplied by", "s_name", "lines JOIN supplier ON l_suppkey = s_suppkey"),
+    ("lineitem", "l_orderkey", "place * 2 + 1", "RELATION", "'Part ' || l_partkey", "sold in", "'Order ' || l_orderkey", "lines"),
     ("part", "p_partkey", 0, "ATTRIBUTE", "'Part ' || p_partkey", "brand", "p_brand", "part"),
     ("part", "p_partkey", 1, "ATTRIBUTE", "'Part ' || p_partkey", "name", "p_name", "part"),
+    ("part", "p_partkey", 2, "ATTRIBUTE", "'Part ' || p_partkey", "type", "p_type", "part"),
 ]
-RAW = "raw AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dataset_id, CAST({k} AS VARCHAR) AS sample_id, CAST({k} AS BIGINT) AS source_index, {i} AS triple_index, '{t}' AS triple_type, {s} AS subject, '{p}' AS predicate, {o} AS object, '{d}' AS title FROM {f}" for d, k, i, t, s, p, o, f in _PARTS) + ")"
+LINES = "lines AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS place FROM lineitem)"
+RAW = LINES + ", raw AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dataset_id, CAST({k} AS VARCHAR) AS sample_id, CAST({k} AS BIGINT) AS source_index, {i} AS triple_index, '{t}' AS triple_type, {s} AS subject, '{p}' AS predicate, {o} AS object, '{d}' AS title FROM {f}" for d, k, i, t, s, p, o, f in _PARTS) + ")"
 PARSED = f"{RAW}, t AS (SELECT dataset_id, sample_id, source_index, triple_index, triple_type, {norm('subject')} AS subject, {norm('predicate')} AS predicate, {norm('object')} AS object, title FROM raw WHERE {norm('subject')} <> '' AND {norm('object')} <> '')"
 KVS = f"""{PARSED}, kvs AS (
   SELECT *, 0 AS kv_index, subject || ' ' || predicate AS key_text, object AS value_text FROM t

@@ -266,7 +266,7 @@ def set_difference(spark: Spark, sf_dir: str) -> DataFrame:
 
 @query("t14_by_length", "SELECT conv_id, turn, row_number() OVER (ORDER BY length(coalesce(text, '')), conv_id, turn) AS place FROM conversations")
 def by_length(spark: Spark, sf_dir: str) -> DataFrame:
-    from lattica.operators.store import numbered
+    from lattica.operators.windows import numbered
 
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))
     return numbered(t, ["n", "conv_id", "turn"], "place").select("conv_id", "turn", "place")
@@ -274,7 +274,7 @@ def by_length(spark: Spark, sf_dir: str) -> DataFrame:
 
 @query("q35_split", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= 100 THEN 'train' ELSE 'test' END AS part FROM documents")
 def split(spark: Spark, sf_dir: str) -> DataFrame:
-    from lattica.operators.store import numbered
+    from lattica.operators.windows import numbered
 
     return numbered(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "n").select("doc_id", F.when(F.col("n") <= 100, "train").otherwise("test").alias("part"))
 

@@ -4,22 +4,37 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRIPLES = ("dataset_id", "sample_id", "source_index", "triple_index", "triple_type", "subject", "predicate", "object", "title")
 
 
+#: The tables that triples are made of.
+TRIPLE_TABLES = ("nation", "region", "customer", "supplier", "orders", "lineitem", "part")
+
+
+def snapshot(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TRIPLE_TABLES) -> tuple[str, ...]:
+    """What the files of some tables are at the moment: path, length and time of change of each, as their file system lists them."""
+    context = spark.sparkContext
+    seen = []
+    for name in names:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
+        seen += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files]
+    return tuple(sorted(seen))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _triples(df: DataFrame, dataset: str, key: str, index: int, kind: str, subject: Column, predicate: str, obj: Column) -> DataFrame:
+def _triples(df: DataFrame, dataset: str, key: str, index: int | Column, kind: str, subject: Column, predicate: str, obj: Column) -> DataFrame:
     return df.select(
         F.lit(dataset).alias("dataset_id"),
         F.col(key).cast("string").alias("sample_id"),
         F.col(key).cast("long").alias("source_index"),
-        F.lit(index).alias("triple_index"),
+        (F.lit(index) if isinstance(index, int) else index.cast("int")).alias("triple_index"),
         F.lit(kind).alias("triple_type"),
         subject.alias("subject"),
         F.lit(predicate).alias("predicate"),
@@ -37,6 +52,11 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     part = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
+    # lines have no key of their own; their place in the order is one
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", place.alias("place"))
+    line_order = F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"))
+    supplied = lines.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     parts = [
         _triples(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), "nation", "n_nationkey", 0, "RELATION", F.col("n_name"), "part of", F.col("r_name")),
         _triples(customers, "customer", "c_custkey", 0, "RELATION", F.col("c_name"), "located in", F.col("n_name")),
@@ -44,8 +64,12 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         _triples(suppliers, "supplier", "s_suppkey", 0, "RELATION", F.col("s_name"), "located in", F.col("n_name")),
         _triples(orders, "orders", "o_orderkey", 0, "RELATION", order, "placed by", F.col("c_name")),
         _triples(t("orders"), "orders", "o_orderkey", 1, "ATTRIBUTE", order, "status", F.col("o_orderstatus")),
+        _triples(t("orders"), "orders", "o_orderkey", 2, "ATTRIBUTE", order, "priority", F.col("o_orderpriority")),
+        _triples(supplied, "lineitem", "l_orderkey", F.col("place") * 2, "RELATION", line_order, "supplied by", F.col("s_name")),
+        _triples(lines, "lineitem", "l_orderkey", F.col("place") * 2 + 1, "RELATION", F.concat(F.lit("Part "), F.col("l_partkey").cast("string")), "sold in", line_order),
         _triples(t("part"), "part", "p_partkey", 0, "ATTRIBUTE", part, "brand", F.col("p_brand")),
         _triples(t("part"), "part", "p_partkey", 1, "ATTRIBUTE", part, "name", F.col("p_name")),
+        _triples(t("part"), "part", "p_partkey", 2, "ATTRIBUTE", part, "type", F.col("p_type")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
