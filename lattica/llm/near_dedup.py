@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
 from lattica.llm.pieces import ragged_take
-from lattica.llm.textscan import SPACES, U64, Words, as_batches, mix, slices, text_bytes
+from lattica.llm.textscan import SPACES, U64, Words, as_batches, fixed_bytes, mix, slices, text_bytes
 from lattica.operators.components import connected_components
 from lattica.session import cut
 
@@ -40,6 +40,8 @@ from lattica.session import cut
 MINWISE, LEAF, SHORT, PATHS = 256, 128, 64, 64
 #: Shingles of a vertex that count as one.
 UNIT = 1000
+#: The largest nodes of a level, so many, are joined by broadcast.
+HOT = 1000
 #: Chance that a pair at the threshold whose nodes stay large is compared at the last level.
 RECALL = 0.999
 _odd = np.random.default_rng(7).integers(0, 2**63, MINWISE, dtype=np.uint64) * U64(2) + U64(1)
@@ -124,7 +126,7 @@ def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINWISE) for c in ("sig_a", "sig_b"))
+                x, y = (fixed_bytes(batch.column(c), MINWISE) for c in ("sig_a", "sig_b"))
                 near = pa.array((x == y).mean(1) >= least_agree(percent, MINWISE))
                 yield batch.select(["a", "b"]).filter(near).cast(schema)
 
@@ -169,18 +171,29 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def _with_nodes(rows: DataFrame, nodes: DataFrame, size: str) -> DataFrame:
+    """Rows joined with their nodes (written before, one row each).
+
+    The HOT largest nodes go out by broadcast, so their rows stay where they are; a
+    node that is left for the shuffle has at most one row in HOT of all.
+    """
+    hot = cut(nodes.orderBy(F.desc(size), "node").limit(HOT))
+    large = rows.join(F.broadcast(hot), "node")
+    return large.unionByName(rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(nodes, "node"))
+
+
 def _spokes(on_path: DataFrame, percent: int) -> DataFrame:
     """For each vertex, the two pivots on its paths that its short signature agrees with best, where they agree enough."""
     here = F.struct("id", "short")
     pivots = F.array_distinct(F.array(F.min(here), *[F.min_by(here, F.xxhash64("id", F.lit(k))) for k in (1, 2)]))
-    middle = on_path.groupBy("node").agg(pivots.alias("m"), F.count("*").alias("c")).where("c > 1")
-    met = on_path.join(middle, "node").select(F.col("id").alias("a"), "short", F.explode("m").alias("p")).select("a", F.col("p.id").alias("b"), "short", F.col("p.short").alias("other")).where("a != b")
+    middle = cut(on_path.groupBy("node").agg(pivots.alias("m"), F.count("*").alias("c")).where("c > 1"))
+    met = _with_nodes(on_path, middle, "c").select(F.col("id").alias("a"), "short", F.explode("m").alias("p")).select("a", F.col("p.id").alias("b"), "short", F.col("p.short").alias("other")).where("a != b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SHORT) for c in ("short", "other"))
+                x, y = (fixed_bytes(batch.column(c), SHORT) for c in ("short", "other"))
                 agree = (x == y).sum(1)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree, pa.int64())], schema=schema).filter(pa.array(agree >= SHORT * least_agree(percent, SHORT)))
 
@@ -192,42 +205,65 @@ def _spokes(on_path: DataFrame, percent: int) -> DataFrame:
 _MEMBERS = ("id", "comp", "n", "side")
 
 
-def _comparable(m: list[dict], percent: int):
-    """For member i of a leaf, the members after it that it is compared with: of another component, like size and the other side."""
-    ids, comp, n, side = (np.array([x[c] for x in m], np.int64) for c in _MEMBERS)
-    order = np.argsort(ids, kind="stable")
-    ids, comp, n, side = ids[order], comp[order], n[order], side[order]
+def _laid_by_leaf(members: DataFrame) -> DataFrame:
+    """Members (with node) dealt by leaf, the members of a leaf one after another; a sort that spills, and no row is larger than a member."""
+    return members.repartition("node").sortWithinPartitions("node", "id")
+
+
+def _whole_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches cut where leaves end, with the place after each row's leaf; the leaf a batch ends in waits for the next one."""
+    rest: pa.RecordBatch | None = None
+
+    def with_ends(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        node = batch.column("node").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
+        return batch, np.repeat(edges[1:], np.diff(edges))
+
+    for batch in batches:
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        if batch.num_rows:
+            node = batch.column("node").to_numpy()
+            last = int(np.searchsorted(node, node[-1]))
+            if last:
+                yield with_ends(batch.slice(0, last))
+            rest = batch.slice(last)
+    if rest is not None and rest.num_rows:
+        yield with_ends(rest)
 
-    def of(i: int) -> np.ndarray:
-        j = slice(i + 1, None)
-        ok = (comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] < 0)) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
-        return np.flatnonzero(ok) + i + 1
 
-    return order, ids, comp, n, side, of
+def _comparable(batch: pa.RecordBatch, percent: int):
+    """ids, comp and n of a batch's rows, and for rows i and j of a leaf whether they are compared: other components, like sizes, other sides."""
+    ids, comp, n, side = (batch.column(c).to_numpy() for c in _MEMBERS)
 
+    def compared(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] < 0)) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
 
-def _near_members(leaves: DataFrame, percent: int) -> DataFrame:
-    """node, id, comp, n and side of the members of each leaf whose signature is near that of one they are compared with."""
-    schema = pa.schema([("node", pa.int64()), *[(c, pa.int64()) for c in _MEMBERS]])
+    return ids, comp, n, compared
+
+
+def _near_members(members: DataFrame, percent: int) -> DataFrame:
+    """node, id, comp, n and side of the members (with sig) whose signature is near that of one of their leaf they are compared with."""
     least = LEAF * least_agree(percent, LEAF)
+    schema = pa.schema([(c, pa.int64()) for c in ("node", *_MEMBERS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.zeros((5, 0), np.int64)]
-            for node, m in zip(batch.column("node").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                order, ids, comp, n, side, after = _comparable(m, percent)
-                sig = np.frombuffer(b"".join(m[k]["sig"] for k in order), np.uint8).reshape(-1, LEAF)
-                near = np.zeros(len(ids), bool)
-                for i in range(len(ids)):
-                    j = after(i)
-                    j = j[(sig[j] == sig[i]).sum(1) >= least]
-                    if len(j):
-                        near[i] = near[j] = True
-                if near.any():
-                    out.append(np.stack([np.full(near.sum(), node), ids[near], comp[near], n[near], side[near]]))
-            yield from as_batches([dict(zip(schema.names, np.concatenate(out, 1), strict=True))], schema)
-
-    return leaves.mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in _MEMBERS))
+        for batch, end in _whole_leaves(batches):
+            _, _, _, compared = _comparable(batch, percent)
+            sig = fixed_bytes(batch.column("sig"), LEAF)
+            near = np.zeros(len(end), bool)
+            # all pairs of all leaves, by how far apart the two stand
+            apart, i = 1, np.flatnonzero(end > np.arange(len(end)) + 1)
+            while len(i):
+                j = i + apart
+                ok = np.flatnonzero(compared(i, j))
+                ok = ok[(sig[i[ok]] == sig[j[ok]]).sum(1) >= least]
+                near[i[ok]] = near[j[ok]] = True
+                apart += 1
+                i = i[end[i] > i + apart]
+            yield batch.select(schema.names).filter(pa.array(near)).cast(schema)
+
+    return _laid_by_leaf(members).mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in _MEMBERS))
 
 
 def _full_sets(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -243,49 +279,56 @@ def _full_sets(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, set binary")
 
 
-def _leaf_links(leaves: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of vertices whose sets overlap enough, in each leaf; pairs in components that such a pair joins already are left out.
+def _leaf_links(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a leaf whose sets overlap enough; pairs in components that such a pair joins already are left out.
 
     Sets of 32-bit hashes can only overlap more than the full ones, so no link is
     missed; the few pairs that come out are confirmed on full sets.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def of_leaf(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sets: list[np.ndarray], compared) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(x) for x in sets])
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        by = np.argsort(number, kind="stable")
+        held, bounds = owner[by], np.searchsorted(number[by], np.arange(number.max(initial=-1) + 2))
+        root = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for i in range(len(sizes) - 1):
+            j = compared(i)
+            if not len(j):
+                continue
+            others, _ = ragged_take(held, bounds, number[ends[i] : ends[i + 1]])
+            common = np.bincount(others, minlength=len(sizes))[j]
+            for x in j[(common > 0) & (100 * common >= percent * (n[j] + n[i] - common))].tolist():
+                a, b = top(int(comp[i])), top(int(comp[x]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    yield int(ids[i]), int(ids[x])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
-            for m in batch.column("members").to_pylist():
-                order, ids, comp, n, _, after = _comparable(m, percent)
-                sets = [np.frombuffer(m[k]["set"], "<u4") for k in order]
-                sizes = np.array([len(x) for x in sets])
-                _, number = np.unique(np.concatenate(sets), return_inverse=True)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                by = np.argsort(number, kind="stable")
-                held, bounds = owner[by], np.searchsorted(number[by], np.arange(number.max(initial=-1) + 2))
-                root = {c: c for c in comp.tolist()}
-
-                def top(c: int) -> int:
-                    while root[c] != c:
-                        root[c] = root[root[c]]
-                        c = root[c]
-                    return c
-
-                for i in range(len(sizes)):
-                    j = after(i)
-                    if not len(j):
-                        continue
-                    others, _ = ragged_take(held, bounds, number[ends[i] : ends[i + 1]])
-                    common = np.bincount(others, minlength=len(sizes))[j]
-                    for x in j[(common > 0) & (100 * common >= percent * (n[j] + n[i] - common))].tolist():
-                        a, b = top(int(comp[i])), top(int(comp[x]))
-                        if a != b:
-                            root[max(a, b)] = min(a, b)
-                            found.append(ids[[[i, x]]])
-            both = np.concatenate(found)
+        for batch, end in _whole_leaves(batches):
+            ids, comp, n, compared = _comparable(batch, percent)
+            column, found, first = batch.column("set"), [], 0
+            while first < len(end):
+                last = int(end[first])
+                if (comp[first:last] != comp[first]).any():
+                    sets = [np.frombuffer(x.as_buffer(), "<u4") for x in column.slice(first, last - first)]
+                    after = lambda i, a=first, b=last: np.flatnonzero(compared(np.int64(a + i), np.arange(a + i + 1, b))) + i + 1
+                    found += of_leaf(ids[first:last], comp[first:last], n[first:last], sets, after)
+                first = last
+            both = np.array(found, np.int64).reshape(-1, 2)
             yield from as_batches([{"a": both[:, 0], "b": both[:, 1]}], schema)
 
-    return leaves.mapInArrow(run, "a long, b long")
+    return _laid_by_leaf(members).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int | None = None, star_trees: int = 4, leaf: int = 2048, depth: int = 5) -> DataFrame:
@@ -321,7 +364,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int |
         by_comp = at.groupBy("node", "comp").agg(F.sum("w").alias("c"))
         sizes = by_comp.groupBy("node").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         sizes = sizes.select("node", "c", F.col("top.comp").alias("top"), (F.col("c") - F.col("top.c")).alias("outside"))
-        at = cut(at.join(sizes, "node"))
+        at = cut(_with_nodes(at, cut(sizes), "c"))
         last = level == depth
         members = _union(members, at.where(F.col("c") <= leaf).select("node", "id", F.lit(-1).alias("side")))
         members = members.union(_against_largest(at.where((F.col("c") > leaf) & (F.col("outside") <= leaf)), leaf))
@@ -336,9 +379,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int |
         chosen = paths.join(with_comp.select("id", "comp", weight.alias("w"), "tokens"), "id")
         children = F.transform("paths", lambda x: F.xxhash64(x["node"], x["place"], F.substring(F.col("tokens"), (x["place"] * 2 + 1).cast("int"), F.lit(2))))
         at = chosen.select("id", "comp", "w", F.explode(children).alias("node"))
-    near = cut(_near_members(_gather(members, with_comp.select("id", "comp", "n", F.substring("sig", 1, LEAF).alias("sig")), "sig"), percent))
-    full = near.join(_full_sets(near, docs, k), "id").groupBy("node").agg(F.collect_list(F.struct(*_MEMBERS, "set")).alias("members"))
-    more = confirm(_leaf_links(full, percent).distinct(), docs, k, percent)
+    signed = members.join(with_comp.select("id", "comp", "n", F.substring("sig", 1, LEAF).alias("sig")), "id")
+    near = cut(_near_members(signed, percent))
+    more = confirm(_leaf_links(near.join(_full_sets(near, docs, k), "id"), percent).distinct(), docs, k, percent)
     comp_of = lambda x: with_comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
     joined = more.join(comp_of("a"), "a").join(comp_of("b"), "b").select("ca", "cb")
     second = connected_components(joined, "ca", "cb")
@@ -353,12 +396,6 @@ def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
     return b if a is None else a.union(b)
 
 
-def _gather(members: DataFrame, vertices: DataFrame, what: str) -> DataFrame:
-    """One row for each leaf with its members; a leaf has a bounded number of them."""
-    full = members.join(vertices, "id")
-    return full.groupBy("node").agg(F.collect_list(F.struct("id", "comp", F.col("n").alias("n"), "side", what)).alias("members"))
-
-
 def _against_largest(nodes: DataFrame, leaf: int) -> DataFrame:
     """Cut the largest component of each node into blocks of about ``leaf`` vertices; those outside it, few, go to each block."""
     n = F.ceil((F.col("c") - F.col("outside")) / leaf).cast("int")

@@ -81,6 +81,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def fixed_bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column whose values all have ``width`` bytes, a row for each; no copy is made."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
+
+
 class Words:
     """The words of a slice: byte bounds, the text each one is in, and prefix sums that hash any byte range."""
 
