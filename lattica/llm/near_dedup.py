@@ -36,7 +36,7 @@ from lattica.llm.textscan import SPACES, U64, Words, as_batches, fixed_bytes, mi
 from lattica.operators.components import connected_components
 from lattica.session import cut
 
-#: Minwise values in a signature, each kept as 8 bits, those of them compared in leaves and in its short form, and those kept as 16 bits to choose paths by.
+#: Minwise values in a signature, each kept as 8 bits; those of them that leaves and stars compare, kept as 4 bits, two to a byte; and those kept as 16 bits to choose paths by.
 MINWISE, LEAF, SHORT, PATHS = 256, 128, 64, 64
 #: Shingles of a vertex that count as one.
 UNIT = 1000
@@ -47,9 +47,10 @@ RECALL = 0.999
 _odd = np.random.default_rng(7).integers(0, 2**63, MINWISE, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def least_agree(percent: int, values: int) -> float:
-    """Lowest share of equal minwise values at which a pair is still a candidate: 4.5 standard deviations below the threshold."""
+def least_agree(percent: int, values: int, bits: int = 8) -> float:
+    """Lowest share of equal minwise values at which a pair is still a candidate: 4.5 standard deviations below the threshold, chance agreement of few bits included."""
     p = percent / 100
+    p += (1 - p) / 2**bits
     return p - 4.5 * (p * (1 - p) / values) ** 0.5
 
 
@@ -88,18 +89,25 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return sets
 
 
-def signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
-    """The smallest values of a set under MINWISE hash functions: 8 bits of each, and 16 bits of the first PATHS."""
+def signature(shingles: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The smallest values of a set under MINWISE hash functions: 8 bits of each, 4 bits of the first LEAF, and 16 bits of the first PATHS."""
     least = np.full(MINWISE, U64(2**64 - 1))
     for k in range(0, len(shingles), 1024):
         np.minimum(least, (shingles[k : k + 1024, None] * _odd).min(0), out=least)
     least = mix(least)
-    return (least >> U64(56)).astype(np.uint8).tobytes(), (least[:PATHS] >> U64(32)).astype("<u2").tobytes()
+    full = (least >> U64(56)).astype(np.uint8)
+    return full.tobytes(), (full[:LEAF:2] & 0xF0 | full[1:LEAF:2] >> 4).tobytes(), (least[:PATHS] >> U64(32)).astype("<u2").tobytes()
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values of each two rows of packed 4-bit values are equal."""
+    apart = a ^ b
+    return ((apart & 0xF0) == 0).sum(1) + ((apart & 0x0F) == 0).sum(1)
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (fingerprint of the set), sig and tokens of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
+    """doc_id, n_shingles, fp1, fp2 (fingerprint of the set), sig, packed and tokens of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sig", pa.binary()), ("packed", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,9 +116,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 fp1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 fp2 = np.array([mix(s + U64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 signed = [signature(s) for s in sets]
-                yield from as_batches([{"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "fp1": fp1, "fp2": fp2, "sig": [x for x, _ in signed], "tokens": [x for _, x in signed]}], schema)
+                yield from as_batches([{"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "fp1": fp1, "fp2": fp2, "sig": [x[0] for x in signed], "packed": [x[1] for x in signed], "tokens": [x[2] for x in signed]}], schema)
 
-    return needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, tokens binary")
+    return needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, packed binary, tokens binary")
 
 
 def _path(tree: F.Column, place: F.Column) -> F.Column:
@@ -171,31 +179,31 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def _with_nodes(rows: DataFrame, nodes: DataFrame, size: str) -> DataFrame:
-    """Rows joined with their nodes (written before, one row each).
+def _with_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows joined with their nodes, a row each.
 
-    The HOT largest nodes go out by broadcast, so their rows stay where they are; a
-    node that is left for the shuffle has at most one row in HOT of all.
+    The HOT nodes of most rows go out by broadcast, so their rows stay where they
+    are; a node that is left for the shuffle has at most one row in HOT of all.
     """
-    hot = cut(nodes.orderBy(F.desc(size), "node").limit(HOT))
-    large = rows.join(F.broadcast(hot), "node")
-    return large.unionByName(rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(nodes, "node"))
+    most = rows.groupBy("node").agg(F.count("*").alias("_rows")).where("_rows > 1").orderBy(F.desc("_rows"), "node").limit(HOT)
+    hot = F.broadcast(cut(most.select("node")))
+    large = rows.join(F.broadcast(nodes.join(hot, "node")), "node")
+    return large.unionByName(rows.join(hot, "node", "left_anti").join(nodes, "node"))
 
 
 def _spokes(on_path: DataFrame, percent: int) -> DataFrame:
     """For each vertex, the two pivots on its paths that its short signature agrees with best, where they agree enough."""
     here = F.struct("id", "short")
     pivots = F.array_distinct(F.array(F.min(here), *[F.min_by(here, F.xxhash64("id", F.lit(k))) for k in (1, 2)]))
-    middle = cut(on_path.groupBy("node").agg(pivots.alias("m"), F.count("*").alias("c")).where("c > 1"))
-    met = _with_nodes(on_path, middle, "c").select(F.col("id").alias("a"), "short", F.explode("m").alias("p")).select("a", F.col("p.id").alias("b"), "short", F.col("p.short").alias("other")).where("a != b")
+    middle = on_path.groupBy("node").agg(pivots.alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = _with_nodes(on_path, middle).select(F.col("id").alias("a"), "short", F.explode("m").alias("p")).select("a", F.col("p.id").alias("b"), "short", F.col("p.short").alias("other")).where("a != b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (fixed_bytes(batch.column(c), SHORT) for c in ("short", "other"))
-                agree = (x == y).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree, pa.int64())], schema=schema).filter(pa.array(agree >= SHORT * least_agree(percent, SHORT)))
+                agree = agreeing(*(fixed_bytes(batch.column(c), SHORT // 2) for c in ("short", "other")))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree, pa.int64())], schema=schema).filter(pa.array(agree >= SHORT * least_agree(percent, SHORT, 4)))
 
     near = met.mapInArrow(run, "a long, b long, agree long")
     best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("agree")).alias("worse"), "b"))), 1, 2).alias("best"))
@@ -243,21 +251,21 @@ def _comparable(batch: pa.RecordBatch, percent: int):
 
 
 def _near_members(members: DataFrame, percent: int) -> DataFrame:
-    """node, id, comp, n and side of the members (with sig) whose signature is near that of one of their leaf they are compared with."""
-    least = LEAF * least_agree(percent, LEAF)
+    """node, id, comp, n and side of the members (with packed) whose signature is near that of one of their leaf they are compared with."""
+    least = LEAF * least_agree(percent, LEAF, 4)
     schema = pa.schema([(c, pa.int64()) for c in ("node", *_MEMBERS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, end in _whole_leaves(batches):
             _, _, _, compared = _comparable(batch, percent)
-            sig = fixed_bytes(batch.column("sig"), LEAF)
+            packed = fixed_bytes(batch.column("packed"), LEAF // 2)
             near = np.zeros(len(end), bool)
             # all pairs of all leaves, by how far apart the two stand
             apart, i = 1, np.flatnonzero(end > np.arange(len(end)) + 1)
             while len(i):
                 j = i + apart
                 ok = np.flatnonzero(compared(i, j))
-                ok = ok[(sig[i[ok]] == sig[j[ok]]).sum(1) >= least]
+                ok = ok[agreeing(packed[i[ok]], packed[j[ok]]) >= least]
                 near[i[ok]] = near[j[ok]] = True
                 apart += 1
                 i = i[end[i] > i + apart]
@@ -346,17 +354,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int |
     trees = trees or trees_for(percent, depth)
     sketched = cut(sketch(docs, k))
     some = sketched.where("n_shingles > 0 and doc_id is not null")
-    sets = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("tokens").alias("tokens"))
-    vertices = cut(sets.select("id", F.col("n_shingles").alias("n"), "sig", "tokens", "fp1", "fp2"))
+    sets = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("sig", "packed", "tokens")])
+    vertices = cut(sets.select("id", F.col("n_shingles").alias("n"), "sig", "packed", "tokens", "fp1", "fp2"))
 
     tree = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("tree")
     # stars, by tree, token and size class
     size_class = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    on_path = vertices.select("id", "n", "tokens", F.substring("sig", 1, SHORT).alias("short"), tree(star_trees)).select("id", "short", F.xxhash64(_path(F.col("tree"), F.col("tree")), size_class).alias("node"))
+    on_path = vertices.select("id", "n", "tokens", F.substring("packed", 1, SHORT // 2).alias("short"), tree(star_trees)).select("id", "short", F.xxhash64(_path(F.col("tree"), F.col("tree")), size_class).alias("node"))
     links = confirm(_agreeing(_spokes(on_path, percent), vertices, percent), docs, k, percent)
     first = connected_components(links, "a", "b")
     # trees
-    with_comp = cut(vertices.join(first.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "sig", "tokens"))
+    with_comp = cut(vertices.join(first.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "packed", "tokens"))
     weight = F.ceil(F.col("n") / UNIT)
     at = with_comp.select("id", "comp", weight.alias("w"), F.explode(F.array(*[_path(F.lit(t), F.lit(t)) for t in range(trees)])).alias("node"))
     members = None
@@ -364,7 +372,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int |
         by_comp = at.groupBy("node", "comp").agg(F.sum("w").alias("c"))
         sizes = by_comp.groupBy("node").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         sizes = sizes.select("node", "c", F.col("top.comp").alias("top"), (F.col("c") - F.col("top.c")).alias("outside"))
-        at = cut(_with_nodes(at, cut(sizes), "c"))
+        at = cut(_with_nodes(at, sizes).select("node", "id", "c", "outside", (F.col("comp") == F.col("top")).alias("inside")))
         last = level == depth
         members = _union(members, at.where(F.col("c") <= leaf).select("node", "id", F.lit(-1).alias("side")))
         members = members.union(_against_largest(at.where((F.col("c") > leaf) & (F.col("outside") <= leaf)), leaf))
@@ -379,7 +387,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int |
         chosen = paths.join(with_comp.select("id", "comp", weight.alias("w"), "tokens"), "id")
         children = F.transform("paths", lambda x: F.xxhash64(x["node"], x["place"], F.substring(F.col("tokens"), (x["place"] * 2 + 1).cast("int"), F.lit(2))))
         at = chosen.select("id", "comp", "w", F.explode(children).alias("node"))
-    signed = members.join(with_comp.select("id", "comp", "n", F.substring("sig", 1, LEAF).alias("sig")), "id")
+    signed = members.join(with_comp.select("id", "comp", "n", "packed"), "id")
     near = cut(_near_members(signed, percent))
     more = confirm(_leaf_links(near.join(_full_sets(near, docs, k), "id"), percent).distinct(), docs, k, percent)
     comp_of = lambda x: with_comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
@@ -387,7 +395,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int |
     second = connected_components(joined, "ca", "cb")
     final = with_comp.join(second.withColumnsRenamed({"node": "comp"}), "comp", "left").select("id", F.coalesce("component", "comp").alias("component_id"))
     by_set = vertices.select("id", "fp1", "fp2", F.col("n").alias("n_shingles")).join(final.distinct(), "id").drop("id")
-    out = sketched.drop("sig", "tokens").join(by_set, ["fp1", "fp2", "n_shingles"], "left")
+    out = sketched.drop("sig", "packed", "tokens").join(by_set, ["fp1", "fp2", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -399,9 +407,8 @@ def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
 def _against_largest(nodes: DataFrame, leaf: int) -> DataFrame:
     """Cut the largest component of each node into blocks of about ``leaf`` vertices; those outside it, few, go to each block."""
     n = F.ceil((F.col("c") - F.col("outside")) / leaf).cast("int")
-    inside = F.col("comp") == F.col("top")
-    block = F.when(inside, F.array(F.pmod(F.xxhash64("id"), n).cast("int"))).otherwise(F.sequence(F.lit(0), n - 1))
-    dealt = nodes.select("node", "id", inside.alias("inside"), F.explode(block).alias("block"))
+    block = F.when(F.col("inside"), F.array(F.pmod(F.xxhash64("id"), n).cast("int"))).otherwise(F.sequence(F.lit(0), n - 1))
+    dealt = nodes.select("node", "id", "inside", F.explode(block).alias("block"))
     side = F.when(F.col("inside"), 0).when(F.col("block") == 0, -1).otherwise(1)
     return dealt.select(F.xxhash64("node", "block").alias("node"), "id", side.alias("side"))
 
