@@ -8,14 +8,16 @@ window's words are hit and the items that hold it are noted. Only runs of words
 that the items know, at least as long as the shortest window, are streamed; a
 window can't lie anywhere else.
 
-The items are test sets, whose size doesn't follow the corpus. Their bytes are
-measured first: up to ``shard_bytes`` one automaton serves, beyond it items are
-dealt over several, each a pass of its own, and the hits are put together.
+The items are test sets, whose size doesn't follow the corpus. Their words are
+counted first: up to ``shard_words`` one automaton serves (some 100 MB at the
+default, as it has at most two states a word), beyond it items are dealt over
+several, each a pass of its own, and the hits are put together. An item that is
+long by itself is cut into pieces that overlap by a window less a word, so no
+window is lost.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
 from lattica.llm.textscan import NOT_ALNUM, Words, as_batches, slices, text_bytes
+from lattica.session import cut
 
-SHARD_BYTES = 16 << 20
+#: Words of items that one automaton takes, and of one piece of an item.
+SHARD_WORDS, PIECE_WORDS = 200_000, 10_000
 
 
 class ItemAutomaton:
@@ -52,21 +56,26 @@ class ItemAutomaton:
             if self.length[v] >= window:
                 up = self.link[v]
                 self.full[v] = self.full[up] if self.length[up] >= window else v
-        self.items: list[set[str]] = [set() for _ in range(n)]
+        self.items: dict[int, set[str]] = {}
         self.short: dict[int, set[str]] = {}
         for item, text in coded:
             v = 0
             for w in text:
                 v = self.next[v][w]
                 if self.full[v] >= 0:
-                    self.items[self.full[v]].add(item)
+                    self.items.setdefault(self.full[v], set()).add(item)
             if len(text) < window:
                 self.short.setdefault(v, set()).add(item)
         # short items that end where a state's runs end, longest first
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * n
+        self.ends: dict[int, tuple[tuple[int, int], ...]] = {}
         for v in sorted(range(1, n), key=self.length.__getitem__):
             own = ((self.length[v], v),) if v in self.short else ()
-            self.ends[v] = own + self.ends[self.link[v]]
+            if every := own + self.ends.get(self.link[v], ()):
+                self.ends[v] = every
+        # what streaming needs, flat: one table of moves, and arrays
+        self.moves = {v * len(words) + w: to for v, after in enumerate(self.next) for w, to in after.items()}
+        self.link, self.length, self.full = (np.array(x, np.int32) for x in (self.link, self.length, self.full))
+        del self.next
 
     def _extend(self, last: int, w: int) -> int:
         if w in self.next[last]:
@@ -99,17 +108,20 @@ class ItemAutomaton:
     def stream(self, run: list[int], at: int, hits: list[tuple[int, int]], found: set[str]) -> None:
         """Follow a run of known words from word ``at`` of its text; append (first, after last) word of hit windows."""
         v = length = 0
+        moves, n = self.moves, len(self.vocabulary)
         for k, w in enumerate(run, at + 1):
-            while v and w not in self.next[v]:
-                v = self.link[v]
-                length = self.length[v]
-            if w in self.next[v]:
-                v = self.next[v][w]
+            to = moves.get(v * n + w, -1)
+            while to < 0 and v:
+                v = int(self.link[v])
+                length = int(self.length[v])
+                to = moves.get(v * n + w, -1)
+            if to >= 0:
+                v = to
                 length += 1
             if length >= self.window:
                 hits.append((k - self.window, k))
-                found |= self.items[self.full[v]]
-            for size, state in self.ends[v]:
+                found |= self.items[int(self.full[v])]
+            for size, state in self.ends.get(v, ()):
                 if length >= size:
                     hits.append((k - size, k))
                     found |= self.short[state]
@@ -126,21 +138,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _items(benchmark: DataFrame) -> tuple[dict[str, list[list[int]]], dict[str, int]]:
-    """The items' word hashes by id; collected after their bytes were measured."""
-    rows = benchmark.collect()
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, piece, text (words joined by blanks) and n_words of the items, long ones cut into overlapping pieces."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    step = max(1, PIECE_WORDS - window + 1)
+    worded = benchmark.where("text is not null").select("item_id", words.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step))
+    cuts = worded.select("item_id", "w", F.posexplode(starts).alias("piece", "at"))
+    return cuts.select("item_id", "piece", F.slice("w", F.col("at") + 1, PIECE_WORDS).alias("w")).select("item_id", "piece", F.array_join("w", " ").alias("text"), F.size("w").alias("n_words"))
+
+
+def _items(pieces: DataFrame) -> dict[str, list[list[int]]]:
+    """The pieces' word hashes by item; collected after their words were counted."""
     items: dict[str, list[list[int]]] = {}
-    for row in rows:
+    for row in pieces.collect():
         words = Words(*text_bytes(pa.array([row["text"]], pa.string())), NOT_ALNUM)
         items.setdefault(str(row["item_id"]), []).append(words.hashes().tolist())
     return items
 
 
-def _hits(docs: DataFrame, automaton: ItemAutomaton) -> DataFrame:
-    """Per row: doc_id, row_key, n_words, begins and ends of hit runs of words (merged), and the items found."""
-    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(automaton)
+def _hits(texts: DataFrame, automaton: ItemAutomaton) -> DataFrame:
+    """The rows of ``texts`` (with text) and n_words, begins and ends of hit runs of words (merged), and the items found."""
+    added = [("n_words", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
+    shared = texts.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = shared.value
@@ -164,31 +185,36 @@ def _hits(docs: DataFrame, automaton: ItemAutomaton) -> DataFrame:
                         i = int(words.doc[a])
                         auto.stream(code[a:b].tolist(), a - int(words.bounds[i]), spans[i], items[i])
                 runs = [merged(x) for x in spans]
-                yield from as_batches([{"row_key": part.column("row_key"), "doc_id": part.column("doc_id"), "n_words": n, "begins": [[a for a, _ in r] for r in runs], "ends": [[b for _, b in r] for r in runs], "items": [sorted(x) for x in items]}], schema)
+                found = [n, [[a for a, _ in r] for r in runs], [[b for _, b in r] for r in runs], [sorted(x) for x in items]]
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, kind) for x, (_, kind) in zip(found, added, strict=True)]], names=[*part.schema.names, *[name for name, _ in added]])
 
-    return docs.mapInArrow(run, "row_key long, doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>")
+    kept = ", ".join(f"{name} {kind}" for name, kind in texts.dtypes)
+    return texts.mapInArrow(run, f"{kept}, n_words long, begins array<long>, ends array<long>, items array<string>")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, begins and ends (the hit runs of words, merged), items.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, begins and ends (the hit runs of words, merged), items, and the columns to ``carry`` as a struct ``carried``.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
     lower-cased. An item of fewer words than ``window`` is one window; an item
     without words has none. A null text has no words; an item_id that comes twice
     counts once, a null one as 'None'. Repeated rows each get their own result.
     """
-    bench = needed(benchmark, item_id="string", text="string").where("text is not null")
-    texts = needed(docs, doc_id="long", text="string")
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_bytes))
+    pieces = _pieces(needed(benchmark, item_id="string", text="string"), window)
+    texts = needed(docs, doc_id="long", text="string") if not carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
+    total = pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_words))
+    out = ["doc_id", "n_words", "begins", "ends", "items", *["carried"] * bool(carry)]
     if shards == 1:
-        return _hits(texts.withColumn("row_key", F.lit(0).cast("long")), ItemAutomaton(_items(bench), window)).drop("row_key")
-    keyed = texts.withColumn("row_key", F.monotonically_increasing_id())
+        return _hits(texts, ItemAutomaton(_items(pieces), window)).select(*out)
+    # every pass has to know a row by the same key
+    keyed = cut(texts.withColumn("row_key", F.monotonically_increasing_id()))
     passes = None
     for k in range(shards):
-        part = _hits(keyed, ItemAutomaton(_items(bench.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)), window))
+        mine = pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)) == k)
+        part = _hits(keyed.select("row_key", "text"), ItemAutomaton(_items(mine), window)).drop("text")
         passes = part if passes is None else passes.union(part)
-    together = passes.groupBy("row_key", "doc_id", "n_words").agg(
+    together = passes.groupBy("row_key", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "ends")))).alias("runs"),
         F.array_distinct(F.array_sort(F.flatten(F.collect_list("items")))).alias("items"),
     )
@@ -196,45 +222,55 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         if(size(done) > 0 and r.begins <= element_at(done, -1).ends,
            concat(slice(done, 1, size(done) - 1), array(named_struct('begins', element_at(done, -1).begins, 'ends', greatest(element_at(done, -1).ends, r.ends)))),
            concat(done, array(r))))""")
-    return together.withColumn("runs", merged).select("doc_id", "n_words", F.col("runs.begins").alias("begins"), F.col("runs.ends").alias("ends"), "items")
+    rows = together.withColumn("runs", merged).withColumns({"begins": F.col("runs.begins"), "ends": F.col("runs.ends")})
+    return keyed.drop("text").join(rows, "row_key").select(*out)
 
 
 def judge(found: DataFrame, least_percent: int = 5) -> DataFrame:
     """Add n_hit, n_items, items_sha256 and contaminated (hit words make up ``least_percent`` of the words at least)."""
     n_hit = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    more = [c for c in found.columns if c == "carried"]
     return found.withColumn("n_hit", n_hit).select(
         "doc_id", "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= least_percent * F.col("n_words"))).alias("contaminated"),
+        *more,
     )
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_run: int = 13, max_percent: int = 5) -> DataFrame:
-    """doc_id and text of every row, without the hit runs of more than ``max_run`` words, or
-    without all hit runs where they make up more than ``max_percent`` of the words.
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_run: int = 13, max_percent: int = 5, columns: tuple[str, ...] = (), drop_contaminated: bool = False) -> DataFrame:
+    """doc_id, text and the named ``columns`` of every row, without the hit runs of more than ``max_run`` words, or
+    without all hit runs where they make up ``max_percent`` of the words or more; and n_cut, the words taken out.
 
-    Words keep their places; what stands between the removed words goes with them.
-    A row with a null doc_id or text is returned as it is.
+    With ``drop_contaminated`` rows over the percentage go altogether. Each row is
+    judged and cut by itself, in one pass, however often its doc_id comes. Words
+    keep their places; what stands between the removed words goes with them. A
+    null text stays null.
     """
-    found = find_contamination(docs, benchmark, window)
-    plan = found.withColumn("runs", F.arrays_zip("begins", "ends")).withColumn("n_hit", F.expr("aggregate(runs, 0L, (n, r) -> n + r.ends - r.begins)"))
-    plan = plan.withColumn("runs", F.expr(f"if(100 * n_hit > {max_percent} * n_words, runs, filter(runs, r -> r.ends - r.begins > {max_run}))"))
-    plan = plan.where(F.size("runs") > 0).select("doc_id", F.col("runs.begins").alias("begins"), F.col("runs.ends").alias("ends")).distinct()
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    found = find_contamination(docs, benchmark, window, carry=("text", *[c for c in columns if c not in ("doc_id", "text")]))
+    hit = F.expr("aggregate(zip_with(begins, ends, (a, b) -> b - a), 0L, (n, x) -> n + x)")
+    over = (hit > 0) & (100 * hit >= max_percent * F.col("n_words"))
+    runs = F.arrays_zip("begins", "ends")
+    plan = found.withColumn("over", over).withColumn("runs", F.when(F.col("over"), runs).otherwise(F.filter(runs, lambda r: r["ends"] - r["begins"] > max_run)))
+    if drop_contaminated:
+        plan = plan.where(~F.col("over"))
+    flat = plan.select("doc_id", "carried.*", F.col("runs.begins").alias("_begins"), F.col("runs.ends").alias("_ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, begins, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "begins", "ends")), strict=True):
-                if begins and text:
+            texts, begins, ends = batch.column("text").to_pylist(), batch.column("_begins").to_pylist(), batch.column("_ends").to_pylist()
+            n_cut = [0] * len(texts)
+            for i, text in enumerate(texts):
+                if text and begins[i]:
                     raw = text.encode()
                     words = Words(*text_bytes(pa.array([text])), NOT_ALNUM)
-                    for a, b in sorted(zip(begins, ends, strict=True), reverse=True):
-                        if b <= len(words.starts):
-                            raw = raw[: words.starts[a]] + raw[words.ends[b - 1] :]
-                    text = raw.decode()
-                out.append(text)
-            yield from as_batches([{"doc_id": batch.column("doc_id"), "text": out}], schema)
-
-    return needed(docs, doc_id="long", text="string").join(plan, "doc_id", "left").mapInArrow(run, "doc_id long, text string")
+                    for a, b in sorted(zip(begins[i], ends[i], strict=True), reverse=True):
+                        raw = raw[: words.starts[a]] + raw[words.ends[b - 1] :]
+                        n_cut[i] += b - a
+                    texts[i] = raw.decode()
+            rest = [c for c in batch.schema.names if not c.startswith("_")]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in rest] + [pa.array(n_cut, pa.int64())], names=[*rest, "n_cut"])
+
+    kept = ", ".join(f"`{name}` {kind}" for name, kind in flat.dtypes if not name.startswith("_"))
+    return flat.mapInArrow(run, f"{kept}, n_cut long")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
 from lattica.llm.textscan import NOT_ALNUM, U64, Words, as_batches, mix, slices, text_bytes
+from lattica.session import cut
 
 BITS = 22
 #: Bytes of word beginnings that are features, beside the whole word.
@@ -68,23 +69,28 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def _rows(texts: list[str | None]) -> list[np.ndarray]:
-    doc, feature = features(pa.array(texts, pa.string()))
+def choose_features(df_p: np.ndarray, df_u: np.ndarray, n_p: int, n_u: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """(gain, whether usable) of features by the numbers of P and U texts that hold them."""
+    share_p, share_u = (df_p + 0.5) / (n_p + 1), (df_u + 0.5) / (n_u + 1)
+    gain = df_p * np.log(share_p / share_u)
+    return gain, (df_p >= 3) & (prior * share_p > LEAST_SHARE * share_u) & (gain > LEAST_GAIN)
+
+
+def distinct_features(texts: pa.Array, among: np.ndarray | None = None) -> list[np.ndarray]:
+    """The distinct features of each text, those of ``among`` (sorted) if given."""
+    doc, feature = features(texts)
+    if among is not None:
+        known = np.isin(feature, among)
+        doc, feature = doc[known], feature[known]
     pair = np.unique(doc << BITS | feature)
-    return np.split(pair & ((1 << BITS) - 1), np.searchsorted(pair, np.arange(1, len(texts)) << BITS)) if texts else []
+    return np.split(pair & ((1 << BITS) - 1), np.searchsorted(pair, np.arange(1, len(texts)) << BITS)) if len(texts) else []
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, top: int = FEATURES, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Classifier:
-    """Fit the classifier on feature arrays of P and U; ``prior`` is the share of toxic texts in U."""
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Classifier:
+    """Fit the classifier on the ``chosen`` features of the texts of P and U; ``prior`` is the share of toxic texts in U."""
     weights = np.zeros(1 << BITS, np.float32)
     if not positive or not unlabelled:
         return Classifier(weights, -10.0)
-    df = [np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (positive, unlabelled)]
-    share_p, share_u = (df[0] + 0.5) / (len(positive) + 1), (df[1] + 0.5) / (len(unlabelled) + 1)
-    common = np.flatnonzero(df[0] >= 3)
-    gain = df[0][common] * np.log(share_p[common] / share_u[common])
-    chosen = common[np.argsort(-gain, kind="stable")[:top]]
-    chosen = chosen[(prior * share_p[chosen] > LEAST_SHARE * share_u[chosen]) & (df[0][chosen] * np.log(share_p[chosen] / share_u[chosen]) > LEAST_GAIN)]
     if not len(chosen):
         return Classifier(weights, float(np.log(prior / (1 - prior))))
     column = np.full(1 << BITS, -1, np.int64)
@@ -135,7 +141,7 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None, top: int = FEATURES) -> Classifier:
     """Fit on at most ``positives`` confirmed toxic and ``unlabelled`` other training texts.
 
     The class prior is the share of toxic rows among the labelled training rows
@@ -149,31 +155,58 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = known.where("toxic = 1").orderBy(*by_hash).limit(positives).select("doc_id")
     other = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(unlabelled)
-    # text reaches the driver as features only
+    wanted = picked.withColumn("toxic", F.lit(True)).unionByName(other.withColumn("toxic", F.lit(False)))
+    sample = cut(texts.join(F.broadcast(wanted), "doc_id").select("toxic", "text"))
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
+    chosen = np.array(_best_features(sample, n_p, n_u, prior, top), np.int64)
+    # of a text only the chosen features reach the driver
     schema = pa.schema([("toxic", pa.bool_()), ("features", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [r.astype("<u4").tobytes() for r in _rows(part.column("text").to_pylist())]
+                rows = [r.astype("<u4").tobytes() for r in distinct_features(part.column("text"), chosen)]
                 yield from as_batches([{"toxic": part.column("toxic"), "features": rows}], schema)
 
-    wanted = picked.withColumn("toxic", F.lit(True)).unionByName(other.withColumn("toxic", F.lit(False)))
-    sample = texts.join(F.broadcast(wanted), "doc_id").select("toxic", "text").mapInArrow(run, "toxic boolean, features binary")
     sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
     # a stable order, however the rows arrive
-    for is_toxic, raw in sorted((r["toxic"], bytes(r["features"])) for r in sample.collect()):
+    for is_toxic, raw in sorted((r["toxic"], bytes(r["features"])) for r in sample.mapInArrow(run, "toxic boolean, features binary").collect()):
         sides[is_toxic].append(np.frombuffer(raw, "<u4").astype(np.int64))
-    return fit_nnpu(sides[True], sides[False], prior)
+    return fit_nnpu(sides[True], sides[False], chosen, prior)
+
+
+def _best_features(sample: DataFrame, n_p: int, n_u: int, prior: float, top: int) -> list[int]:
+    """The ``top`` usable features of the sample by gain, in ascending order; counted over the executors, of which each sends sums by feature."""
+    schema = pa.schema([("feature", pa.int64()), ("df_p", pa.int64()), ("df_u", pa.int64())])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                toxic = part.column("toxic").to_numpy(zero_copy_only=False)
+                rows = distinct_features(part.column("text"))
+                every = np.concatenate([np.zeros(0, np.int64), *rows])
+                mark = np.repeat(toxic, [len(r) for r in rows])
+                feature, at = np.unique(every, return_inverse=True)
+                df_p = np.bincount(at, mark, len(feature)).astype(np.int64)
+                yield from as_batches([{"feature": feature, "df_p": df_p, "df_u": np.bincount(at, minlength=len(feature)) - df_p}], schema)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gain, usable = choose_features(batch.column("df_p").to_numpy(), batch.column("df_u").to_numpy(), n_p, n_u, prior)
+            yield pa.RecordBatch.from_arrays([batch.column("feature"), pa.array(gain, pa.float64())], names=["feature", "gain"]).filter(pa.array(usable))
 
-def score_toxicity(docs: DataFrame, classifier: Classifier, threshold: float = 0.5) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
+    sums = sample.mapInArrow(count, "feature long, df_p long, df_u long").groupBy("feature").agg(F.sum("df_p").alias("df_p"), F.sum("df_u").alias("df_u"))
+    best = sums.where("df_p >= 3").mapInArrow(judged, "feature long, gain double").orderBy(F.desc("gain"), "feature").limit(top)
+    return sorted(r["feature"] for r in best.collect())
+
+
+def score_toxicity(docs: DataFrame, classifier: Classifier, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score (0 to 1), predicted, and the columns to ``carry`` as a struct ``carried``.
 
     A null or empty text has no features and gets the score that the bias alone
     gives. Repeated rows get equal scores. held_out is false for a null id.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     weights = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(classifier.weights), classifier.weights[classifier.weights != 0]))
     bias = classifier.bias
 
@@ -184,10 +217,14 @@ def score_toxicity(docs: DataFrame, classifier: Classifier, threshold: float = 0
         model = Classifier(full, bias)
         for batch in batches:
             for part in slices(batch, "text"):
-                yield from as_batches([{"doc_id": part.column("doc_id"), "score": model.score(part.column("text"))}], schema)
-
-    scored = needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+                rest = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(model.score(part.column("text")), pa.float64())], names=[*rest, "score"])
+
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more) if carry else needed(docs, doc_id="long", text="string")
+    kept = ", ".join(f"{name} {kind}" for name, kind in texts.dtypes if name != "text")
+    scored = texts.mapInArrow(run, f"{kept}, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["carried"] * bool(carry))
 
 
 def crc_bucket(doc_id: int) -> int:

@@ -101,7 +101,7 @@ def test_token_counts(spark, library):
 def test_pieces_without_dropout_are_the_librarys(library):
     model = pieces.load(pieces.read_model(piece_model()))
     plain = [t or "" for t in texts(200) if "▁" not in (t or "")]
-    ids, ends = pieces.encode_texts(model, plain, np.arange(len(plain), dtype=np.uint64), 0.0, 1, 1)
+    ids, ends = pieces.encode_texts(model, plain, np.arange(len(plain), dtype=np.uint64), 0.0, 1)
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == library.encode(plain)
 
 
@@ -114,6 +114,28 @@ def test_dropout_is_seeded_varied_and_lossless(spark, library):
     assert library.decode(list(first[500].token_ids)) == rows[-1][1]
 
 
+def test_every_occurrence_has_its_own_dropout(spark):
+    """Each pre-token of each text is segmented as its own agenda does it alone, and its key is its own."""
+    model = pieces.load(pieces.read_model(piece_model()))
+    plain = ["thtion andering the thtion", "", "thtion " * 300, "x \u2581y \U0010ffff\u2581 z", "a" * 90 + " " + "ab" * 40]
+    keys = np.array([5, 6, 7, 8, 9], np.uint64)
+    bar = int(0.3 * 2**53)
+    ids, ends = pieces.encode_texts(model, plain, keys, 0.3, 11)
+    assert [d.decode() for d in pieces.decode_ids(model, ids, ends)] == plain
+    for k in (0, 2, 4):
+        want = []
+        for index, word in enumerate(("\u2581" + plain[k].replace(" ", "\u2581")).split("\u2581")[1:]):
+            key = pieces.mix(pieces.mix(keys[k : k + 1] + pieces.U64(11)) + pieces.U64(index))
+            symbols = model.symbols(np.array([ord(c) for c in "\u2581" + word], np.uint32))
+            want += pieces.segment_heap(model, symbols.tolist(), int(key[0]), bar)
+        assert ids[ends[k] : ends[k + 1]].tolist() == want
+    words = Counter()
+    one, bounds = pieces.encode_texts(model, ["thtionandering"] * 2000, np.arange(2000, dtype=np.uint64), 0.3, 11)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        words[tuple(one[a:b].tolist())] += 1
+    assert len(words) > 8
+
+
 def test_matrix_and_heap_agree():
     model = pieces.load(pieces.read_model(piece_model()))
     bar = int(0.3 * 2**53)
@@ -137,8 +159,9 @@ def brute_hits(text, items, window=13):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 300])
-def test_contamination(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_words", "piece_words"), [(1 << 20, 10_000), (40, 10_000), (1 << 20, 15)])
+def test_contamination(spark, monkeypatch, shard_words, piece_words):
+    monkeypatch.setattr(decontam, "PIECE_WORDS", piece_words)
     rng = random.Random(3)
     words = ["ka", "lo", "mi", "nu", "É", "r2"]
     items = [(10 + k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([3, 12, 13, 14, 30, 30, 1, 0])] + [(10, "ka ka ka"), (99, None)]
@@ -150,7 +173,7 @@ def test_contamination(spark, shard_bytes):
         docs.append((k, ", ".join(w)))
     docs.append((200, None))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontam.judge(decontam.find_contamination(table(spark, docs), bench, shard_bytes=shard_bytes)).collect()}
+    got = {r.doc_id: r for r in decontam.judge(decontam.find_contamination(table(spark, docs), bench, shard_words=shard_words)).collect()}
     for i, t in docs:
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == brute_hits(t, items), t
@@ -164,6 +187,22 @@ def test_span_removal(spark):
     assert {r.doc_id: r.text for r in decontam.remove_spans(docs, bench).collect()} == {1: "before it . after", 2: "clean text", 3: None}
 
 
+@pytest.mark.parametrize("shard_words", [1 << 20, 12])
+def test_span_removal_judges_each_row_by_itself(spark, monkeypatch, shard_words):
+    """One doc_id with several texts, repeated rows and other columns, whatever their names."""
+    monkeypatch.setattr(decontam.find_contamination, "__defaults__", (13, shard_words, ()))
+    item, filler = " ".join(f"q{k}" for k in range(20)), " ".join(f"f{k}" for k in range(500))
+    rows = [(7, f"{filler} {item} x", "a", 1), (7, filler, "b", 2), (7, f"{item} y", "c", 3), (7, f"{filler} {item} x", "a", 1), (None, f"{filler} {item}", "d", 4), (8, None, None, None)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string, n_words long")
+    got = decontam.remove_spans(docs, bench, columns=("items", "n_words"), drop_contaminated=True).collect()
+    assert sorted(((r.doc_id, r.text, r["items"], r.n_words, r.n_cut) for r in got), key=repr) == sorted(
+        [(7, f"{filler}  x", "a", 1, 20), (7, filler, "b", 2, 0), (7, f"{filler}  x", "a", 1, 20), (None, f"{filler} ", "d", 4, 20), (8, None, None, None, 0)], key=repr
+    )
+    every = decontam.remove_spans(docs, bench).collect()
+    assert len(every) == len(rows) and sorted(r.n_cut for r in every) == [0, 0, 20, 20, 20, 20]
+
+
 def test_quality_measures(spark):
     rows = [(i, t) for i, t in enumerate([*texts(60), "a b c d e f g h " * 3, "x\ny\nx\n\n \n \nx", "1 2 3 4 5 6 7 8 9 " * 2])]
     docs = spark.createDataFrame([(i, t, None if i % 5 == 0 else "en", 1) for i, t in rows], "doc_id long, text string, lang string, n_words long")
