@@ -4,12 +4,15 @@ A text is cut into pre-tokens, each a run of word marks and what follows up to
 the next mark; no piece of the vocabulary reaches across such a cut. In each
 pre-token neighbouring symbols are merged by the vocabulary's scores, best first
 and leftmost first among equals. A merge candidate (place, left, right) is
-skipped for good when a hash keyed by the seed and by the occurrence's variant
-falls below the dropout rate, so segmentations vary from occurrence to
-occurrence, repeat from run to run, and always decode to the same text.
-
-Equal (pre-token, variant) pairs of a slice are segmented once: short ones side
-by side as rows of a matrix, long ones by a heap agenda. Nothing is shuffled.
+skipped for good when a hash keyed by the seed and by the occurrence (document
+and place of the pre-token in it) falls below the dropout rate, so segmentations
+vary from occurrence to occurrence, repeat from run to run, and always decode to
+the same text.
+
+The merges of a pre-token without dropout are found once in a slice. An
+occurrence none of whose merges is skipped has that segmentation; every other one
+runs its own agenda: short ones side by side as rows of a matrix, long ones over
+a heap. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -44,9 +47,13 @@ class PieceModel:
 
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = lib.get_piece_size()
+        if n >= UNKNOWN:
+            raise ValueError(f"a vocabulary of {n} pieces; symbols have 15 bits")
         normal = [i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         text = {i: lib.id_to_piece(i) for i in normal}
         self.ids = {t: i for i, t in text.items()}
+        if across := [t for t in self.ids if chr(MARK) in t.lstrip(chr(MARK))]:
+            raise ValueError(f"pieces that reach across a word mark: {across[:3]}")
         self.byte_ids = np.array([lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         scores = {i: lib.get_score(i) for i in normal}
         order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
@@ -124,14 +131,19 @@ def load(model: bytes) -> PieceModel:
     return PieceModel(model)
 
 
-def _skipped(keys: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, bar: int) -> np.ndarray:
-    pair = place.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F) + left.astype(np.uint64) * U64(0x165667B19E3779F9) + right.astype(np.uint64) * U64(0xD6E8FEB86659FD93)
-    return (mix(keys + pair) >> U64(11)) < U64(bar)
+def _candidate(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return place.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F) + left.astype(np.uint64) * U64(0x165667B19E3779F9) + right.astype(np.uint64) * U64(0xD6E8FEB86659FD93)
+
 
+def _skipped(keys: np.ndarray, candidate: np.ndarray, bar: int) -> np.ndarray:
+    return (mix(keys + candidate) >> U64(11)) < U64(bar)
 
-def segment_matrix(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, bar: int) -> np.ndarray:
+
+def segment_matrix(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, bar: int, made: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
     """Segment the rows of a matrix of symbols, padded with -1; the rows come back shortened in the same way.
 
+    The merges made are appended to ``made`` as (rows, candidates).
+
     Each round merges the best candidate of every row that has one. A cell holds
     place << 32 | symbol; a candidate holds rank << 16 | merged symbol.
     """
@@ -146,7 +158,7 @@ def segment_matrix(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, bar
         value = model.merge_of(left, right)
         if bar:
             can = np.flatnonzero(value != NEVER)
-            value[can[_skipped(of[can], place[can], left[can], right[can], bar)]] = NEVER
+            value[can[_skipped(of[can], _candidate(place[can], left[can], right[can]), bar)]] = NEVER
         return value
 
     pad = symbols < 0
@@ -169,6 +181,8 @@ def segment_matrix(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, bar
         if not len(rows):
             return out
         lane, width = np.arange(len(rows)), cells.shape[1]
+        if made is not None:
+            made.append((rows, _candidate(cells[lane, best] >> 32, cells[lane, best] & low, cells[lane, best + 1] & low)))
         cells[lane, best] = cells[lane, best] >> 32 << 32 | top & 0xFFFF
         keep = np.ones(cells.shape, bool)
         keep[lane, best + 1] = False
@@ -184,8 +198,8 @@ def segment_matrix(model: PieceModel, symbols: np.ndarray, keys: np.ndarray, bar
         ranked[row, col] = candidates(cells[row, col], cells[row, col + 1], keys[row])
 
 
-def segment_heap(model: PieceModel, symbols: list[int], key: int, bar: int) -> list[int]:
-    """Segment one long pre-token with a heap agenda over linked symbols."""
+def segment_heap(model: PieceModel, symbols: list[int], key: int, bar: int, made: list[int] | None = None) -> list[int]:
+    """Segment one long pre-token with a heap agenda over linked symbols; the merges made are appended to ``made``."""
     n = len(symbols)
     after, before, alive, agenda = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n, []
     symbols = list(symbols)
@@ -196,7 +210,7 @@ def segment_heap(model: PieceModel, symbols: list[int], key: int, bar: int) -> l
         if j < 0 or symbols[i] >= UNKNOWN or symbols[j] >= UNKNOWN:
             return
         merge = model.merges.get(symbols[i] << 15 | symbols[j])
-        if merge and not (bar and _skipped(key_array, np.array([i]), np.array([symbols[i]]), np.array([symbols[j]]), bar)[0]):
+        if merge and not (bar and _skipped(key_array, _candidate(*np.array([[i], [symbols[i]], [symbols[j]]])), bar)[0]):
             heapq.heappush(agenda, (merge[0], i, j, symbols[i], symbols[j], merge[1]))
 
     for i in range(n):
@@ -205,6 +219,8 @@ def segment_heap(model: PieceModel, symbols: list[int], key: int, bar: int) -> l
         _, i, j, left, right, new = heapq.heappop(agenda)
         if not (alive[i] and alive[j] and symbols[i] == left and symbols[j] == right and after[i] == j):
             continue
+        if made is not None:
+            made.append(int(_candidate(*np.array([[i], [left], [right]]))[0]))
         symbols[i], alive[j], after[i] = new, False, after[j]
         if after[j] >= 0:
             before[after[j]] = i
@@ -237,7 +253,49 @@ def _fall_back(model: PieceModel, flat: np.ndarray, offsets: np.ndarray) -> tupl
     return out, ends[offsets]
 
 
-def encode_texts(model: PieceModel, texts: list[str], doc_keys: np.ndarray, dropout: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def _segment_all(model: PieceModel, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray, bar: int, trace: bool = False):
+    """Ids of the pre-tokens symbols[begin : begin + size] one after another, their offsets, and with ``trace`` (rows, candidates) of the merges made."""
+    parts, counts = [(np.zeros(0, np.int64), np.zeros(0, np.int32))], np.zeros(len(begin), np.int64)
+    rows_made, made = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    order = np.argsort(size, kind="stable")
+    short = order[: int(np.searchsorted(size[order], MATRIX_CHARS, "right"))]
+    k = 0
+    while k < len(short):
+        width = int(size[short[k]])
+        stop = int(np.searchsorted(size[short], width + max(0, width // 6), "right"))
+        stop = min(stop, k + max(1, 100_000 // width))
+        rows = short[k:stop]
+        width = int(size[rows[-1]])
+        grid = begin[rows][:, None] + np.arange(width)
+        inside = np.arange(width) < size[rows][:, None]
+        cells = np.where(inside, symbols[np.minimum(grid, len(symbols) - 1)], -1)
+        steps: list[tuple[np.ndarray, np.ndarray]] | None = [] if trace else None
+        done = segment_matrix(model, cells, keys[rows], bar, steps)
+        have = done >= 0
+        counts[rows] = have.sum(1)
+        parts.append((rows, done[have]))
+        for lane, candidate in steps or ():
+            rows_made.append(rows[lane])
+            made.append(candidate)
+        k = stop
+    for row in order[len(short) :]:
+        own: list[int] | None = [] if trace else None
+        ids = segment_heap(model, symbols[begin[row] : begin[row] + size[row]].tolist(), int(keys[row]), bar, own)
+        counts[row] = len(ids)
+        parts.append((np.array([row]), np.array(ids, np.int32)))
+        if own:
+            rows_made.append(np.full(len(own), row))
+            made.append(np.array(own, np.uint64))
+    laid = np.concatenate([r for r, _ in parts])
+    flat = np.concatenate([v for _, v in parts]).astype(np.int32)
+    flat, offsets = _fall_back(model, flat, np.concatenate([[0], np.cumsum(counts[laid])]))
+    where = np.empty(len(laid), np.int64)
+    where[laid] = np.arange(len(laid))
+    ids, ends = ragged_take(flat, offsets, where)
+    return ids, ends, (np.concatenate(rows_made), np.concatenate(made))
+
+
+def encode_texts(model: PieceModel, texts: list[str], doc_keys: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, one after another, and the texts' offsets.
 
     An empty text has no ids. A literal word mark in a text goes through its
@@ -250,11 +308,12 @@ def encode_texts(model: PieceModel, texts: list[str], doc_keys: np.ndarray, drop
     # a mark before every text that isn't empty
     ends = np.cumsum(lens)
     at = (ends - lens)[full]
-    marked = np.insert(np.where(points == 32, np.uint32(MARK), np.where(points == MARK, np.uint32(0x10FFFF), points)), at, np.uint32(MARK))
+    literal = np.insert(points == MARK, at, False)
+    marked = np.insert(np.where(points == 32, np.uint32(MARK), points), at, np.uint32(MARK))
     doc_starts = np.concatenate([[0], np.cumsum(lens + full)])
     if not len(marked):
         return np.zeros(0, np.int32), doc_starts
-    is_mark = marked == MARK
+    is_mark = (marked == MARK) & ~literal
     first = is_mark.copy()
     first[1:] &= ~is_mark[:-1]
     first[doc_starts[:-1][full]] = True
@@ -262,47 +321,33 @@ def encode_texts(model: PieceModel, texts: list[str], doc_keys: np.ndarray, drop
     stops = np.append(starts[1:], len(marked))
     doc = np.searchsorted(doc_starts, starts, "right") - 1
     index = np.arange(len(starts)) - np.searchsorted(doc, doc)
-    variant = mix(mix(doc_keys[doc] + U64(seed)) + index.astype(np.uint64)) % U64(max(1, variants))
+    # equal pre-tokens by a hash of their characters
     step, n = U64(0x9E3779B97F4A7C15), len(marked)
     power, back = np.full(n, step, np.uint64), np.full(n, U64(pow(0x9E3779B97F4A7C15, -1, 2**64)), np.uint64)
     power[0] = back[0] = 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(marked.astype(np.uint64) + U64(0x51ED27)) * np.cumprod(power), out=sums[1:])
-    tag = mix((sums[stops] - sums[starts]) * np.cumprod(back)[starts] + mix(variant + U64(1)) + (stops - starts).astype(np.uint64))
+    np.cumsum(mix(marked.astype(np.uint64) + (literal.astype(np.uint64) << U64(32)) + U64(0x51ED27)) * np.cumprod(power), out=sums[1:])
+    size = stops - starts
+    tag = mix((sums[stops] - sums[starts]) * np.cumprod(back)[starts] + size.astype(np.uint64))
     _, pick, inverse = np.unique(tag, return_index=True, return_inverse=True)
-    begin, size, key = starts[pick], (stops - starts)[pick], mix(variant[pick] + mix(np.full(len(pick), seed, np.uint64)))
-    bar = int(dropout * 2**53)
+    inverse = inverse.reshape(-1)
     symbols = model.symbols(marked)
-    symbols[marked == 0x10FFFF] = UNKNOWN + MARK
-    parts, counts = [], np.zeros(len(pick), np.int64)
-    order = np.argsort(size, kind="stable")
-    short = order[: int(np.searchsorted(size[order], MATRIX_CHARS, "right"))]
-    k = 0
-    while k < len(short):
-        width = int(size[short[k]])
-        stop = int(np.searchsorted(size[short], width + max(0, width // 6), "right"))
-        stop = min(stop, k + max(1, 100_000 // width))
-        rows = short[k:stop]
-        width = int(size[rows[-1]])
-        grid = begin[rows][:, None] + np.arange(width)
-        inside = np.arange(width) < size[rows][:, None]
-        cells = np.where(inside, symbols[np.minimum(grid, n - 1)], -1)
-        done = segment_matrix(model, cells, key[rows], bar)
-        have = done >= 0
-        counts[rows] = have.sum(1)
-        parts.append((rows, done[have]))
-        k = stop
-    for row in order[len(short) :]:
-        ids = segment_heap(model, symbols[begin[row] : begin[row] + size[row]].tolist(), int(key[row]), bar)
-        counts[row] = len(ids)
-        parts.append((np.array([row]), np.array(ids, np.int32)))
-    laid = np.concatenate([r for r, _ in parts])
-    flat = np.concatenate([v for _, v in parts]).astype(np.int32)
-    flat, offsets = _fall_back(model, flat, np.concatenate([[0], np.cumsum(counts[laid])]))
-    where = np.empty(len(laid), np.int64)
-    where[laid] = np.arange(len(laid))
-    ids, word_ends = ragged_take(flat, offsets, where[inverse.reshape(-1)])
-    return ids, word_ends[np.searchsorted(doc, np.arange(len(texts) + 1))]
+    symbols[literal] = UNKNOWN + MARK
+    bar = int(dropout * 2**53)
+    ids, bounds, (rows, made) = _segment_all(model, symbols, starts[pick], size[pick], np.zeros(len(pick), np.uint64), 0, trace=bar > 0)
+    where = inverse.copy()
+    if bar:
+        by = np.argsort(rows, kind="stable")
+        made, made_at = made[by], np.searchsorted(rows[by], np.arange(len(pick) + 1))
+        key = mix(mix(doc_keys[doc] + U64(seed)) + index.astype(np.uint64))
+        merges, merge_ends = ragged_take(made, made_at, inverse)
+        skips = np.concatenate([[0], np.cumsum(_skipped(np.repeat(key, np.diff(merge_ends)), merges, bar))])
+        own = np.flatnonzero(skips[merge_ends[1:]] > skips[merge_ends[:-1]])
+        own_ids, own_bounds, _ = _segment_all(model, symbols, starts[own], size[own], key[own], bar)
+        where[own] = len(pick) + np.arange(len(own))
+        ids, bounds = np.concatenate([ids, own_ids]), np.concatenate([bounds, bounds[-1] + own_bounds[1:]])
+    out, word_ends = ragged_take(ids, bounds, where)
+    return out, word_ends[np.searchsorted(doc, np.arange(len(texts) + 1))]
 
 
 def decode_ids(model: PieceModel, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -318,7 +363,7 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 17, variants: int = 4, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 17, with_ids: bool = True) -> DataFrame:
     """Encode every text of ``docs`` with merge-dropout and check that it decodes to itself.
 
     Returns per row: doc_id, n_bytes, n_tokens, ids_sha256 (of the ids as 32-bit
@@ -336,7 +381,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
             for part in slices(batch, "text", SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 keys = mix(pc.fill_null(part.column("doc_id"), -1).to_numpy(zero_copy_only=False).astype(np.uint64))
-                ids, offsets = encode_texts(model, texts, keys, dropout, seed, variants)
+                ids, offsets = encode_texts(model, texts, keys, dropout, seed)
                 raw = [t.encode() for t in texts]
                 decoded = decode_ids(model, ids, offsets)
                 out = {
