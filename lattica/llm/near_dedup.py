@@ -145,18 +145,23 @@ def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
 FILTER_BITS = 256 * 32768
 
 
-def with_ids_of(df: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among ``ids``; a filter of bounded size that goes before a join.
+def marked_ids(df: DataFrame, column: str, ids: DataFrame, name: str, mark: str) -> DataFrame:
+    """Add ``mark``: whether ``column`` may be among ``ids``. False is certain; a null id isn't among them.
 
-    It spares the join's shuffle the rows that can't match. With very many ids it
-    lets most rows pass, and the join alone decides, as it always does.
+    The filter has a bounded size. With very many ids it lets most rows pass.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
     bits = ids.select(place(name).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
     at = F.bitmap_bit_position(place(column))
     byte = F.conv(F.hex(F.substring("_bits", (F.expr("_pos div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = df.withColumns({"_bucket": F.bitmap_bucket_number(place(column)), "_pos": at}).join(F.broadcast(bits), "_bucket")
-    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0).drop("_bucket", "_pos", "_bits")
+    met = df.withColumns({"_bucket": F.bitmap_bucket_number(place(column)), "_pos": at}).join(F.broadcast(bits), "_bucket", "left")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0, F.lit(False))
+    return met.withColumn(mark, hit & F.col(column).isNotNull()).drop("_bucket", "_pos", "_bits")
+
+
+def with_ids_of(df: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``ids``: spares a join's shuffle the rows that can't match; the join alone decides."""
+    return marked_ids(df, column, ids, name, "_maybe").where("_maybe").drop("_maybe")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
