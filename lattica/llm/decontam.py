@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
-from lattica.llm.textscan import NOT_ALNUM, Words, as_batches, slices, text_bytes
+from lattica.llm.textscan import NOT_ALNUM, Words, as_batches, map_arrow, slices, text_bytes
 from lattica.session import cut
 
 #: Words of items that one automaton takes, and of one piece of an item.
@@ -158,38 +158,58 @@ def _items(pieces: DataFrame) -> dict[str, list[list[int]]]:
     return items
 
 
+Found = tuple[np.ndarray, list[list[int]], list[list[int]], list[list[str]]]
+
+
+def _found(column: pa.Array, auto: ItemAutomaton) -> Found:
+    """n_words, begins and ends of hit runs of words (merged), and the items found, of each text."""
+    words = Words(*text_bytes(column), NOT_ALNUM)
+    hashes, vocabulary = words.hashes(), auto.vocabulary
+    n = np.diff(words.bounds)
+    spans: list[list[tuple[int, int]]] = [[] for _ in n]
+    items: list[set[str]] = [set() for _ in n]
+    if len(vocabulary) and len(hashes):
+        code = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+        known = vocabulary[code] == hashes
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
+        # runs end where a text ends, too
+        cuts = np.unique(np.concatenate([edge, words.bounds]))
+        first, last = cuts[:-1], cuts[1:]
+        long = (last - first >= auto.least) & known[np.minimum(first, len(known) - 1)]
+        for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
+            i = int(words.doc[a])
+            auto.stream(code[a:b].tolist(), a - int(words.bounds[i]), spans[i], items[i])
+    runs = [merged(x) for x in spans]
+    return n, [[a for a, _ in r] for r in runs], [[b for _, b in r] for r in runs], [sorted(x) for x in items]
+
+
 def _hits(texts: DataFrame, automaton: ItemAutomaton) -> DataFrame:
-    """The rows of ``texts`` (with text) and n_words, begins and ends of hit runs of words (merged), and the items found."""
+    """The rows of ``texts`` (with text) and what ``_found`` finds in each."""
     added = [("n_words", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
     shared = texts.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
-        vocabulary, least = auto.vocabulary, auto.least
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(*text_bytes(part.column("text")), NOT_ALNUM)
-                hashes = words.hashes()
-                n = np.diff(words.bounds)
-                spans: list[list[tuple[int, int]]] = [[] for _ in n]
-                items: list[set[str]] = [set() for _ in n]
-                if len(vocabulary) and len(hashes):
-                    code = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-                    known = vocabulary[code] == hashes
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
-                    # runs end where a text ends, too
-                    cuts = np.unique(np.concatenate([edge, words.bounds]))
-                    first, last = cuts[:-1], cuts[1:]
-                    long = (last - first >= least) & known[np.minimum(first, len(known) - 1)]
-                    for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
-                        i = int(words.doc[a])
-                        auto.stream(code[a:b].tolist(), a - int(words.bounds[i]), spans[i], items[i])
-                runs = [merged(x) for x in spans]
-                found = [n, [[a for a, _ in r] for r in runs], [[b for _, b in r] for r in runs], [sorted(x) for x in items]]
+                found = _found(part.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, kind) for x, (_, kind) in zip(found, added, strict=True)]], names=[*part.schema.names, *[name for name, _ in added]])
 
     kept = ", ".join(f"{name} {kind}" for name, kind in texts.dtypes)
-    return texts.mapInArrow(run, f"{kept}, n_words long, begins array<long>, ends array<long>, items array<string>")
+    return map_arrow(texts, run, f"{kept}, n_words long, begins array<long>, ends array<long>, items array<string>")
+
+
+def _automata(benchmark: DataFrame, window: int, shard_words: int) -> Iterator[ItemAutomaton]:
+    """Automata of all items, as few as their words allow; one at a time is built."""
+    pieces = _pieces(needed(benchmark, item_id="string", text="string"), window)
+    total = pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_words))
+    for k in range(shards):
+        mine = pieces if shards == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)) == k)
+        yield ItemAutomaton(_items(mine), window)
+
+
+def _carrying(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -200,19 +220,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     without words has none. A null text has no words; an item_id that comes twice
     counts once, a null one as 'None'. Repeated rows each get their own result.
     """
-    pieces = _pieces(needed(benchmark, item_id="string", text="string"), window)
-    texts = needed(docs, doc_id="long", text="string") if not carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
-    total = pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_words))
+    texts = needed(docs, doc_id="long", text="string") if not carry else _carrying(docs, carry)
     out = ["doc_id", "n_words", "begins", "ends", "items", *["carried"] * bool(carry)]
-    if shards == 1:
-        return _hits(texts, ItemAutomaton(_items(pieces), window)).select(*out)
+    automata = list(_automata(benchmark, window, shard_words))
+    if len(automata) == 1:
+        return _hits(texts, automata[0]).select(*out)
     # every pass has to know a row by the same key
     keyed = cut(texts.withColumn("row_key", F.monotonically_increasing_id()))
     passes = None
-    for k in range(shards):
-        mine = pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)) == k)
-        part = _hits(keyed.select("row_key", "text"), ItemAutomaton(_items(mine), window)).drop("text")
+    for automaton in automata:
+        part = _hits(keyed.select("row_key", "text"), automaton).drop("text")
         passes = part if passes is None else passes.union(part)
     together = passes.groupBy("row_key", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "ends")))).alias("runs"),
@@ -239,7 +256,7 @@ def judge(found: DataFrame, least_percent: int = 5) -> DataFrame:
     )
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_run: int = 13, max_percent: int = 5, columns: tuple[str, ...] = (), drop_contaminated: bool = False) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_run: int = 13, max_percent: int = 5, columns: tuple[str, ...] = (), drop_contaminated: bool = False, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, text and the named ``columns`` of every row, without the hit runs of more than ``max_run`` words, or
     without all hit runs where they make up ``max_percent`` of the words or more; and n_cut, the words taken out.
 
@@ -248,29 +265,51 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_ru
     keep their places; what stands between the removed words goes with them. A
     null text stays null.
     """
-    found = find_contamination(docs, benchmark, window, carry=("text", *[c for c in columns if c not in ("doc_id", "text")]))
-    hit = F.expr("aggregate(zip_with(begins, ends, (a, b) -> b - a), 0L, (n, x) -> n + x)")
-    over = (hit > 0) & (100 * hit >= max_percent * F.col("n_words"))
-    runs = F.arrays_zip("begins", "ends")
-    plan = found.withColumn("over", over).withColumn("runs", F.when(F.col("over"), runs).otherwise(F.filter(runs, lambda r: r["ends"] - r["begins"] > max_run)))
-    if drop_contaminated:
-        plan = plan.where(~F.col("over"))
-    flat = plan.select("doc_id", "carried.*", F.col("runs.begins").alias("_begins"), F.col("runs.ends").alias("_ends"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    carry = ("text", *[c for c in columns if c not in ("doc_id", "text")])
+
+    def clean(texts: list[str | None], found: Found) -> tuple[list[str | None], list[int], list[bool]]:
+        """Texts without the runs that go, how many words went, and which rows stay."""
+        n_cut, stays = [0] * len(texts), [True] * len(texts)
+        for i, (text, n, begins, ends) in enumerate(zip(texts, *found[:3], strict=True)):
+            runs = list(zip(begins or (), ends or (), strict=True))
+            n_hit = sum(b - a for a, b in runs)
+            over = n_hit > 0 and 100 * n_hit >= max_percent * n
+            stays[i] = not (over and drop_contaminated)
+            runs = runs if over else [(a, b) for a, b in runs if b - a > max_run]
+            if text and runs:
+                raw = text.encode()
+                words = Words(*text_bytes(pa.array([text])), NOT_ALNUM)
+                for a, b in reversed(runs):
+                    raw = raw[: words.starts[a]] + raw[words.ends[b - 1] :]
+                    n_cut[i] += b - a
+                texts[i] = raw.decode()
+        return texts, n_cut, stays
+
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[f"`{c}`" for c in carry[1:]])
+    ddl = ", ".join(f"`{name}` {kind}" for name, kind in kept.dtypes) + ", n_cut long"
+    names = [*kept.columns, "n_cut"]
+
+    def batch_of(part: pa.RecordBatch, found: Found) -> pa.RecordBatch:
+        texts, n_cut, stays = clean(part.column("text").to_pylist(), found)
+        columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names[:-1]]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n_cut, pa.int64())], names=names).filter(pa.array(stays, pa.bool_()))
+
+    automata = list(_automata(benchmark, window, shard_words))
+    if len(automata) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(automata[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    yield batch_of(part, _found(part.column("text"), shared.value))
+
+        return map_arrow(kept, run, ddl)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, begins, ends = batch.column("text").to_pylist(), batch.column("_begins").to_pylist(), batch.column("_ends").to_pylist()
-            n_cut = [0] * len(texts)
-            for i, text in enumerate(texts):
-                if text and begins[i]:
-                    raw = text.encode()
-                    words = Words(*text_bytes(pa.array([text])), NOT_ALNUM)
-                    for a, b in sorted(zip(begins[i], ends[i], strict=True), reverse=True):
-                        raw = raw[: words.starts[a]] + raw[words.ends[b - 1] :]
-                        n_cut[i] += b - a
-                    texts[i] = raw.decode()
-            rest = [c for c in batch.schema.names if not c.startswith("_")]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in rest] + [pa.array(n_cut, pa.int64())], names=[*rest, "n_cut"])
-
-    kept = ", ".join(f"`{name}` {kind}" for name, kind in flat.dtypes if not name.startswith("_"))
-    return flat.mapInArrow(run, f"{kept}, n_cut long")
+            for part in slices(batch, "text"):
+                yield batch_of(part, tuple(part.column(c).to_pylist() for c in ("_n", "_begins", "_ends", "_items")))
+
+    found = find_contamination(docs, benchmark, window, shard_words, carry)
+    flat = found.select("doc_id", "carried.*", *[F.col(c).alias(f"_{c}") for c in ("begins", "ends", "items")], F.col("n_words").alias("_n"))
+    return map_arrow(flat, second, ddl)

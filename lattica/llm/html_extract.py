@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
 from lattica.llm.recurrent import Tagger
-from lattica.llm.textscan import NOT_ALNUM, U64, Words, as_batches, slices, text_bytes
+from lattica.llm.textscan import NOT_ALNUM, U64, Words, as_batches, map_arrow, slices, text_bytes
 
 #: Elements that break a text into blocks, that stand alone, whose content isn't text, and that never hold article text.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -288,4 +288,4 @@ def extract(pages: DataFrame, labeller: Tagger | None = None) -> DataFrame:
                 texts = main_texts(labeller, [p or "" for p in part.column("html").to_pylist()])
                 yield from as_batches([{"page_id": part.column("page_id"), "url": part.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}], schema)
 
-    return needed(pages, page_id="long", url="string", html="string").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(needed(pages, page_id="long", url="string", html="string"), run, "page_id long, url string, text string, n_chars long")

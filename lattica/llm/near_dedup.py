@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
 from lattica.llm.pieces import ragged_take
-from lattica.llm.textscan import SPACES, U64, Words, as_batches, fixed_bytes, mix, slices, text_bytes
+from lattica.llm.textscan import SPACES, U64, Words, as_batches, fixed_bytes, map_arrow, mix, slices, text_bytes
 from lattica.operators.components import connected_components
 from lattica.session import cut
 
@@ -118,7 +118,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 signed = [signature(s) for s in sets]
                 yield from as_batches([{"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "fp1": fp1, "fp2": fp2, "sig": [x[0] for x in signed], "packed": [x[1] for x in signed], "tokens": [x[2] for x in signed]}], schema)
 
-    return needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, packed binary, tokens binary")
+    return map_arrow(needed(docs, doc_id="long", text="string"), run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, packed binary, tokens binary")
 
 
 def _path(tree: F.Column, place: F.Column) -> F.Column:
@@ -138,7 +138,7 @@ def _agreeing(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
                 near = pa.array((x == y).mean(1) >= least_agree(percent, MINWISE))
                 yield batch.select(["a", "b"]).filter(near).cast(schema)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
 
 
 #: Bits of a filter of ids: 256 bitmaps of 32,768 bits, a MB however many ids there are.
@@ -181,7 +181,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                     keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).cast(schema)
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.join(left, "a").join(right, "b"), run, "a long, b long")
 
 
 def _with_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def _spokes(on_path: DataFrame, percent: int) -> DataFrame:
                 agree = agreeing(*(fixed_bytes(batch.column(c), SHORT // 2) for c in ("short", "other")))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree, pa.int64())], schema=schema).filter(pa.array(agree >= SHORT * least_agree(percent, SHORT, 4)))
 
-    near = met.mapInArrow(run, "a long, b long, agree long")
+    near = map_arrow(met, run, "a long, b long, agree long")
     best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("agree")).alias("worse"), "b"))), 1, 2).alias("best"))
     return best.select("a", F.explode("best.b").alias("b"))
 
@@ -276,7 +276,7 @@ def _near_members(members: DataFrame, percent: int) -> DataFrame:
                 i = i[end[i] > i + apart]
             yield batch.select(schema.names).filter(pa.array(near)).cast(schema)
 
-    return _laid_by_leaf(members).mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in _MEMBERS))
+    return map_arrow(_laid_by_leaf(members), run, "node long, " + ", ".join(f"{c} long" for c in _MEMBERS))
 
 
 def _full_sets(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -289,7 +289,7 @@ def _full_sets(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 sets = [s.astype("<u4").tobytes() for s in shingle_sets(part.column("text"), k)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return texts.mapInArrow(run, "id long, set binary")
+    return map_arrow(texts, run, "id long, set binary")
 
 
 def _leaf_links(members: DataFrame, percent: int) -> DataFrame:
@@ -341,7 +341,7 @@ def _leaf_links(members: DataFrame, percent: int) -> DataFrame:
             both = np.array(found, np.int64).reshape(-1, 2)
             yield from as_batches([{"a": both[:, 0], "b": both[:, 1]}], schema)
 
-    return _laid_by_leaf(members).mapInArrow(run, "a long, b long")
+    return map_arrow(_laid_by_leaf(members), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int | None = None, star_trees: int = 4, leaf: int = 2048, depth: int = 5) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lattica.llm.columns import needed
-from lattica.llm.textscan import U64, as_batches, mix, slices
+from lattica.llm.textscan import U64, as_batches, map_arrow, mix, slices
 
 MARK = 0x2581
 #: Symbols at or above this are characters without a piece: UNKNOWN + code point.
@@ -36,7 +36,7 @@ UNKNOWN = 1 << 15
 NEVER = np.int64(2**62)
 #: Pre-tokens of more characters than this go through the heap agenda.
 MATRIX_CHARS = 48
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 class PieceModel:
@@ -396,4 +396,4 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
                 yield from as_batches([out], schema)
 
     ddl = "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, lossless boolean" + ", token_ids array<int>" * with_ids
-    return needed(docs, doc_id="long", text="string").mapInArrow(run, ddl)
+    return map_arrow(needed(docs, doc_id="long", text="string"), run, ddl)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
 from lattica.llm.recurrent import Tagger, viterbi
-from lattica.llm.textscan import as_batches, slices
+from lattica.llm.textscan import as_batches, map_arrow, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters in a window, and in its core, which begins a quarter of the window in.
@@ -288,7 +288,7 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFra
                     out.append([{"kind": KINDS[k], "start": a, "end": b, "base": (k, a, b) in own} for k, a, b in (reconcile(text, base, tagged) if tagged else base)])
                 yield from as_batches([{"doc_id": part.column("doc_id"), "spans": out}], schema)
 
-    return needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return map_arrow(needed(docs, doc_id="long", text="string"), run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -327,4 +327,4 @@ def mask_spans(docs: DataFrame, tagger: Tagger | None = None, columns: tuple[str
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "n_masked", *columns])
 
     ddl = ", ".join(["doc_id long, text string, n_masked long", *[f"`{c}` {kinds[c]}" for c in columns]])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns).mapInArrow(run, ddl)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns), run, ddl)

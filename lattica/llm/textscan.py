@@ -7,14 +7,16 @@ function treats a null text as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE_CODES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -26,6 +28,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """``mapInArrow``, after which a worker hands back the memory it no longer uses: workers live on over stages, idle ones too."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(lean, ddl)
+
+
 def byte_mask(spec: bytes) -> np.ndarray:
     """True for the listed byte values."""
     mask = np.zeros(256, bool)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from lattica.llm.columns import needed
 from lattica.llm.pieces import read_model
-from lattica.llm.textscan import as_batches, slices
+from lattica.llm.textscan import as_batches, map_arrow, slices
 
 MARK = "▁"
 #: A task forgets its counted pre-tokens when it holds so many.
@@ -62,4 +62,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 sizes = pc.fill_null(pc.binary_length(part.column("text")), 0)
                 yield from as_batches([{"doc_id": part.column("doc_id"), "n_bytes": sizes, "n_tokens": totals, "over_limit": [n > limit for n in totals]}], schema)
 
-    return needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(needed(docs, doc_id="long", text="string"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
-from lattica.llm.textscan import NOT_ALNUM, U64, Words, as_batches, mix, slices, text_bytes
+from lattica.llm.textscan import NOT_ALNUM, U64, Words, as_batches, map_arrow, mix, slices, text_bytes
 from lattica.session import cut
 
 BITS = 22
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
     # a stable order, however the rows arrive
-    for is_toxic, raw in sorted((r["toxic"], bytes(r["features"])) for r in sample.mapInArrow(run, "toxic boolean, features binary").collect()):
+    for is_toxic, raw in sorted((r["toxic"], bytes(r["features"])) for r in map_arrow(sample, run, "toxic boolean, features binary").collect()):
         sides[is_toxic].append(np.frombuffer(raw, "<u4").astype(np.int64))
     return fit_nnpu(sides[True], sides[False], chosen, prior)
 
@@ -196,8 +196,8 @@ def _best_features(sample: DataFrame, n_p: int, n_u: int, prior: float, top: int
             gain, usable = choose_features(batch.column("df_p").to_numpy(), batch.column("df_u").to_numpy(), n_p, n_u, prior)
             yield pa.RecordBatch.from_arrays([batch.column("feature"), pa.array(gain, pa.float64())], names=["feature", "gain"]).filter(pa.array(usable))
 
-    sums = sample.mapInArrow(count, "feature long, df_p long, df_u long").groupBy("feature").agg(F.sum("df_p").alias("df_p"), F.sum("df_u").alias("df_u"))
-    best = sums.where("df_p >= 3").mapInArrow(judged, "feature long, gain double").orderBy(F.desc("gain"), "feature").limit(top)
+    sums = map_arrow(sample, count, "feature long, df_p long, df_u long").groupBy("feature").agg(F.sum("df_p").alias("df_p"), F.sum("df_u").alias("df_u"))
+    best = map_arrow(sums.where("df_p >= 3"), judged, "feature long, gain double").orderBy(F.desc("gain"), "feature").limit(top)
     return sorted(r["feature"] for r in best.collect())
 
 
@@ -223,7 +223,7 @@ def score_toxicity(docs: DataFrame, classifier: Classifier, threshold: float = 0
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more) if carry else needed(docs, doc_id="long", text="string")
     kept = ", ".join(f"{name} {kind}" for name, kind in texts.dtypes if name != "text")
-    scored = texts.mapInArrow(run, f"{kept}, score double")
+    scored = map_arrow(texts, run, f"{kept}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["carried"] * bool(carry))
 
 

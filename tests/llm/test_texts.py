@@ -187,19 +187,18 @@ def test_span_removal(spark):
     assert {r.doc_id: r.text for r in decontam.remove_spans(docs, bench).collect()} == {1: "before it . after", 2: "clean text", 3: None}
 
 
-@pytest.mark.parametrize("shard_words", [1 << 20, 12])
-def test_span_removal_judges_each_row_by_itself(spark, monkeypatch, shard_words):
+@pytest.mark.parametrize("shard_words", [1 << 20, 10])
+def test_span_removal_judges_each_row_by_itself(spark, shard_words):
     """One doc_id with several texts, repeated rows and other columns, whatever their names."""
-    monkeypatch.setattr(decontam.find_contamination, "__defaults__", (13, shard_words, ()))
     item, filler = " ".join(f"q{k}" for k in range(20)), " ".join(f"f{k}" for k in range(500))
     rows = [(7, f"{filler} {item} x", "a", 1), (7, filler, "b", 2), (7, f"{item} y", "c", 3), (7, f"{filler} {item} x", "a", 1), (None, f"{filler} {item}", "d", 4), (8, None, None, None)]
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "zz " * 20)], "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string, items string, n_words long")
-    got = decontam.remove_spans(docs, bench, columns=("items", "n_words"), drop_contaminated=True).collect()
+    got = decontam.remove_spans(docs, bench, columns=("items", "n_words"), drop_contaminated=True, shard_words=shard_words).collect()
     assert sorted(((r.doc_id, r.text, r["items"], r.n_words, r.n_cut) for r in got), key=repr) == sorted(
         [(7, f"{filler}  x", "a", 1, 20), (7, filler, "b", 2, 0), (7, f"{filler}  x", "a", 1, 20), (None, f"{filler} ", "d", 4, 20), (8, None, None, None, 0)], key=repr
     )
-    every = decontam.remove_spans(docs, bench).collect()
+    every = decontam.remove_spans(docs, bench, shard_words=shard_words).collect()
     assert len(every) == len(rows) and sorted(r.n_cut for r in every) == [0, 0, 20, 20, 20, 20]
 
 
