@@ -32,6 +32,8 @@ from lattica.llm.textscan import NOT_ALNUM, U64, Words, as_batches, map_arrow, m
 from lattica.session import cut
 
 BITS = 22
+#: Bytes of text whose features are taken at a time; a byte of text comes to about 30 of features.
+SLICE = 1 << 19
 #: Bytes of word beginnings that are features, beside the whole word.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Bounds of the sample and of the features of the classifier.
@@ -165,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rows = [r.astype("<u4").tobytes() for r in distinct_features(part.column("text"), chosen)]
                 yield from as_batches([{"toxic": part.column("toxic"), "features": rows}], schema)
 
@@ -182,7 +184,7 @@ def _best_features(sample: DataFrame, n_p: int, n_u: int, prior: float, top: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False)
                 rows = distinct_features(part.column("text"))
                 every = np.concatenate([np.zeros(0, np.int64), *rows])
@@ -216,7 +218,7 @@ def score_toxicity(docs: DataFrame, classifier: Classifier, threshold: float = 0
         full[at] = values
         model = Classifier(full, bias)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rest = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(model.score(part.column("text")), pa.float64())], names=[*rest, "score"])
 
