@@ -12,6 +12,7 @@ from collections import Counter, defaultdict, deque
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,62 +43,87 @@ def by_score(edges: Iterable[Edge]) -> list[Edge]:
     return sorted(edges, key=lambda e: (-e.score, e.eid))
 
 
-class Picked:
-    """Edges picked so far and the nodes they use, within a node budget."""
+class Board:
+    """One question's edges as columns, best first, its nodes numbered from 0, and what is switched on of both.
 
-    def __init__(self, topics: Iterable[int], max_nodes: int):
-        self.nodes, self.ids, self.max_nodes = set(topics), set(), max_nodes
+    Steps that trade edges against budgets turn masks on and off on it; the rows of
+    a step are places in the order of score.
+    """
 
-    def room_for(self, e: Edge) -> bool:
-        return len(self.nodes | {e.src, e.dst}) <= self.max_nodes
+    def __init__(self, edges: Iterable[Edge], topics: Iterable[int]):
+        rows, roots = by_score(edges), list(topics)
+        self.eid, self.score = np.array([e.eid for e in rows], np.int64), np.array([e.score for e in rows], float)
+        self.names, at = np.unique(np.array([*[e.src for e in rows], *[e.dst for e in rows], *roots], np.int64), return_inverse=True)
+        self.src, self.dst, self.topics = np.split(at.reshape(-1), [len(rows), 2 * len(rows)])
+        self.on, self.used = np.zeros(len(rows), bool), np.zeros(len(self.names), bool)
+        self.used[self.topics] = True
 
-    def take(self, e: Edge) -> None:
-        self.ids.add(e.eid)
-        self.nodes |= {e.src, e.dst}
+    def ids(self, mask: np.ndarray) -> set[int]:
+        return set(self.eid[mask].tolist())
+
+    def admit(self, rows: np.ndarray, most: int, cap: int, max_nodes: int, touching: bool = False) -> list[int]:
+        """Switch on rows in their order, ``most`` at most and ``cap`` for a source, each if its ends fit the node budget; the rows admitted."""
+        taken, by_source = [], Counter()
+        for row in rows.tolist():
+            if len(taken) >= most:
+                break
+            ends = self.used[[self.src[row], self.dst[row]]]
+            new = len({int(n) for n, there in zip((self.src[row], self.dst[row]), ends, strict=True) if not there})
+            if by_source[int(self.src[row])] < cap and self.used.sum() + new <= max_nodes and (ends.any() or not touching):
+                self.on[row] = self.used[self.src[row]] = self.used[self.dst[row]] = True
+                by_source[int(self.src[row])] += 1
+                taken.append(row)
+        return taken
+
+    def reached(self, live: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        """The nodes that live edges lead to from the roots, those included."""
+        seen = np.zeros(len(self.names), bool)
+        seen[roots] = True
+        while True:
+            more = seen.copy()
+            more[self.dst[live & seen[self.src]]] = True
+            if (more == seen).all():
+                return seen
+            seen = more
+
+    def shed(self, most: int, victim: Callable[[Board, np.ndarray, np.ndarray], tuple[int, int | None]]) -> set[int]:
+        """While ``victim`` names more than ``most`` ends, what it picks goes; only edges that the topics lead to stay.
+
+        ``victim`` sees the nodes reached and the live edges, and gives the number of
+        ends with the row to switch off, or minus one more than the topic to forget.
+        """
+        live, roots = np.ones(len(self.eid), bool), set(self.topics.tolist())
+        while True:
+            seen = self.reached(live, np.array(sorted(roots), np.int64))
+            live &= seen[self.src] & seen[self.dst]
+            if not live.any() or most <= 0:
+                return self.ids(live)
+            ends, gone = victim(self, seen, live)
+            if ends <= most or gone is None:
+                return self.ids(live)
+            if gone >= 0:
+                live[gone] = False
+            else:
+                roots.discard(-gone - 1)
 
 
 def budgeted_select(edges: list[Edge], topics: list[int], b: Budget) -> set[int]:
-    """Three phases: the globally best edges with a cap for each source; then outward from the topics, layer by
-    layer; then any edge that touches what is there. A layer goes on to its other sources after the edge
-    budget is met by one of them, so it may end above the budget."""
-    picked, ranked, used = Picked(topics, b.max_nodes), by_score(edges), Counter()
-    for e in ranked:
-        if used[e.src] < b.per_src_cap and picked.room_for(e):
-            picked.take(e)
-            used[e.src] += 1
-            if len(picked.ids) >= min(b.seed_edge_topk, b.max_edges):
-                break
-    out = defaultdict(list)
-    for e in ranked:
-        out[e.src].append(e)
-    layer, known = list(topics), set(topics)
+    """The globally best edges with a cap for each source; then outward from the topics, layer by layer; then
+    whatever touches what is there. A source of a layer that has begun may always give one edge, so a layer
+    may end above the edge budget."""
+    board = Board(edges, topics)
+    every = np.arange(len(board.eid))
+    room = lambda: b.max_edges - int(board.on.sum())
+    board.admit(every, max(1, min(b.seed_edge_topk, b.max_edges)), b.per_src_cap, b.max_nodes)
+    layer, known = list(dict.fromkeys(board.topics.tolist())), set(board.topics.tolist())
     for _ in range(b.expansion_hops):
-        if not layer or len(picked.ids) >= b.max_edges:
+        if not layer or room() <= 0:
             break
-        following = []
-        for src in layer:
-            taken = 0
-            for e in out[src]:
-                if e.eid in picked.ids:
-                    continue
-                if taken >= b.per_src_cap:
-                    break
-                if not picked.room_for(e):
-                    continue
-                picked.take(e)
-                taken += 1
-                if e.dst not in known:
-                    known.add(e.dst)
-                    following.append(e.dst)
-                if len(picked.ids) >= b.max_edges:
-                    break
-        layer = following
-    for e in ranked:
-        if len(picked.ids) >= b.max_edges:
-            break
-        if e.eid not in picked.ids and {e.src, e.dst} & picked.nodes and picked.room_for(e):
-            picked.take(e)
-    return picked.ids
+        got = [board.admit(every[(board.src == node) & ~board.on], max(1, room()), b.per_src_cap, b.max_nodes) for node in layer]
+        layer = [n for n in dict.fromkeys(int(board.dst[row]) for rows in got for row in rows) if n not in known]
+        known |= set(layer)
+    board.admit(every[~board.on], room(), len(every), b.max_nodes, touching=True)
+    return board.ids(board.on)
 
 
 def leads_to(out: dict[int, set[int]], start: int, goal: int) -> bool:
@@ -177,52 +203,71 @@ def within_reach(edges: list[Edge], topics: Iterable[int]) -> tuple[set[int], li
 
 
 def limit_sinks(edges: list[Edge], topics: list[int], max_sinks: int) -> set[int]:
-    """While more than ``max_sinks`` nodes have no out-edge, the weakest one (least sum of in-scores, at least 0) loses its weakest in-edge."""
-    dropped: set[int] = set()
-    nodes, left = within_reach(edges, topics)
-    while left and max_sinks > 0:
-        ends = sorted(n for n in nodes if n not in {e.src for e in left})
-        if len(ends) <= max_sinks:
-            break
-        into = {n: [e for e in left if e.dst == n] for n in ends}
-        weakest = min(ends, key=lambda n: max(0.0, sum(e.score for e in into[n])))
-        if into[weakest]:
-            gone = min(into[weakest], key=lambda e: (e.score, e.eid))
-            nodes, left = within_reach([e for e in left if e.eid != gone.eid], set(topics) - dropped)
-        else:
-            dropped.add(weakest)
-            nodes, left = within_reach(left, set(topics) - dropped)
-    return {e.eid for e in left}
+    """While more than ``max_sinks`` reached nodes have no out-edge, the weakest one (least sum of in-scores, at least 0; ties by
+    name) loses its weakest in-edge; a topic without any edge is forgotten."""
+
+    def weakest(board: Board, seen: np.ndarray, live: np.ndarray) -> tuple[int, int | None]:
+        n = len(seen)
+        ends = np.flatnonzero(seen & (np.bincount(board.src[live], minlength=n) == 0))
+        into = np.bincount(board.dst[live], board.score[live], n)
+        if not len(ends):
+            return 0, None
+        node = ends[np.argmin(np.maximum(into[ends], 0.0))]
+        rows = np.flatnonzero(live & (board.dst == node))
+        return len(ends), int(_lowest(board, rows)) if len(rows) else -int(node) - 1
+
+    return Board(edges, topics).shed(max_sinks, weakest)
 
 
 def limit_terminals(edges: list[Edge], topics: list[int], max_terminals: int) -> set[int]:
     """While more than ``max_terminals`` edges end in a node without out-edges, the lowest scored of them goes."""
-    _, left = within_reach(edges, topics)
-    while left and max_terminals > 0:
-        sources = {e.src for e in left}
-        last = [e for e in left if e.dst not in sources]
-        if len(last) <= max_terminals:
-            break
-        gone = min(last, key=lambda e: (e.score, e.eid))
-        _, left = within_reach([e for e in left if e.eid != gone.eid], topics)
-    return {e.eid for e in left}
-
 
-def reverse_beam(edges: list[Edge], sinks: list[int], width: int, hops: int, budget: int) -> set[int]:
-    """From the sinks backwards: in each hop the ``width`` best in-edges of every node of the beam that close no cycle."""
-    into, out, kept, beam = defaultdict(list), defaultdict(set), set(), list(sinks)
-    for e in by_score(edges):
-        into[e.dst].append(e)
-    for _ in range(hops):
-        following = []
-        for node in beam:
-            for e in into[node][:width]:
-                if len(kept) < budget and e.eid not in kept and not leads_to(out, e.dst, e.src):
-                    kept.add(e.eid)
-                    out[e.src].add(e.dst)
-                    following.append(e.src)
-        beam = following
-    return kept
+    def weakest(board: Board, seen: np.ndarray, live: np.ndarray) -> tuple[int, int | None]:
+        open_end = np.bincount(board.src[live], minlength=len(seen)) == 0
+        rows = np.flatnonzero(live & open_end[board.dst])
+        return len(rows), int(_lowest(board, rows)) if len(rows) else None
+
+    return Board(edges, topics).shed(max_terminals, weakest)
+
+
+def _lowest(board: Board, rows: np.ndarray) -> int:
+    """Of some rows the one of least score, ties by id."""
+    return int(rows[np.lexsort((board.eid[rows], board.score[rows]))[0]])
+
+
+def reverse_beam(edges: list[Edge], chosen: Iterable[int], top: int, width: int, hops: int, max_edges: int, max_nodes: int) -> set[int]:
+    """Add to the chosen edges what leads to their ends.
+
+    From each of the ``top`` best chosen edges whose target has no chosen out-edge a
+    beam goes backwards: the in-edges of the beam's sources not met before, by the sum
+    of scores along the path, are cut to ``width``; those within the budgets that
+    close no cycle are added, and the beam goes on from them and from chosen ones.
+    """
+    board, chosen = Board(edges, []), set(chosen)
+    board.on = np.isin(board.eid, np.array(sorted(chosen), np.int64))
+    board.used[board.src[board.on]] = board.used[board.dst[board.on]] = True
+    ends = np.flatnonzero(board.on & (np.bincount(board.src[board.on], minlength=len(board.used)) == 0)[board.dst])
+    # equal scores: the later edge first
+    for end in ends[np.lexsort((-board.eid[ends], -board.score[ends]))][:top].tolist():
+        met = np.zeros(len(board.eid), bool)
+        met[end] = True
+        beam = [(end, float(board.score[end]))]
+        for _ in range(hops):
+            options = []
+            for row, total in beam:
+                before = np.flatnonzero(~met & (board.dst == board.src[row]))
+                met[before] = True
+                options += [(total + float(board.score[k]), float(board.score[k]), -int(board.eid[k]), k) for k in before.tolist()]
+            beam = []
+            for total, _, _, k in sorted(options, reverse=True)[:width]:
+                if not board.on[k]:
+                    new = np.flatnonzero(~board.used[np.unique([board.src[k], board.dst[k]])]).size
+                    closes = board.reached(board.on, board.dst[k : k + 1])[board.src[k]]
+                    if board.on.sum() >= max_edges or board.used.sum() + new > max_nodes or closes:
+                        continue
+                    board.on[k] = board.used[board.src[k]] = board.used[board.dst[k]] = True
+                beam.append((k, total))
+    return board.ids(board.on)
 
 
 def forward_beam(edges: list[Edge], topics: list[int], width: int, hops: int, budget: int) -> set[int]:
@@ -358,7 +403,7 @@ def per_question(edges: DataFrame, topics: DataFrame, step: Callable[[list[Edge]
     columns = edges.columns
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = [Edge(int(r.eid), int(r.src), int(r.dst), float(r.score)) for r in rows.itertuples()]
+        own = [Edge(*values) for values in zip(*(rows[c].tolist() for c in ("eid", "src", "dst", "score")), strict=True)]
         asked = rows["_topics"].iloc[0]
         keep = step(own, [int(n) for n in asked] if asked is not None else [])
         return rows.loc[rows["eid"].isin(keep), columns]

@@ -72,7 +72,7 @@ def question_edges(spark: Spark, sf_dir: str) -> DataFrame:
     return lines.select(F.col("o_custkey").alias("qid"), eid.cast("long").alias("eid"), (F.col("l_partkey") % 11).alias("src"), (F.col("l_suppkey") % 11).alias("dst"), (F.col("l_quantity") / 50.0).alias("score"))
 
 
-@query("j9_line_graph", f"WITH {_Q}, q AS (SELECT * FROM qe) SELECT a.qid, a.eid AS i, b.eid AS j FROM q a JOIN q b ON a.qid = b.qid AND a.dst = b.src WHERE a.eid <> b.eid")
+@query("j9_line_graph", f"WITH {_Q.replace(' AS (', ' AS MATERIALIZED (', 1)} SELECT a.qid, a.eid AS i, b.eid AS j FROM qe a JOIN qe b ON a.qid = b.qid AND a.dst = b.src WHERE a.eid <> b.eid")
 def line_graph(spark: Spark, sf_dir: str) -> DataFrame:
     return graph.line_graph(question_edges(spark, sf_dir))
 
@@ -112,7 +112,16 @@ def build_dag(spark: Spark, sf_dir: str) -> DataFrame:
     return selection.per_question(e, _topics(e), lambda own, topics: selection.build_dag(own, topics, budget))
 
 
-@query("g16_without_cycles")
+_GREEDY = f"""WITH RECURSIVE {_Q}, r AS (SELECT qid, eid, src, dst, row_number() OVER (PARTITION BY qid ORDER BY score DESC, eid) AS k FROM qe),
+  go(qid, k, reach, kept) AS (SELECT DISTINCT qid, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM qe UNION ALL
+    SELECT go.qid, r.k, CASE WHEN src = dst OR list_contains(reach, dst * 100 + src) THEN reach ELSE list_distinct(list_concat(reach, flatten(
+      [[a * 100 + b FOR b IN list_concat([dst], [x % 100 FOR x IN reach IF x // 100 = dst])] FOR a IN list_concat([src], [x // 100 FOR x IN reach IF x % 100 = src])]))) END,
+      CASE WHEN src = dst OR list_contains(reach, dst * 100 + src) THEN kept ELSE list_append(kept, eid) END
+    FROM go JOIN r ON r.qid = go.qid AND r.k = go.k + 1),
+  last AS (SELECT qid, arg_max(kept, k) AS kept FROM go GROUP BY qid) SELECT qe.* FROM qe JOIN last USING (qid) WHERE list_contains(kept, eid)"""
+
+
+@query("g16_without_cycles", _GREEDY)
 def without_cycles(spark: Spark, sf_dir: str) -> DataFrame:
     e = question_edges(spark, sf_dir)
     return selection.per_question(e, _topics(e), lambda own, _: selection.without_cycles(own))
@@ -133,7 +142,7 @@ def limit_terminals(spark: Spark, sf_dir: str) -> DataFrame:
 @query("g22_reverse_beam")
 def reverse_beam(spark: Spark, sf_dir: str) -> DataFrame:
     e = question_edges(spark, sf_dir)
-    return selection.per_question(e, _topics(e), lambda own, topics: selection.reverse_beam(own, topics, 3, 4, 16))
+    return selection.per_question(e, _topics(e), lambda own, topics: selection.reverse_beam(own, selection.build_dag(own, topics, selection.Budget()), 3, 4, 3, 24, 24))
 
 
 @query("g32_forward_beam")
