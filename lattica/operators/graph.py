@@ -22,6 +22,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), F.count("*").alias("n_total"))
 
 
+def node_features(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """node, n_in, n_out and for each column mean and maximum over in- and out-edges; a side without edges has zeros."""
+    parts = []
+    for side, end in (("in", "dst"), ("out", "src")):
+        values = [f(c).alias(f"{name}_{side}_{c}") for c in columns for name, f in (("mean", F.avg), ("max", F.max))]
+        parts.append(edges.groupBy(F.col(end).alias("node")).agg(F.count("*").alias(f"n_{side}"), *values))
+    return parts[0].join(parts[1], "node", "full").fillna(0)
+
+
 def k_hop(seeds: DataFrame, incident: DataFrame, hops: int, expandable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first expansion from seeds (qid, node_id): (nodes with depth, triples by qid).
 

@@ -72,21 +72,6 @@ def log_metrics(spark: Spark, sf_dir: str) -> DataFrame:
     return running_parts(marked, "event_id", "is_mark").where("value > 50").select("part", "event_id", "value")
 
 
-@query("a21_text_dedup", "SELECT min(doc_id) AS doc_id, text AS kept_text, count(*) AS copies FROM documents GROUP BY text")
-def text_dedup(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("text").alias("kept_text")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-
-
-@query("a19_best_of_merge", "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best FROM orders GROUP BY 1")
-def best_of_merge(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best"))
-
-
-@query("a22_keep_first", "SELECT l_partkey, l_suppkey, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1, 2")
-def keep_first(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("first_order"))
-
-
 _ANSWERS = "WITH a AS (SELECT conv_id, turn, text AS p, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations QUALIFY g IS NOT NULL AND text IS NOT NULL)"
 
 
@@ -162,11 +147,6 @@ def percentiles(spark: Spark, sf_dir: str) -> DataFrame:
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "least", "p50", "p95", "p99", "most", "std")])
 
 
-@query("a25_best_edge", "SELECT l_partkey, l_suppkey, l_returnflag, arg_max(l_orderkey, (l_quantity, -l_orderkey, -l_linenumber)) AS best FROM lineitem GROUP BY 1, 2, 3")
-def best_edge(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey", "l_returnflag").agg(F.max_by("l_orderkey", F.struct("l_quantity", -F.col("l_orderkey"), -F.col("l_linenumber"))).alias("best"))
-
-
 @query("a26_best_pair_cost", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, round(min(greatest(0.02, 1.25 - l_discount + 0.1)), 6) AS cost FROM lineitem GROUP BY 1, 2")
 def best_pair_cost(spark: Spark, sf_dir: str) -> DataFrame:
     from lattica.operators.graph import edge_cost
@@ -219,12 +199,6 @@ def edit_buckets(spark: Spark, sf_dir: str) -> DataFrame:
     return merge_tail(buckets, "bucket", "users", 5)
 
 
-@query("a38_update_amplification", "WITH w AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations), c AS (SELECT conv_id, turn, len(w) AS n, (len(w) + 15) // 16 AS chunks FROM w) SELECT conv_id, sum(n)::BIGINT AS tokens, sum(chunks)::BIGINT AS chunks, round(sum(chunks * 16) / sum(n), 6) AS amplification FROM c GROUP BY 1")
-def update_amplification(spark: Spark, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.size(F.split(F.coalesce("text", F.lit("")), " ")).cast("long").alias("n")).withColumn("c", F.expr("(n + 15) div 16"))
-    return c.groupBy("conv_id").agg(F.sum("n").alias("tokens"), F.sum("c").alias("chunks"), F.round(F.sum(F.col("c") * 16) / F.sum("n"), 6).alias("amplification"))
-
-
 @query("a40_source_buckets", "SELECT source, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'middle' ELSE 'long' END AS bucket, count(*) AS n FROM documents GROUP BY 1, 2")
 def source_buckets(spark: Spark, sf_dir: str) -> DataFrame:
     bucket = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 5000, "middle").otherwise("long")
