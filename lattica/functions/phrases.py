@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lattica.functions.text import let, normalize_text
+from lattica.functions.text import canonical_entity_key, let, normalize_text
 
-#: Words of questions that name a relation, first match wins.
+#: What a question asks for, by words that all stand in it; the first that fits, else OTHER_RELATION.
 QUESTION_RELATIONS = (
-    ("born", "born"), ("birth", "born"), ("died", "died"), ("death", "died"), ("director", "director"), ("directed", "director"),
-    ("spouse", "spouse"), ("married", "spouse"), ("wife", "spouse"), ("husband", "spouse"), ("father", "father"), ("mother", "mother"),
-    ("nationality", "nationality"), ("country", "country"), ("located", "located in"), ("founded", "founded by"), ("author", "author"), ("wrote", "author"),
+    ("birth date", ("when", "born")), ("release date", ("when", "release")), ("release date", ("when", "published")), ("date", ("when",)), ("located in", ("where",)),
+    ("person", ("who",)), ("capital", ("capital",)), ("population", ("population",)), ("language", ("language",)), ("genre", ("genre",)),
 )
-#: Words for a role or kind that don't name an entity by themselves.
-ROLE_WORDS = ("actor", "actress", "author", "company", "country", "city", "director", "film", "person", "politician", "singer", "song", "writer")
+OTHER_RELATION = "related to"
+#: Words for a role that are no name by themselves; marks in the outputs of models.
+ROLE_WORDS = ("director", "mother", "father", "husband", "wife", "composer", "performer")
+ANSWER_MARK, END_MARK, STOP_MARK, CUT_MARK = "The answer to the question is:", "<|im_end|>", "<|endoftext|>", "<|object_ref_end|>"
 #: How a model's prompt frames its question.
 PROMPTS = {"plain": "%s", "chat": "<|user|>\n%s\n<|assistant|>\n", "instruct": "[INST] %s [/INST]"}
 
@@ -24,11 +27,11 @@ def text_of(c: Column | str) -> Column:
 
 
 def kv_direction(key: Column | str, value: Column | str, src: Column | str, dst: Column | str) -> Column:
-    """forward if the key holds the source and the value is the target, backward the other way round, else unknown."""
-    low = lambda c: F.lower(text_of(c))
+    """forward where the value is the target, backward where it is the source; else by which end alone the key holds; else unknown."""
+    low = lambda c: F.lower(normalize_text(c))
     k, v, s, d = low(key), low(value), low(src), low(dst)
-    ahead, back = (s != "") & F.contains(k, s) & (v == d), (d != "") & F.contains(k, d) & (v == s)
-    return F.when(ahead & ~back, "forward").when(back & ~ahead, "backward").otherwise("unknown")
+    holds = lambda end: (end != "") & F.contains(k, end)
+    return F.when(v == d, "forward").when(v == s, "backward").when(holds(s) & ~holds(d), "forward").when(holds(d) & ~holds(s), "backward").otherwise("unknown")
 
 
 def edge_text(src: Column | str, relation: Column | str, dst: Column | str, key: Column | str | None = None, value: Column | str | None = None) -> Column:
@@ -37,31 +40,45 @@ def edge_text(src: Column | str, relation: Column | str, dst: Column | str, key:
     return F.array_join(F.filter(F.array(*[F.trim(p) for p in parts]), lambda p: p != ""), " ; ")
 
 
-def path_text(name1: Column | str, relation1: Column | str, middle: Column | str, relation2: Column | str, end: Column | str, attribute1: Column, attribute2: Column) -> Column:
-    """A path of two edges in words, by which of the two are attributes."""
-    n, r1, m, r2, e = (text_of(c) for c in (name1, relation1, middle, relation2, end))
-    own = lambda s, r, o: F.concat(F.lit("the "), r, F.lit(" of "), s, F.lit(" is "), o)
-    plain = lambda s, r, o: F.concat_ws(" ", s, r, o)
-    first = F.when(attribute1, own(n, r1, m)).otherwise(plain(n, r1, m))
-    second = F.when(attribute2, own(m, r2, e)).otherwise(plain(m, r2, e))
-    return F.concat(first, F.lit(", and "), second)
+def is_attribute_key(key: Column | str) -> Column:
+    """A key of the form ``the x of y``."""
+    low = F.lower(text_of(key))
+    return low.startswith("the ") & F.contains(low, F.lit(" of "))
+
+
+def path_text(name: Column | str, relation1: Column | str, relation2: Column | str, attribute1: Column, attribute2: Column) -> Column:
+    """What two edges in a row ask for from the first one's source, in words, by which of the two are attributes."""
+    n, r1, r2 = (text_of(c) for c in (name, relation1, relation2))
+    first = F.when(attribute1, F.concat(F.lit("the "), r1, F.lit(" of "), n))
+    both = F.concat(F.lit("the "), r2, F.lit(" of "), first)
+    ends = F.concat(F.lit("the "), r2, F.lit(" of which "), n, F.lit(" "), r1)
+    begins = F.concat(F.lit("the "), r2, F.lit(" related to "), first)
+    return F.when(attribute1 & attribute2, both).when(attribute2, ends).when(attribute1, begins).otherwise(F.concat_ws(" ", n, r1, r2))
 
 
 def question_relation(c: Column | str) -> Column:
-    """The relation that a question asks for by its words; null if none of the known ones stands in it."""
-    low = F.lower(text_of(c))
-    return F.coalesce(*[F.when(F.contains(low, F.lit(word)), F.lit(relation)) for word, relation in QUESTION_RELATIONS])
+    """The relation that a question asks for by its words."""
+    low = F.lower(normalize_text(c))
+    told = [F.when(reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in words]), F.lit(relation)) for relation, words in QUESTION_RELATIONS]
+    return F.coalesce(*told, F.lit(OTHER_RELATION))
 
 
 def answer_of_output(c: Column | str) -> Column:
-    """What a model's output gives as its answer: after the last ``Answer:``, the first line, without closing dots."""
-    tail = F.element_at(F.split(text_of(c), "(?i)answer:"), -1)
-    return F.regexp_replace(F.trim(F.element_at(F.split(F.trim(tail), "\n"), 1)), r"\.+$", "")
+    """What a model's output gives as its answer: what follows the answer mark up to the end mark, else the last line before the end mark that isn't empty."""
+
+    def told(out: Column) -> Column:
+        until = lambda x: F.regexp_replace(F.element_at(F.split(x, END_MARK.replace("|", r"\|")), 1), r"^\s+|\s+$", "")
+        marked = F.when(F.contains(out, F.lit(ANSWER_MARK)), until(F.element_at(F.split(out, ANSWER_MARK), -1)))
+        lines = F.filter(F.transform(F.split(until(out), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        return F.coalesce(F.nullif(marked, F.lit("")), F.element_at(F.concat(F.array(F.lit("")), lines), -1))
+
+    return let(F.trim(F.replace(text_of(c), F.lit(STOP_MARK), F.lit(""))), told)
 
 
 def should_regenerate(c: Column | str) -> Column:
-    """An output without an answer, or one that only repeats a word."""
-    return let(answer_of_output(c), lambda a: (a == "") | ((F.size(F.split(a, " ")) > 3) & (F.size(F.array_distinct(F.split(a, " "))) == 1)))
+    """An output that stops at a reference before it gives an answer."""
+    out = text_of(c)
+    return out.endswith(CUT_MARK) & ~F.contains(out, F.lit(ANSWER_MARK))
 
 
 def chunks(tokens: Column, size: int) -> Column:
@@ -86,10 +103,9 @@ def edited(tokens: Column, seed: Column, insert: bool, word: str = "edited") ->
     return changed if insert else F.when(F.size(tokens) == 0, tokens).otherwise(changed)
 
 
-def step_share(step: Column, total: Column, low: float, high: float, warm: float = 0.1) -> Column:
-    """A curriculum's value at a step: low while warming up, then linear to high."""
-    at = step / F.greatest(total, F.lit(1))
-    return F.when(at <= warm, F.lit(low)).otherwise(F.least(F.lit(high), low + (high - low) * (at - warm) / (1 - warm)))
+def context_set_size(step: Column, every: int = 100, first: int = 4) -> Column:
+    """How large a knowledge base a training step sees: ``first`` more after each ``every`` steps."""
+    return first * (F.floor(step / every) + 1)
 
 
 def cache_key(*parts: Column | str) -> Column:
@@ -128,19 +144,26 @@ def linearised_triples(c: Column | str) -> Column:
     return F.flatten(F.transform(F.slice(heads, 2, F.size(heads)), of_head))
 
 
-def is_value_like(name: Column | str, degree: Column | None = None) -> Column:
-    """A text that reads like a value, not a name: digits, a date, one lower-case word of letters; a node of degree above one isn't a value by its words alone."""
-    text = normalize_text(name)
-    shaped = text.rlike("[0-9]") | (text == "")
-    worded = text.rlike("^[a-z]+$")
-    return shaped | (worded & (degree <= 1) if degree is not None else worded)
+def is_value_like(name: Column | str) -> Column:
+    """A text that reads like a value, not a name: with a digit, or of at most three words beginning in lower case."""
+    return let(normalize_text(name), lambda t: t.rlike("[0-9]") | (t.rlike(r"^\p{Ll}") & (F.size(F.split(t, " ")) <= 3)))
+
+
+def is_value_like_node(name: Column | str, n_in: Column, n_in_attributes: Column) -> Column:
+    """A value by its text, or half of a node's in-edges, one at least, are attributes."""
+    return is_value_like(name) | ((n_in > 0) & (n_in_attributes >= F.greatest(F.lit(1), F.floor(n_in / 2))))
+
+
+def object_reasons(name: Column | str, generic: tuple[str, ...] = ()) -> Column:
+    """Why the object of a relation is suspicious: a generic term, a phrase of up to three words in lower case, a role word alone."""
 
+    def reasons(text: Column) -> Column:
+        words = F.split(canonical_entity_key(text), " ")
+        plain = (F.size(words) <= 3) & F.forall(words, lambda w: w.rlike(r"^\p{L}+$")) & (text == F.lower(text))
+        tests = [(canonical_entity_key(text).isin(*generic) if generic else F.lit(False), "generic_term_lexicon"), (plain, "lowercase_common_phrase"), ((F.size(words) == 1) & words[0].isin(*ROLE_WORDS), "singleton_role_word")]
+        return F.array_compact(F.array(*[F.when(test, F.lit(why)) for test, why in tests]))
 
-def object_reasons(name: Column | str) -> Column:
-    """Why the object of a relation is suspicious: a role word, a phrase in lower case, a number."""
-    text = normalize_text(name)
-    reasons = [(F.lower(text).isin(*ROLE_WORDS), "role_word"), (text.rlike("[a-z]") & (text == F.lower(text)) & F.contains(text, F.lit(" ")), "lower_phrase"), (text.rlike(r"^[0-9\s.,%-]+$"), "numeric")]
-    return F.array_compact(F.array(*[F.when(test, F.lit(why)) for test, why in reasons]))
+    return let(normalize_text(name), reasons)
 
 
 def prompt_lines(items: Column, heading: str) -> Column:

@@ -114,30 +114,59 @@ def diffusion(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return out
 
 
-def transition(edges: DataFrame) -> DataFrame:
-    """Symmetric counts of neighbours, each row divided by its sum: src, dst, weight."""
-    sym = edges.select("src", "dst").union(edges.where("src != dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+def transition(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Counts of neighbours both ways, each row divided by its sum: src, dst, weight. A loop counts twice.
+
+    Of ``nodes`` (node) those without an edge move to themselves.
+    """
+    sym = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x")).select("x.*")
     counts = sym.groupBy("src", "dst").agg(F.count("*").alias("c"))
     total = counts.groupBy("src").agg(F.sum("c").alias("t"))
-    return counts.join(total, "src").select("src", "dst", (F.col("c") / F.col("t")).alias("weight"))
+    moves = counts.join(total, "src").select("src", "dst", (F.col("c") / F.col("t")).alias("weight"))
+    if nodes is None:
+        return moves
+    alone = nodes.select(F.col("node").alias("src")).distinct().join(total, "src", "left_anti")
+    return moves.union(alone.select("src", F.col("src").alias("dst"), F.lit(1.0)))
+
+
+def bipartite(edges: DataFrame) -> DataFrame:
+    """Edges (eid, src, dst) as a graph of nodes and edges: each edge a node of its own (-1 - eid) beside both its ends."""
+    own = (-1 - F.col("eid")).alias("dst")
+    return edges.select(F.col("src"), own).union(edges.select(F.col("dst").alias("src"), own))
 
 
-def personalised_pagerank(moves: DataFrame, start: DataFrame, alpha: float = 0.15, iterations: int = 10) -> DataFrame:
-    """node, rank after a fixed number of steps r = (1 - alpha) * T'r + alpha * start; ranks sum to one at the end.
+def personalised_pagerank(moves: DataFrame, start: DataFrame, alpha: float = 0.15, iterations: int = 50, tolerance: float = 1e-6) -> DataFrame:
+    """node, rank: steps r = (1 - alpha) * T'r + alpha * start until they change by less than ``tolerance`` in sum, ``iterations``
+    at most; ranks sum to one at the end. A tolerance of 0 takes all steps.
 
     ``moves`` is a row-normalised transition (src, dst, weight); ``start`` has node and p. Each step is one
-    join and one partially aggregated sum; the lineage is cut every third step.
+    join and one partially aggregated sum; the lineage is cut at each step that is measured, else at every third.
     """
     moves, start = cut(moves), cut(start)
     rank = start.select("node", F.col("p").alias("rank"))
     for k in range(iterations):
         walked = moves.join(rank, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("weight") * F.col("rank") * (1 - alpha)).alias("part"))
         jumped = start.select("node", (F.col("p") * alpha).alias("part"))
-        rank = walked.union(jumped).groupBy("node").agg(F.sum("part").alias("rank"))
-        if k % 3 == 2:
+        former, rank = rank, walked.union(jumped).groupBy("node").agg(F.sum("part").alias("rank"))
+        if tolerance > 0:
+            rank = cut(rank)
+            apart = rank.join(former.withColumnRenamed("rank", "was"), "node", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+            if (apart or 0.0) < tolerance:
+                break
+        elif k % 3 == 2:
             rank = cut(rank)
     total = rank.agg(F.sum("rank").alias("total"))
-    return rank.join(F.broadcast(total)).select("node", (F.col("rank") / F.col("total")).alias("rank"))
+    return rank.crossJoin(F.broadcast(total)).select("node", (F.col("rank") / F.col("total")).alias("rank"))
+
+
+def rank_edges(edges: DataFrame, ranks: DataFrame, memory: DataFrame, query_weight: float, leaf_bonus: float) -> DataFrame:
+    """Add score: the ranks of both ends, the edge's own rank in the bipartite graph (``memory``: node, rank), its lexical
+    share (``lexical``) by ``query_weight``, and a bonus for attributes (``is_attribute``)."""
+    end = lambda side: ranks.select(F.col("node").alias(side), F.col("rank").alias(f"_{side}"))
+    own = memory.where("node < 0").select((-1 - F.col("node")).alias("eid"), F.col("rank").alias("_own"))
+    joined = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left").join(own, "eid", "left").fillna(0.0, ["_src", "_dst", "_own"])
+    score = F.col("_src") + F.col("_dst") + F.col("_own") + query_weight * F.col("lexical") + F.when(F.col("is_attribute"), leaf_bonus).otherwise(0.0)
+    return joined.withColumn("score", score).drop("_src", "_dst", "_own")
 
 
 def line_graph(edges: DataFrame) -> DataFrame:

@@ -50,15 +50,14 @@ def content_key(df: DataFrame, leave_out: list[str]) -> Column:
 
 
 def fold_tails(df: DataFrame, key: list[str], tail: str, order: str, most: int = 50) -> DataFrame:
-    """One tail for each key, folded in order: the longer of two if one holds the other, both with a comma while shorter than ``most``, else the first.
-
-    The fold depends on order; a key has as many tails as a head has objects of one relation.
-    """
+    """One tail for each key, folded in order: of two of which one holds the other the longer; two shorter than ``most`` as
+    their distinct parts between commas, sorted; else the first. A key has as many tails as a head has objects of one relation."""
     tails = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tail).alias("t")))), lambda x: x["t"])
 
     def step(a: Column, b: Column) -> Column:
-        joined = F.concat(a, F.lit(", "), b)
-        return F.when(F.contains(a, b), a).when(F.contains(b, a), b).when(F.length(joined) < most, joined).otherwise(a)
+        parts = F.filter(F.transform(F.split(F.concat(a, F.lit(","), b), ","), lambda x: F.trim(x)), lambda x: x != "")
+        joined = F.array_join(F.array_sort(F.array_distinct(parts)), ", ")
+        return F.when(F.contains(b, a), b).when(F.contains(a, b), a).when((F.length(a) < most) & (F.length(b) < most), joined).otherwise(a)
 
     return df.groupBy(*key).agg(tails.alias("_t")).select(*key, F.aggregate(F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), F.get("_t", 0), step).alias(tail))
 
@@ -93,21 +92,21 @@ def hit_curve(ranked: DataFrame) -> DataFrame:
     return each.groupBy("k").agg(count_where(F.col("best") <= F.col("k")).alias("hits"), F.count("*").alias("questions"))
 
 
-def level_prizes(scored: DataFrame, by: list[str], score: str, start: float, decay: float) -> DataFrame:
-    """Add prize: rows of one score share a level; a level's prize is what is left of ``start`` over its rows, or the former
-    level's shrunk by ``decay`` if that is less. Levels are folded as one small array for each group."""
-    level = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc(score)))
-    at = scored.withColumn("_level", level)
-    counts = at.groupBy(*by, "_level").agg(F.count("*").alias("n"))
-    arrays = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_level", "n"))).alias("levels"))
-    zero = F.struct(F.lit(float(start)).alias("left"), F.lit(float("inf")).alias("last"), F.array().cast("array<double>").alias("out"))
+def level_prizes(scored: DataFrame, by: list[str], score: str, levels: int, decay: float = 0.01) -> DataFrame:
+    """Add prize: rows of one score share a level. Of the best K = ``levels`` levels (fewer if there are fewer) the k-th gives its
+    rows (K - k) / rows each, k from 0, but no more than the level before, shrunk by ``decay``; other rows get 0.
+    Levels are folded as one array of at most K for each group."""
+    at = scored.withColumn("_level", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc(score))))
+    counts = at.where(F.col("_level") <= levels).groupBy(*by, "_level").agg(F.count("*").alias("n"))
+    arrays = counts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_level", "n"))), lambda x: x["n"]).alias("n"))
+    start = F.struct(F.size("n").cast("double").alias("mass"), F.size("n").cast("double").alias("most"), F.array().cast("array<double>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        prize = F.greatest(F.least(acc["left"] / x["n"], acc["last"] * (1 - decay)), F.lit(0.0))
-        return F.struct((acc["left"] - prize * x["n"]).alias("left"), prize.alias("last"), F.concat(acc["out"], F.array(prize)).alias("out"))
+    def step(acc: Column, n: Column) -> Column:
+        prize = F.least(acc["mass"] / n, acc["most"])
+        return F.struct((acc["mass"] - 1).alias("mass"), (prize * (1 - decay)).alias("most"), F.concat(acc["out"], F.array(prize)).alias("out"))
 
-    folded = arrays.select(*by, F.aggregate("levels", zero, step, lambda acc: acc["out"]).alias("prizes"))
-    return at.join(folded, by).select(*scored.columns, F.element_at("prizes", F.col("_level")).alias("prize"))
+    folded = arrays.select(*by, F.aggregate("n", start, step, lambda acc: acc["out"]).alias("prizes"))
+    return at.join(folded, by).select(*scored.columns, F.coalesce(F.get("prizes", F.col("_level") - 1), F.lit(0.0)).alias("prize"))
 
 
 def rollovers(df: DataFrame, by: list[str], order: list[str], clock: str) -> DataFrame:

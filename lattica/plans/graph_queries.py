@@ -13,7 +13,7 @@ from lattica.sources.tables import edges, table
 Spark = SparkSession
 
 
-@query("g28_transition", f"WITH {sql.EDGES}, s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e WHERE src <> dst), c AS (SELECT src, dst, count(*) AS c FROM s GROUP BY 1, 2) SELECT src, dst, round(c / sum(c) OVER (PARTITION BY src), 9) AS weight FROM c")
+@query("g28_transition", f"WITH {sql.EDGES}, s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), c AS (SELECT src, dst, count(*) AS c FROM s GROUP BY 1, 2) SELECT src, dst, round(c / sum(c) OVER (PARTITION BY src), 9) AS weight FROM c")
 def transition(spark: Spark, sf_dir: str) -> DataFrame:
     return graph.transition(edges(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
@@ -36,7 +36,33 @@ def pagerank(spark: Spark, sf_dir: str) -> DataFrame:
     start = _segment(spark, sf_dir, e, "c_mktsegment = 'BUILDING'").select("node").distinct()
     n = start.agg(F.count("*").alias("n"))
     tele = start.crossJoin(F.broadcast(n)).select("node", (1 / F.col("n")).alias("p"))
-    return graph.personalised_pagerank(graph.transition(e), tele, 0.15, 4).withColumn("rank", F.round("rank", 9))
+    return graph.personalised_pagerank(graph.transition(e), tele, 0.15, 4, 0).withColumn("rank", F.round("rank", 9))
+
+
+_ORDER_GRAPH = "oe AS (SELECT o_orderkey AS eid, o_custkey * 2 AS src, c_nationkey * 2 + 1 AS dst, o_orderpriority = '1-URGENT' AS is_attribute, (o_orderstatus = 'F')::INT::DOUBLE AS lexical FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+def _step(moves: str, start: str, k: int, alpha: float = 0.15) -> str:
+    return f"{start}{k + 1} AS (SELECT node, sum(x) AS rank FROM (SELECT dst AS node, w * rank * {1 - alpha} AS x FROM {moves} JOIN {start}{k} ON src = node UNION ALL SELECT node, rank * {alpha} FROM {start}0) GROUP BY 1)"
+
+
+_PPR_EDGES = f"""WITH {_ORDER_GRAPH}, s1 AS (SELECT src, dst FROM oe UNION ALL SELECT dst, src FROM oe), m1 AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS w FROM s1 GROUP BY 1, 2),
+  b AS (SELECT src, -1 - eid AS dst FROM oe UNION ALL SELECT dst, -1 - eid FROM oe), s2 AS (SELECT src, dst FROM b UNION ALL SELECT dst, src FROM b), m2 AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS w FROM s2 GROUP BY 1, 2),
+  t AS (SELECT DISTINCT c_custkey * 2 AS node FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9000), p0 AS (SELECT node, 1 / (SELECT count(*) FROM t) AS rank FROM t), q0 AS (SELECT * FROM p0), {", ".join(_step("m1", "p", k) for k in range(3))}, {", ".join(_step("m2", "q", k) for k in range(3))}
+  SELECT eid, round(coalesce(a.rank, 0) / (SELECT sum(rank) FROM p3) + coalesce(z.rank, 0) / (SELECT sum(rank) FROM p3) + coalesce(o.rank, 0) / (SELECT sum(rank) FROM q3) + 0.2 * lexical + CASE WHEN is_attribute THEN 0.05 ELSE 0 END, 9) AS score
+  FROM oe LEFT JOIN p3 a ON a.node = src LEFT JOIN p3 z ON z.node = dst LEFT JOIN q3 o ON o.node = -1 - eid"""
+
+
+@query("g30_ppr_edge_ranking", _PPR_EDGES)
+def ppr_edge_ranking(spark: Spark, sf_dir: str) -> DataFrame:
+    """G28's bipartite form, G29 and G30: edges between customers and nations by the ranks of their ends and their own."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    e = o.select(F.col("o_orderkey").alias("eid"), (F.col("o_custkey") * 2).alias("src"), (F.col("c_nationkey") * 2 + 1).cast("long").alias("dst"), (F.col("o_orderpriority") == "1-URGENT").alias("is_attribute"), (F.col("o_orderstatus") == "F").cast("double").alias("lexical"))
+    start = o.where("c_acctbal > 9000").select((F.col("o_custkey") * 2).alias("node")).distinct()
+    tele = start.crossJoin(F.broadcast(start.agg(F.count("*").alias("n")))).select("node", (1 / F.col("n")).alias("p"))
+    ranks = graph.personalised_pagerank(graph.transition(e), tele, 0.15, 3, 0)
+    memory = graph.personalised_pagerank(graph.transition(graph.bipartite(e)), tele, 0.15, 3, 0)
+    return graph.rank_edges(e, ranks, memory, 0.2, 0.05).select("eid", F.round("score", 9).alias("score"))
 
 
 @query("g10_diffusion", f"""WITH {sql.EDGES}, seed AS (SELECT DISTINCT src AS node, 1.0::DOUBLE AS mass FROM e JOIN customer ON src = c_custkey * 2 WHERE c_mktsegment = 'MACHINERY'), i AS (SELECT dst, count(*) AS n FROM e GROUP BY 1), o AS (SELECT src, count(*) AS n FROM e GROUP BY 1),

@@ -14,18 +14,18 @@ from lattica.sources.tables import table
 Spark = SparkSession
 
 
-@query("f12_kv_direction", f"""WITH {sql.KVS}, x AS (SELECT dataset_id, source_index, triple_index, kv_index, lower(key_text) AS k, lower(value_text) AS v, lower(subject) AS s, lower(object) AS o FROM kvs),
-  y AS (SELECT *, contains(k, s) AND v = o AS ahead, contains(k, o) AND v = s AS back FROM x) SELECT dataset_id, source_index, triple_index, kv_index, CASE WHEN ahead AND NOT back THEN 'forward' WHEN back AND NOT ahead THEN 'backward' ELSE 'unknown' END AS direction FROM y""")
+@query("f12_kv_direction", f"""WITH {sql.KVS}, x AS (SELECT dataset_id, source_index, triple_index, kv_index, lower(key_text) AS k, lower(value_text) AS v, lower(subject) AS s, lower(object) AS o FROM kvs)
+  SELECT dataset_id, source_index, triple_index, kv_index, CASE WHEN v = o THEN 'forward' WHEN v = s THEN 'backward' WHEN contains(k, s) AND NOT contains(k, o) THEN 'forward' WHEN contains(k, o) AND NOT contains(k, s) THEN 'backward' ELSE 'unknown' END AS direction,
+    CASE WHEN contains(k, s) AND NOT contains(k, o) THEN 'forward' WHEN contains(k, o) AND NOT contains(k, s) THEN 'backward' ELSE 'unknown' END AS by_key FROM x""")
 def kv_direction(spark: Spark, sf_dir: str) -> DataFrame:
     kvs = built(spark, sf_dir).kv_keyed
-    return kvs.select("dataset_id", "source_index", "triple_index", "kv_index", phrases.kv_direction("key_text", "value_text", "subject", "object").alias("direction"))
+    told = lambda value: phrases.kv_direction("key_text", value, "subject", "object")
+    return kvs.select("dataset_id", "source_index", "triple_index", "kv_index", told("value_text").alias("direction"), told(F.lit("")).alias("by_key"))
 
 
-@query("f13_path_text", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'the located in of ' || c_name || ' is ' || n_name ELSE c_name || ' located in ' || n_name END || ', and ' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'the part of of ' || n_name || ' is ' || r_name ELSE n_name || ' part of ' || r_name END AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("f13_path_text", """SELECT c_custkey, CASE WHEN c_acctbal < 0 AND c_mktsegment = 'BUILDING' THEN 'the part of of the located in of ' || c_name WHEN c_mktsegment = 'BUILDING' THEN 'the part of of which ' || c_name || ' located in' WHEN c_acctbal < 0 THEN 'the part of related to the located in of ' || c_name ELSE c_name || ' located in part of' END AS path FROM customer""")
 def path_text(spark: Spark, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select("c_custkey", phrases.path_text("c_name", F.lit("located in"), "n_name", F.lit("part of"), "r_name", F.col("c_acctbal") < 0, F.col("c_mktsegment") == "BUILDING").alias("path"))
+    return table(spark, sf_dir, "customer").select("c_custkey", phrases.path_text("c_name", F.lit("located in"), F.lit("part of"), F.col("c_acctbal") < 0, F.col("c_mktsegment") == "BUILDING").alias("path"))
 
 
 @query("f14_edge_text", "SELECT p_partkey, array_to_string(list_filter([trim(p_name), 'brand', trim(p_brand), CASE WHEN p_size > 25 THEN trim(p_type) ELSE '' END], lambda x: x <> ''), ' ; ') AS edge FROM part")
@@ -72,8 +72,8 @@ def update_amplification(spark: Spark, sf_dir: str) -> DataFrame:
     return out.withColumn("amplification", F.round(F.col("changed") / F.col("tokens"), 6))
 
 
-TEMPLATES = ("What is the %s of %s?", "Tell me the %s of %s, the director.", "In which country is the %s of %s?", "Who wrote about the %s of %s?")
-_ASKED = "asked AS (SELECT c_custkey, [" + ", ".join("'" + t.replace("%s", "' || c_mktsegment || '", 1).replace("%s", "' || c_name || '") + "'" for t in TEMPLATES) + f"][{_place('c_custkey', '4')} + 1] AS question FROM customer)"
+TEMPLATES = ("What is the %s of %s?", "When was the %s of %s published?", "Where is the %s of %s?", "Who knows the %s of %s?", "When did the %s of %s begin?", "Which language has the %s of %s?")
+_ASKED = "asked AS (SELECT c_custkey, [" + ", ".join("'" + t.replace("%s", "' || c_mktsegment || '", 1).replace("%s", "' || c_name || '") + "'" for t in TEMPLATES) + f"][{_place('c_custkey', '6')} + 1] AS question FROM customer)"
 
 
 def _asked(spark: Spark, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def templated_questions(spark: Spark, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir)
 
 
-_RELATION = "CASE " + " ".join(f"WHEN contains(lower(question), '{w}') THEN '{r}'" for w, r in phrases.QUESTION_RELATIONS) + " END"
+_RELATION = "CASE " + " ".join("WHEN " + " AND ".join(f"contains(lower(question), '{w}')" for w in words) + f" THEN '{r}'" for r, words in phrases.QUESTION_RELATIONS) + f" ELSE '{phrases.OTHER_RELATION}' END"
 
 
 @query("f19_question_relation", f"WITH {_ASKED} SELECT c_custkey, {_RELATION} AS relation FROM asked")
@@ -93,22 +93,18 @@ def question_relation(spark: Spark, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("c_custkey", phrases.question_relation("question").alias("relation"))
 
 
-_OUTPUT = "CASE WHEN p_size > 40 THEN 'no result' WHEN p_size > 30 THEN 'Answer:' WHEN p_size > 20 THEN 'ANSWER: so so so so' ELSE 'First.' || chr(10) || 'Answer: ' || p_name || '..' || chr(10) || 'more' END"
-
-
-@query("f20_answers_of_outputs", f"""WITH o AS (SELECT p_partkey, {_OUTPUT} AS o FROM part), a AS (SELECT p_partkey, regexp_replace(trim(string_split(trim(string_split_regex(o, '(?i)answer:')[-1]), chr(10))[1]), '\\.+$', '') AS answer FROM o)
-  SELECT p_partkey, answer, answer = '' OR (len(string_split(answer, ' ')) > 3 AND len(list_distinct(string_split(answer, ' '))) = 1) AS again FROM a""")
+@query("f20_answers_of_outputs", """WITH o AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN 'first' || chr(10) || ' ' || p_name || ' ' || chr(10) || '<|im_end|>rest' WHEN p_size > 30 THEN 'so far <|object_ref_end|>' WHEN p_size > 20 THEN 'The answer to the question is: ' || p_name || '<|im_end|> x' ELSE 'a' || chr(10) || 'The answer to the question is:' || chr(10) || p_brand || '<|endoftext|>' END AS o FROM part),
+  t AS (SELECT *, trim(replace(o, '<|endoftext|>', '')) AS c FROM o), m AS (SELECT *, CASE WHEN contains(c, 'The answer to the question is:') THEN trim(string_split(string_split(c, 'The answer to the question is:')[-1], '<|im_end|>')[1], ' ' || chr(10)) END AS marked FROM t)
+  SELECT p_partkey, coalesce(nullif(marked, ''), list_filter(list_transform(string_split(string_split(c, '<|im_end|>')[1], chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1], '') AS answer, suffix(o, '<|object_ref_end|>') AND NOT contains(o, 'The answer to the question is:') AS again FROM m""")
 def answers_of_outputs(spark: Spark, sf_dir: str) -> DataFrame:
-    size = F.col("p_size")
-    out = F.when(size > 40, "no result").when(size > 30, "Answer:").when(size > 20, "ANSWER: so so so so").otherwise(F.concat(F.lit("First.\nAnswer: "), "p_name", F.lit("..\nmore")))
+    size, mark = F.col("p_size"), F.lit(phrases.ANSWER_MARK)
+    out = F.when(size > 40, F.concat(F.lit("first\n "), "p_name", F.lit(" \n<|im_end|>rest"))).when(size > 30, "so far <|object_ref_end|>").when(size > 20, F.concat(mark, F.lit(" "), "p_name", F.lit("<|im_end|> x"))).otherwise(F.concat(F.lit("a\n"), mark, F.lit("\n"), "p_brand", F.lit("<|endoftext|>")))
     return table(spark, sf_dir, "part").select("p_partkey", phrases.answer_of_output(out).alias("answer"), phrases.should_regenerate(out).alias("again"))
 
 
-@query("f21_step_share", "WITH m AS (SELECT max(event_id) AS total FROM events), s AS (SELECT event_id, event_id / greatest(total, 1) AS r FROM events, m) SELECT event_id, round(CASE WHEN r <= 0.1 THEN 0.2 ELSE least(0.8, 0.2 + 0.6 * (r - 0.1) / 0.9) END, 6) AS share FROM s")
-def step_share(spark: Spark, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    total = e.agg(F.max("event_id").alias("total"))
-    return e.crossJoin(F.broadcast(total)).select("event_id", F.round(phrases.step_share(F.col("event_id"), F.col("total"), 0.2, 0.8), 6).alias("share"))
+@query("f21_context_set_size", "SELECT event_id, 4 * (event_id // 100 + 1) AS size FROM events")
+def context_set_size(spark: Spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", phrases.context_set_size(F.col("event_id")).alias("size"))
 
 
 @query("f2_canonical_json", "SELECT c_custkey, json_object('key', c_custkey, 'name', c_name, 'nothing', NULL, 'segment', c_mktsegment)::VARCHAR AS json, sha256(json_object('p0', c_name, 'p1', c_mktsegment)::VARCHAR) AS cache_key FROM customer")
@@ -137,20 +133,21 @@ def linearised_triples(spark: Spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(phrases.linearised_triples(line)).alias("place", "t")).select("p_partkey", "place", "t.*")
 
 
-@query("p17_value_like_nodes", f"""WITH {sql.TRIPLES}, x AS (SELECT subject_id AS node_id FROM triples UNION ALL SELECT object_id FROM triples), d AS (SELECT node_id, count(*) AS n FROM x GROUP BY 1)
-  SELECT node_id, regexp_matches(canonical_name, '[0-9]') OR (regexp_matches(canonical_name, '^[a-z]+$') AND n <= 1) AS value_like FROM nodes JOIN d USING (node_id)""")
+@query("p17_value_like_nodes", f"""WITH {sql.TRIPLES}, d AS (SELECT object_id AS node_id, count(*) AS n, count_if(triple_type = 'ATTRIBUTE') AS a FROM triples GROUP BY 1)
+  SELECT node_id, regexp_matches(canonical_name, '[0-9]') OR (regexp_matches(canonical_name, '^\\p{{Ll}}') AND len(string_split(canonical_name, ' ')) <= 3) OR coalesce(a >= greatest(1, n // 2), false) AS value_like FROM nodes LEFT JOIN d USING (node_id)""")
 def value_like_nodes(spark: Spark, sf_dir: str) -> DataFrame:
     s = built(spark, sf_dir)
-    degree = s.triples.select(F.explode(F.array("subject_id", "object_id")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("n"))
-    return s.nodes.join(degree, "node_id").select("node_id", phrases.is_value_like("canonical_name", F.col("n")).alias("value_like"))
+    into = s.triples.groupBy(F.col("object_id").alias("node_id")).agg(F.count("*").alias("n"), F.count_if(F.col("triple_type") == "ATTRIBUTE").alias("a"))
+    return s.nodes.join(into, "node_id", "left").select("node_id", phrases.is_value_like_node("canonical_name", F.coalesce("n", F.lit(0)), F.coalesce("a", F.lit(0))).alias("value_like"))
 
 
-@query("p18_object_reasons", f"""WITH {sql.TRIPLES}, o AS (SELECT triple_id, canonical_name AS x FROM triples JOIN nodes ON node_id = object_id WHERE triple_type = 'ATTRIBUTE')
-  SELECT triple_id, reason FROM (SELECT triple_id, unnest(list_filter([CASE WHEN lower(x) IN ({", ".join(f"'{w}'" for w in phrases.ROLE_WORDS)}) THEN 'role_word' END, CASE WHEN regexp_matches(x, '[a-z]') AND x = lower(x) AND contains(x, ' ') THEN 'lower_phrase' END, CASE WHEN regexp_matches(x, '^[0-9\\s.,%-]+$') THEN 'numeric' END], lambda r: r IS NOT NULL)) AS reason FROM o)""")
+@query("p18_object_reasons", f"""WITH {sql.TRIPLES}, o AS (SELECT triple_id, canonical_name AS x, canonical_key AS k, string_split(canonical_key, ' ') AS w FROM triples JOIN nodes ON node_id = object_id)
+  SELECT triple_id, reason FROM (SELECT triple_id, unnest(list_filter([CASE WHEN k IN ('building', 'machinery', 'furniture') THEN 'generic_term_lexicon' END, CASE WHEN len(w) <= 3 AND len(list_filter(w, lambda y: NOT regexp_matches(y, '^\\p{{L}}+$'))) = 0 AND x = lower(x) THEN 'lowercase_common_phrase' END, CASE WHEN len(w) = 1 AND w[1] IN ({", ".join(f"'{r}'" for r in phrases.ROLE_WORDS)}) THEN 'singleton_role_word' END], lambda r: r IS NOT NULL)) AS reason FROM o)""")
 def object_reasons(spark: Spark, sf_dir: str) -> DataFrame:
+    """The audit of objects, against a lexicon of generic terms."""
     s = built(spark, sf_dir)
-    names = s.triples.where("triple_type = 'ATTRIBUTE'").join(s.nodes.select(F.col("node_id").alias("object_id"), "canonical_name"), "object_id")
-    return names.select("triple_id", F.explode(phrases.object_reasons("canonical_name")).alias("reason"))
+    flagged = s.nodes.select(F.col("node_id").alias("object_id"), phrases.object_reasons("canonical_name", ("building", "machinery", "furniture")).alias("reasons")).where(F.size("reasons") > 0)
+    return s.triples.join(flagged, "object_id").select("triple_id", F.explode("reasons").alias("reason"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"

@@ -78,7 +78,7 @@ def merged_stages(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 @query("a24_folded_tails", """WITH t AS (SELECT p_brand, list(p_name ORDER BY p_partkey) AS n FROM part GROUP BY 1)
-  SELECT p_brand, list_reduce(n, lambda a, b: CASE WHEN contains(a, b) THEN a WHEN contains(b, a) THEN b WHEN length(a || ', ' || b) < 50 THEN a || ', ' || b ELSE a END) AS p_name FROM t""")
+  SELECT p_brand, list_reduce(n, lambda a, b: CASE WHEN contains(b, a) THEN b WHEN contains(a, b) THEN a WHEN length(a) < 50 AND length(b) < 50 THEN array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(a || ',' || b, ','), lambda x: trim(x)), lambda x: x <> ''))), ', ') ELSE a END) AS p_name FROM t""")
 def folded_tails(spark: Spark, sf_dir: str) -> DataFrame:
     return reports.fold_tails(table(spark, sf_dir, "part"), ["p_brand"], "p_name", "p_partkey")
 
@@ -151,11 +151,11 @@ def trace_stats(spark: Spark, sf_dir: str) -> DataFrame:
     return s.select("l_orderkey", *[F.round(c, 4).alias(c) for c in ("sum_before", "sum_after")], "max_before", "max_after", *[(F.round(c, 6) + 0.0).alias(c) for c in ("entropy_before", "entropy_after", "divergence")])
 
 
-@query("w13_level_prizes", f"""WITH {_Q}, l AS (SELECT qid, eid, dense_rank() OVER (PARTITION BY qid ORDER BY score DESC) AS level FROM qe), c AS (SELECT qid, level, count(*) AS n FROM l GROUP BY 1, 2), a AS (SELECT qid, list(n ORDER BY level) AS n FROM c GROUP BY 1),
-  f AS (SELECT qid, list_reduce(n, lambda acc, x: {{'remaining': acc.remaining - greatest(least(acc.remaining / x, acc.last * 0.9), 0) * x, 'last': greatest(least(acc.remaining / x, acc.last * 0.9), 0), 'out': list_append(acc.out, greatest(least(acc.remaining / x, acc.last * 0.9), 0))}}, {{'remaining': 6.0::DOUBLE, 'last': 'infinity'::DOUBLE, 'out': []::DOUBLE[]}}) AS r FROM a)
-  SELECT qid, eid, round(r.out[level], 6) AS prize FROM l JOIN f USING (qid)""")
+@query("w13_level_prizes", f"""WITH {_Q}, l AS (SELECT qid, eid, dense_rank() OVER (PARTITION BY qid ORDER BY score DESC) AS level FROM qe), c AS (SELECT qid, level, count(*) AS n FROM l WHERE level <= 5 GROUP BY 1, 2), a AS (SELECT qid, list(n ORDER BY level) AS n FROM c GROUP BY 1),
+  f AS (SELECT qid, list_reduce(n, lambda acc, x: {{'mass': acc.mass - 1, 'most': least(acc.mass / x, acc.most) * 0.99, 'out': list_append(acc.out, least(acc.mass / x, acc.most))}}, {{'mass': len(n)::DOUBLE, 'most': len(n)::DOUBLE, 'out': []::DOUBLE[]}}) AS r FROM a)
+  SELECT qid, eid, round(coalesce(r.out[level], 0), 6) AS prize FROM l JOIN f USING (qid)""")
 def level_prizes(spark: Spark, sf_dir: str) -> DataFrame:
-    return reports.level_prizes(question_edges(spark, sf_dir), ["qid"], "score", 6.0, 0.1).select("qid", "eid", F.round("prize", 6).alias("prize"))
+    return reports.level_prizes(question_edges(spark, sf_dir), ["qid"], "score", 5).select("qid", "eid", F.round("prize", 6).alias("prize"))
 
 
 @query("w14_day_rollovers", "WITH e AS (SELECT user_id, event_id, hour(ts) * 60 + minute(ts) AS clock FROM events), b AS (SELECT *, coalesce((clock < lag(clock) OVER (PARTITION BY user_id ORDER BY event_id))::INT, 0) AS back FROM e) SELECT user_id, event_id, sum(back) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS day FROM b")

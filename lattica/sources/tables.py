@@ -78,3 +78,29 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bipartite multigraph of customers and parts: src, dst, score (quantity share), one row for each line."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), (F.col("l_quantity") / 50.0).alias("score"), "l_orderkey", "l_linenumber")
+
+
+def sample_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_index and json: a question about each customer in the shapes that data sets have, by market segment.
+
+    BUILDING has pairs of title and sentences, MACHINERY objects with triples,
+    FURNITURE paragraphs, AUTOMOBILE one text and no id, HOUSEHOLD triples of its own.
+    """
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = F.struct("o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), "o_orderstatus", "o_orderpriority")
+    held = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(o)).alias("o"))
+    c = customers.join(held, "c_custkey", "left").withColumn("o", F.coalesce("o", F.array().cast("array<struct<o_orderkey:bigint,title:string,o_orderstatus:string,o_orderpriority:string>>")))
+    f = F.format_string
+    each = lambda body: F.array_join(F.transform("o", body), ",")
+    status, priority = (lambda x: x["o_orderstatus"]), (lambda x: x["o_orderpriority"])
+    asked = F.concat(F.lit('"question":"Where is '), "c_name", F.lit('?","answer":"'), "n_name", F.lit('"'))
+    key = F.col("c_custkey").cast("string")
+    pairs = f('{"_id":"b%s",%s,"context":[%s],"supporting_facts":[%s]}', key, asked, each(lambda x: f('["%s",["Status %s."," Priority %s. ",""]]', x["title"], status(x), priority(x))), F.array_join(F.transform(F.filter("o", lambda x: status(x) == "F"), lambda x: f('["%s",0]', x["title"])), ","))
+    triple = lambda x: f('{"type":"attribute","name":"%s","description_type":"status","description":"%s"}', x["title"], status(x))
+    objects = f('{"id":%s,%s,"evidences":[%s],"context":[%s]}', key, asked, each(lambda x: f('"%s"', x["title"])), each(lambda x: f('{"title":"%s","sentences":["Status %s."],"triple_list":[%s]}', x["title"], status(x), triple(x))))
+    paragraphs = f('{"id":"3hop1_%s",%s,"paragraphs":[%s]}', key, asked, each(lambda x: f('{"title":"%s","paragraph_text":"Status %s. Priority %s.","is_supporting":%s,"triples":[{"Head":"%s","Relation":"placed by","Tail":"%s"}]}', x["title"], status(x), priority(x), F.when(status(x) == "O", "true").otherwise("false"), x["title"], F.col("c_name"))))
+    plain = f('{"Q":"Who is %s?","A":["%s","x"],"title":"%s","context":"Segment %s."}', F.col("c_name"), F.col("n_name"), F.col("c_name"), F.col("c_mktsegment"))
+    own = f('{"id":%s,%s,"triple_list":[{"type":"RELATION","name":"%s","description_type":"located in","description":"%s"}],"context":[%s]}', key, asked, F.col("c_name"), F.col("n_name"), each(lambda x: f('{"title":"%s","sentences":[],"triple_list":[%s]}', x["title"], triple(x))))
+    kind = F.col("c_mktsegment")
+    json = F.when(kind == "BUILDING", pairs).when(kind == "MACHINERY", objects).when(kind == "FURNITURE", paragraphs).when(kind == "AUTOMOBILE", plain).otherwise(own)
+    return c.select(F.col("c_custkey").alias("source_index"), json.alias("json"))
