@@ -9,13 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.windows import exclusive_offsets
 from lattica.session import cut
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """node, n_in, n_out, n_total over a multigraph; a loop counts on both sides."""
     ends = edges.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
@@ -55,12 +52,19 @@ def k_hop(seeds: DataFrame, incident: DataFrame, hops: int, expandable: DataFram
 
 
 def hop_distances(sources: DataFrame, edges: DataFrame, max_hops: int, directed: bool = False) -> DataFrame:
-    """qid, node and the fewest hops (at most ``max_hops``) from any of the query's sources (qid, node)."""
-    moves = edges.select("src", "dst").distinct() if directed else _both_ways(edges)
+    """qid, node and the fewest hops (at most ``max_hops``) from any of the query's sources (qid, node).
+
+    Edges (src, dst) are those of all queries, or with a qid those of each one.
+    """
+    own = ["qid"] if "qid" in edges.columns else []
+    moves = edges.select(*own, "src", "dst")
+    if not directed:
+        moves = moves.union(edges.select(*own, "dst", "src"))
+    moves = moves.distinct().withColumnsRenamed({"src": "node", "dst": "_to"})
     seen = sources.select("qid", "node").distinct().withColumn("hops", F.lit(0))
     frontier = seen
     for hop in range(1, max_hops + 1):
-        step = frontier.join(moves, F.col("node") == F.col("src")).select("qid", F.col("dst").alias("node")).distinct()
+        step = frontier.select("qid", "node").join(moves, [*own, "node"]).select("qid", F.col("_to").alias("node")).distinct()
         frontier = step.join(seen, ["qid", "node"], "left_anti").withColumn("hops", F.lit(hop))
         if hop < max_hops:
             frontier = cut(frontier)
@@ -69,14 +73,18 @@ def hop_distances(sources: DataFrame, edges: DataFrame, max_hops: int, directed:
 
 
 def shortest_path_support(sources: DataFrame, targets: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
-    """Edges on some shortest path from a source to a target: d(s, u) + 1 + d(v, t) = d(s, t), directed; with qid."""
+    """Edges on some shortest path from a source to a target: d(s, u) + 1 + d(v, t) = d(s, t), directed; with qid.
+
+    Edges (src, dst) are those of all queries, or with a qid those of each one.
+    """
+    own = ["qid"] if "qid" in edges.columns else []
     ahead = hop_distances(sources, edges, max_hops, directed=True)
-    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    back = hop_distances(targets, turned, max_hops, directed=True)
+    back = hop_distances(targets, edges.select(*own, F.col("dst").alias("src"), F.col("src").alias("dst")), max_hops, directed=True)
     best = ahead.join(targets.select("qid", "node"), ["qid", "node"]).groupBy("qid").agg(F.min("hops").alias("best"))
     u = ahead.select("qid", F.col("node").alias("src"), F.col("hops").alias("du"))
     v = back.select("qid", F.col("node").alias("dst"), F.col("hops").alias("dv"))
-    return edges.select("src", "dst").distinct().join(u, "src").join(v, ["qid", "dst"]).join(best, "qid").where("du + 1 + dv = best").select("qid", "src", "dst")
+    joined = edges.select(*own, "src", "dst").distinct().join(u, [*own, "src"]).join(v, ["qid", "dst"]).join(best, "qid")
+    return joined.where("du + 1 + dv = best").select("qid", "src", "dst")
 
 
 def reachable(sources: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -249,8 +257,7 @@ def direction_pairs(edges: DataFrame, keep_when_tie: bool = True) -> DataFrame:
 
 def block_diagonal(adj: DataFrame, sizes: DataFrame) -> DataFrame:
     """Entries (qid, i, j, w) of many graphs in one matrix: offsets are the running sums of ``sizes`` (qid, n) in order of qid."""
-    offset = F.coalesce(F.sum("n").over(Window.orderBy("qid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = sizes.select("qid", offset.alias("offset"))
+    at = exclusive_offsets(sizes.select("qid", "n"), "qid", "n", "offset").select("qid", "offset")
     return adj.join(at, "qid").select((F.col("i") + F.col("offset")).alias("i"), (F.col("j") + F.col("offset")).alias("j"), "w")
 
 

@@ -82,10 +82,16 @@ def hop_distances(spark: Spark, sf_dir: str) -> DataFrame:
     return graph.hop_distances(_segment(spark, sf_dir, e, "c_acctbal > 9500").select(F.col("c_nationkey").alias("qid"), "node"), e, 2)
 
 
-@query("g47_multi_hop_adjacency", f"WITH {sql.EDGES}, a AS (SELECT DISTINCT src % 50 AS i, dst % 50 AS j FROM e), b AS (SELECT DISTINCT x.i, y.j FROM a x JOIN a y ON x.j = y.i) SELECT i, j, round(sum(w), 6) AS weight FROM (SELECT i, j, 1.0::DOUBLE AS w FROM a UNION ALL SELECT i, j, 0.5::DOUBLE FROM b) GROUP BY 1, 2")
+_BOTH = "n AS (SELECT n_nationkey * 2 AS i, n_regionkey * 2 + 1 AS j FROM nation UNION SELECT n_regionkey * 2 + 1, n_nationkey * 2 FROM nation UNION SELECT 1000 + c_custkey, n_nationkey * 2 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT n_nationkey * 2, 1000000000 + s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+@query("g47_multi_hop_adjacency", f"WITH {_BOTH}, b AS (SELECT DISTINCT x.i, y.j FROM n x JOIN n y ON x.j = y.i), c AS (SELECT DISTINCT x.i, y.j FROM b x JOIN n y ON x.j = y.i) SELECT i::BIGINT AS i, j::BIGINT AS j, round(sum(w), 6) AS weight FROM (SELECT i, j, 1.0::DOUBLE AS w FROM n UNION ALL SELECT i, j, 0.5::DOUBLE FROM b UNION ALL SELECT i, j, 0.25::DOUBLE FROM c) GROUP BY 1, 2")
 def multi_hop(spark: Spark, sf_dir: str) -> DataFrame:
-    a = edges(spark, sf_dir).select((F.col("src") % 50).alias("i"), (F.col("dst") % 50).alias("j"))
-    return graph.multi_hop_adjacency(a, 2, 0.5).withColumn("weight", F.round("weight", 6))
+    """Customers, nations, regions and suppliers, nations and regions both ways: paths of up to three steps."""
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 2).cast("long").alias("i"), (F.col("n_regionkey") * 2 + 1).cast("long").alias("j"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).alias("i"), (F.col("c_nationkey") * 2).cast("long").alias("j"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") * 2).cast("long").alias("i"), (F.col("s_suppkey") + 1000000000).alias("j"))
+    return graph.multi_hop_adjacency(n.union(n.select("j", "i")).union(c).union(s), 3, 0.5).withColumn("weight", F.round("weight", 6))
 
 
 _Q = "qe AS (SELECT o_custkey AS qid, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS eid, l_partkey % 11 AS src, l_suppkey % 11 AS dst, l_quantity / 50.0 AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
@@ -120,11 +126,12 @@ def rank_prizes(spark: Spark, sf_dir: str) -> DataFrame:
     return graph.rank_prizes(question_edges(spark, sf_dir), 5, ["qid"]).select("qid", "eid", "prize")
 
 
-@query("u7_block_diagonal", f"WITH {_Q}, q AS (SELECT * FROM qe), s AS (SELECT qid, max(eid) AS n FROM q GROUP BY 1), o AS (SELECT qid, coalesce(sum(n) OVER (ORDER BY qid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM s) SELECT a.eid + o AS i, b.eid + o AS j FROM q a JOIN q b ON a.qid = b.qid AND a.dst = b.src JOIN o ON o.qid = a.qid WHERE a.eid <> b.eid")
+@query("u7_block_diagonal", f"WITH {_Q}, q AS (SELECT * FROM qe), s AS (SELECT qid, max(eid) AS n FROM q GROUP BY 1), o AS (SELECT qid, coalesce(sum(n) OVER (ORDER BY qid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM s) SELECT a.eid + o AS i, b.eid + o AS j, round(a.score * b.score, 6) AS w FROM q a JOIN q b ON a.qid = b.qid AND a.dst = b.src JOIN o ON o.qid = a.qid WHERE a.eid <> b.eid")
 def block_diagonal(spark: Spark, sf_dir: str) -> DataFrame:
     q = question_edges(spark, sf_dir)
-    adj = graph.line_graph(q).withColumn("w", F.lit(1.0))
-    return graph.block_diagonal(adj, q.groupBy("qid").agg(F.max("eid").alias("n"))).select("i", "j")
+    score = lambda side: q.select("qid", F.col("eid").alias(side), F.col("score").alias(f"s_{side}"))
+    adj = graph.line_graph(q).join(score("i"), ["qid", "i"]).join(score("j"), ["qid", "j"]).withColumn("w", F.round(F.col("s_i") * F.col("s_j"), 6))
+    return graph.block_diagonal(adj, q.groupBy("qid").agg(F.max("eid").alias("n")))
 
 
 def _topics(e: DataFrame) -> DataFrame:

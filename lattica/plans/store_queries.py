@@ -218,11 +218,15 @@ def candidate_kvs(spark: Spark, sf_dir: str) -> DataFrame:
     return two_hop(spark, sf_dir).join(links, "triple_id").select("qid", "kv_offset").distinct().join(s.kv_records, "kv_offset").select("qid", "kv_offset", "key_text", "value_text")
 
 
-@query("g8_connected_components", f"""WITH RECURSIVE {sql.TRIPLES}, e AS (SELECT subject_id AS a, object_id AS b FROM triples WHERE triple_type = 'RELATION' AND object_kind = 'entity'), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e)
-  , roots AS (SELECT a AS node, min(least(a, b)) AS m FROM b GROUP BY 1) SELECT count(*) AS n_nodes, count(DISTINCT m) > 0 AS any_component FROM roots""")
+_LABELS = f"""WITH {sql.TRIPLES}, e AS (SELECT subject_id AS a, object_id AS b FROM triples WHERE triple_type = 'RELATION' AND object_kind = 'entity' AND subject_id <> object_id), b AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  l0 AS (SELECT DISTINCT a AS node, a AS m FROM b), """ + ", ".join(f"l{k + 1} AS MATERIALIZED (SELECT l.node, least(min(l.m), min(n.m)) AS m FROM l{k} l JOIN b ON a = l.node JOIN l{k} n ON n.node = b.b GROUP BY 1)" for k in range(12))
+
+
+@query("g8_connected_components", f"{_LABELS} SELECT node, m AS component FROM l12")
 def components(spark: Spark, sf_dir: str) -> DataFrame:
+    """(node, component) for every node of a relation; no path of the graph is longer than the SQL's twelve steps."""
     e = built(spark, sf_dir).triples.where("triple_type = 'RELATION' and object_kind = 'entity'").select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
-    return connected_components(e).agg(F.count("*").alias("n_nodes"), (F.count_distinct("component") > 0).alias("any_component"))
+    return connected_components(e)
 
 
 @query("j22_mentions", f"""WITH {sql.NODES}, a AS (SELECT DISTINCT lower(name) AS alias_key, node_id FROM ekeyed JOIN nodes USING (canonical_key)), q AS (SELECT n_nationkey AS qid, {sql.key("'Which customers of ' || n_name || ' ordered Part 12'")} AS text FROM nation)
@@ -254,11 +258,3 @@ def label_mrr(spark: Spark, sf_dir: str) -> DataFrame:
     hits = _searched(spark, sf_dir, 50).join(label.withColumnsRenamed({"vec_id": "qid", "label": "ql"}), "qid").join(label.withColumnsRenamed({"vec_id": "node_id", "label": "nl"}), "node_id")
     ranks = hits.where("ql = nl and qid != node_id").groupBy("qid").agg(F.min("rank").alias("rank"))
     return search.mrr(ranks).select(*[F.round(c, 6).alias(c) for c in ("mrr", "top1", "top5")])
-
-
-@query("t4_hybrid_rerank", _TOP + """, m AS (SELECT qid, node_id, score, CASE WHEN node_id % 7 = 0 THEN 2 + least(0.5, length('name ' || node_id) / 64.0) END AS bonus FROM r WHERE rank <= 20),
-  x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score + coalesce(bonus, 0), 9) DESC, round(score, 9) DESC, node_id) AS rank FROM m) SELECT qid, node_id, round(score, 6) AS score, CASE WHEN bonus IS NULL THEN 'vector' ELSE 'hybrid' END AS source, rank FROM x WHERE rank <= 5""")
-def hybrid_rerank(spark: Spark, sf_dir: str) -> DataFrame:
-    hits = _searched(spark, sf_dir, 20)
-    said = hits.where("node_id % 7 = 0").select("qid", "node_id", F.concat(F.lit("name "), F.col("node_id").cast("string")).alias("alias_key"))
-    return search.hybrid(hits, said, 5).withColumn("score", F.round("score", 6))

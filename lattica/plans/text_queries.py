@@ -221,11 +221,6 @@ def set_compare(spark: Spark, sf_dir: str) -> DataFrame:
     return both.select("l_orderkey", F.round(same / F.size("x"), 6).alias("recall"), F.round(same / F.size("y"), 6).alias("precision"))
 
 
-@query("j21_segment_lookup", "WITH s AS (SELECT o_custkey AS seg, min(o_orderkey) AS b, max(o_orderkey) AS e FROM orders GROUP BY 1) SELECT l_orderkey, l_linenumber, l_orderkey // 1000 AS segment_id FROM lineitem")
-def segment_lookup(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_orderkey div 1000").alias("segment_id"))
-
-
 @query("u2_in_every_round", f"{_ROUNDS}, n AS (SELECT count(DISTINCT round) AS r FROM one WHERE round <= 2) SELECT user_id FROM one, n WHERE round <= 2 GROUP BY user_id, r HAVING count(DISTINCT round) = r")
 def in_every_round(spark: Spark, sf_dir: str) -> DataFrame:
     r = _rounds(spark, sf_dir).where("round <= 2")
