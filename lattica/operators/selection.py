@@ -409,3 +409,14 @@ def per_question(edges: DataFrame, topics: DataFrame, step: Callable[[list[Edge]
         return rows.loc[rows["eid"].isin(keep), columns]
 
     return edges.join(by_question, F.col("qid") == F.col("_qid"), "left").groupBy("qid").applyInPandas(run, edges.schema)
+
+
+def rewritten(edges: DataFrame, step: Callable[[list[Edge]], list[Edge]]) -> DataFrame:
+    """Run a step that changes the ends of a question's edges (qid, eid, src, dst, score); the order of its result doesn't matter."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [Edge(*values) for values in zip(*(rows[c].tolist() for c in ("eid", "src", "dst", "score")), strict=True)]
+        out = step(own)
+        return pd.DataFrame({"qid": rows["qid"].iloc[0], "eid": [e.eid for e in out], "src": [e.src for e in out], "dst": [e.dst for e in out], "score": [e.score for e in out]})
+
+    return edges.select("qid", "eid", "src", "dst", "score").groupBy("qid").applyInPandas(run, edges.select("qid", "eid", "src", "dst", "score").schema)
