@@ -33,6 +33,7 @@ from lattica.llm.textscan import NOT_ALNUM, U64, Words, as_batches, map_arrow, s
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object".split())
+SWALLOWS = frozenset("script style iframe".split())
 NEVER = frozenset("head nav footer aside form button select textarea option dialog menu".split())
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 
@@ -92,7 +93,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if tag in RAW:
             if not m[3].endswith("/"):
                 end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                # what isn't closed takes the rest of the page only where a browser reads it as raw text
+                at = end.end() if end else len(page) if tag in SWALLOWS else at
             continue
         if tag in BLOCK:
             flush()
@@ -148,6 +150,22 @@ def never(path: tuple[str, ...]) -> bool:
     return any(t in NEVER for t in tags) or "header" in tags and not ({"article", "main"} & set(tags[: tags.index("header")]))
 
 
+Block = tuple[tuple[str, ...], str, float]
+
+
+def without_page_forms(found: list[Block]) -> list[Block]:
+    """The blocks of a page without the forms in their paths that say nothing about them: those around an article, and where most of a page stands in forms, all."""
+    tags = [[e.partition(" ")[0] for e in path] for path, _, _ in found]
+    formed = sum(len(text) for (_, text, _), own in zip(found, tags, strict=True) if "form" in own)
+    every = 2 * formed > sum(len(text) for _, text, _ in found)
+
+    def shown(path: tuple[str, ...], own: list[str]) -> tuple[str, ...]:
+        inside = max((k for k, t in enumerate(own) if t in ("article", "main")), default=-1)
+        return tuple(e for k, (e, t) in enumerate(zip(path, own, strict=True)) if t != "form" or not (every or k < inside))
+
+    return [(shown(path, own), text, share) if "form" in own else (path, text, share) for (path, text, share), own in zip(found, tags, strict=True)]
+
+
 #: Names of containers in the pages made for training.
 _GOOD = ["article", "main", 'div class="content"', 'div id="content"', 'div class="post-body"', 'div class="entry-content"', 'section class="story"', 'div class="article-text"', "div"]
 _BAD = ["nav", "header", "footer", "aside", 'div class="ad"', 'div class="advert"', 'div class="ads banner"', 'div class="sidebar"', 'div id="menu"', 'div class="cookie-notice"', 'div class="notice"', 'div class="promo"', 'div class="related"', 'div class="share social"', 'div class="breadcrumbs"', 'ul class="menu"', 'div class="footer"', 'div id="header"', "form", 'div class="newsletter"', 'div class="copyright"']
@@ -219,7 +237,11 @@ def semantic_label(path: tuple[str, ...]) -> bool:
 
 
 def train(pages: DataFrame, sampled: int = TRAIN_PAGES, made: int = MADE_PAGES, epochs: int = 8, seed: int = 9) -> Tagger:
-    """Train the labeller on ``sampled`` pages with an article or main element, picked by hash of their id, and ``made`` pages of their words."""
+    """Train the labeller on ``sampled`` pages with an article or main element, picked by hash of their id, and ``made`` pages of their words.
+
+    Of the table only pages of less than 40,000 characters teach, and of a page its
+    first 60 blocks; both bound what the labeller is fitted on, not what it labels.
+    """
     usable = needed(pages, page_id="long", html="string").where("page_id is not null and html rlike '(?i)<(article|main)[ >]' and length(html) < 40000")
     # ids are picked first, so that what meets for the pick is small
     picked = usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sampled).distinct()
@@ -249,7 +271,7 @@ def train(pages: DataFrame, sampled: int = TRAIN_PAGES, made: int = MADE_PAGES,
 
 def main_texts(labeller: Tagger, pages: list[str]) -> list[str]:
     """The main text of each page; pages of like length are labelled side by side."""
-    found = [blocks(p) for p in pages]
+    found = [without_page_forms(blocks(p)) for p in pages]
     flat = vectors([b for page in found for b in page])
     ends = np.concatenate([[0], np.cumsum([len(b) for b in found])])
     out = [""] * len(pages)

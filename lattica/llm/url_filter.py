@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.columns import let, needed
+from lattica.session import cut
 
 #: Fixed values: (verdict, host suffix, path prefix).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -31,7 +32,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest rule (host and path as one string) that fits, and its verdict; null where none does. Of equally long ones the first wins."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for v, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
     return rule, verdict
@@ -101,19 +102,23 @@ def train(labelled: DataFrame, rows: int = LABELLED, trees: int = 8, depth: int
     """Fit on at most ``rows`` labelled urls (url, blocked as 0 or 1), picked by hash; null labels teach nothing.
 
     Suffix statistics are the smoothed block shares of the commonest suffixes of
-    the sample, 500 at most. Labels of one kind only leave no trees: every score
+    the sample, 500 at most; a row is trained with the share of the others. Labels of one kind only leave no trees: every score
     is then the share of blocked labels.
     """
     sample = needed(labelled, url="string", blocked="int").where("url is not null and blocked is not null").orderBy(F.xxhash64("url"), "url", "blocked").limit(rows)
     featured = lexical(sample).withColumn("label", F.col("blocked").cast("double")).cache()
     n, blocked = featured.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     base = (blocked + 1) / (n + 2)
-    shares = featured.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), "suffix").limit(500)
-    rows_ = shares.select("suffix", ((F.col("b") + 10 * base) / (F.col("n") + 10)).alias("suffix_share")).collect()
-    suffixes = featured.sparkSession.createDataFrame([tuple(r) for r in rows_], "suffix string, suffix_share double")
+    shares = featured.groupBy("suffix").agg(F.count("*").alias("_n"), F.sum("label").alias("_b")).orderBy(F.desc("_n"), "suffix").limit(500)
+    counts = cut(shares)
+    smoothed = lambda b, n: (b + 10 * base) / (n + 10)
+    suffixes = counts.select("suffix", smoothed(F.col("_b"), F.col("_n")).alias("suffix_share"))
     found = UrlClassifier(None, suffixes, base)
     if 0 < blocked < n:
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(featured.join(F.broadcast(suffixes), "suffix", "left").fillna(base, ["suffix_share"]))
+        # a row's own label stays out of its suffix's share
+        others = F.coalesce(smoothed(F.col("_b") - F.col("label"), F.col("_n") - 1), F.lit(base))
+        own = featured.join(F.broadcast(counts), "suffix", "left").withColumn("suffix_share", others)
+        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(own)
         boosted = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_prediction", maxIter=trees, maxDepth=depth, maxBins=32, seed=5)
         boosted.setProbabilityCol("_probability").setRawPredictionCol("_raw")
         found.model = boosted.fit(vectors.select("_features", "label"))

@@ -227,6 +227,8 @@ def test_url_rules(spark):
     assert got[2] == ("b.example.org", "/en/12", "example.org/en/1", "block")
     assert got[3][2:] == ("com/fr/", "allow") and got[4][2:] == ("com/de/", "block")
     assert got[5][:3] == ("org", "", None) and got[6][:3] == ("", "", None) and got[7][:3] == ("", "", None)
+    twice = [("allow", "a.net", "/x"), ("block", "a.net", "/x")]
+    assert url_filter.judge(spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string"), model, twice).first().verdict == "allow"
     assert got[8][2:] == ("org/", "allow") and got[9][2] is None and got[9][3] in ("allow", "block")
 
 
@@ -242,6 +244,65 @@ def test_pages(spark):
     assert (got[901].text, got[901].n_chars, got[902].text) == ("", 0, "")
 
 
+def test_pages_of_odd_make(spark):
+    """A form around the page, an element that isn't closed, and a form around the article."""
+    rng = np.random.default_rng(1)
+    words = [f"w{chr(97 + k % 26)}{k}" for k in range(300)]
+    body = "".join(f"<p>This is sentence {k} of a text, which has some more words. It goes on.</p>" for k in range(6))
+    want = "\n".join(f"This is sentence {k} of a text, which has some more words. It goes on." for k in range(6))
+    made = [(k, f"u{k}", html_extract.made_page(words, rng)[0]) for k in range(40)]
+    odd = [
+        (900, "u", f"<html><body><form id=f><nav><a href=/>Home</a></nav><article>{body}</article><div class=footer>Imprint</div></form></body></html>"),
+        (901, "u", f"<html><body><svg><nav><a href=/>Home</a></nav><article>{body}</article></body></html>"),
+        (902, "u", f"<html><body><article>{body}</article><form><p>Your name, please. Thank you.</p></form></body></html>"),
+    ]
+    df = spark.createDataFrame([*made, *odd], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df, html_extract.train(df, made=300)).collect()}
+    assert got[900] == got[901] == got[902] == want
+
+
+def test_held_out_blocks():
+    """Block labels of laid-out pages that the labeller hasn't seen."""
+    words = [f"w{chr(97 + k % 26)}{k}" for k in range(300)]
+    rng, hits, said, true = np.random.default_rng(77), 0, 0, 0
+    pages = [(b, m) for b, m in ((html_extract.blocks(p), m) for p, m in (html_extract.made_page(words, rng) for _ in range(400))) if len(b) == len(m) and m]
+    steps = max(len(m) for _, m in pages)
+    x, mask, tags = np.zeros((steps, len(pages), html_extract.PATH + html_extract.WORDS + html_extract.MEASURES), np.float32), np.zeros((steps, len(pages)), bool), np.zeros((steps, len(pages)), np.int64)
+    for k, (found, marks) in enumerate(pages):
+        x[: len(marks), k], mask[: len(marks), k], tags[: len(marks), k] = html_extract.vectors(found), True, np.array(marks, np.int64)
+    labeller = html_extract.Tagger(x.shape[2], 12, 2, seed=9)
+    labeller.fit(x[:, :300], mask[:, :300], tags[:, :300], epochs=8, batch=32, rate=0.02)
+    path = labeller.decode(x[:, 300:], mask[:, 300:])
+    for k in range(path.shape[1]):
+        own = mask[:, 300 + k]
+        hits += ((path[own, k] > 0) & (tags[own, 300 + k] > 0)).sum()
+        said += (path[own, k] > 0).sum()
+        true += (tags[own, 300 + k] > 0).sum()
+    assert 2 * hits / (said + true) > 0.95
+
+
+def test_url_features_and_held_out_verdicts(spark):
+    """Features against plain Python, and trees against labels that no rule gave."""
+    from math import log2
+
+    urls = [f"http{'s' if k % 3 else ''}://{'ad' if k % 2 else 'www'}{k % 7}.site{k % 50}.{'info' if k % 2 else 'net'}/{'x/' * (k % 4)}p{k}{'?a=1&b=2' if k % 5 == 0 else ''}" for k in range(600)] + [None, "no scheme", ""]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    rows = {r.url: r for r in url_filter.lexical(df).collect()}
+    for u in urls[:60]:
+        host, path = u.split("://")[1].split("/")[0], "/" + u.split("://")[1].split("/", 1)[1].split("?")[0]
+        r = rows[u]
+        assert (r.length, r.host_length, r.path_length, r.depth, r.host_parts) == (len(u), len(host), len(path), path.count("/"), host.count(".") + 1)
+        assert r.digit_ratio == pytest.approx(sum(c.isdigit() for c in u) / len(u)) and r.parameters == (u.count("&") + 1 if "?" in u else 0)
+        assert r.entropy == pytest.approx(-sum(host.count(c) / len(host) * log2(host.count(c) / len(host)) for c in set(host)))
+    labelled = spark.createDataFrame([(u, k % 2) for k, u in enumerate(urls[:600])], "url string, blocked int")
+    model = url_filter.train(labelled.where("crc32(url) % 5 != 0"))
+    held = model.score(url_filter.lexical(labelled.where("crc32(url) % 5 = 0").select("url"))).select("url", "block_score").collect()
+    true = dict(zip(urls[:600], (k % 2 for k in range(600)), strict=True))
+    good = [a.block_score > b.block_score for a in held for b in held if true[a.url] > true[b.url]]
+    assert np.mean(good) > 0.95
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), model).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(300)]
