@@ -1,9 +1,13 @@
 """Token counts of a SentencePiece model without materialising the ids of texts.
 
-Each task keeps a bounded table from pre-token to its number of pieces. For a
-slice of documents it takes the pre-token frequencies of each document, counts
-the pieces of pre-tokens not yet in the table once, and joins frequencies to
-counts: a map-side join, so no (document, pre-token) rows are shuffled.
+1. The pre-tokens of all documents are counted into one table, in which each
+   distinct one stands once: a task sums its own first, in a bounded counter.
+2. Each distinct pre-token is encoded once, for the number of its pieces.
+3. Per-document pre-token frequencies are joined to these numbers and summed. The
+   commonest pre-tokens, COMMON at most and of bounded length, go out by broadcast
+   and are joined where the text is read; only the frequencies of the others are
+   shuffled. A pre-token that many documents share is a common one, so no key of
+   that shuffle is hot.
 """
 
 from __future__ import annotations
@@ -15,14 +19,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
 from lattica.llm.pieces import read_model
 from lattica.llm.textscan import as_batches, map_arrow, slices
+from lattica.session import cut
 
 MARK = "▁"
-#: A task forgets its counted pre-tokens when it holds so many.
-TABLE_ROWS = 600_000
+#: A task hands on its counter when it holds so many pre-tokens.
+COUNTER_ROWS = 200_000
+#: Pre-tokens that are broadcast: so many at most, each of so many characters at most (6 MB in all).
+COMMON, COMMON_CHARS = 100_000, 32
 _runs = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -35,31 +43,70 @@ def pre_tokens(text: str) -> list[str]:
     return text.split(" ")
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_tokens and over_limit (n_tokens > ``limit``).
+def distinct_pre_tokens(texts: DataFrame) -> DataFrame:
+    """token and n: every distinct pre-token of the texts, and how often it occurs."""
+    schema = pa.schema([("token", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Counter[str] = Counter()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for text in part.column("text").to_pylist():
+                    own.update(pre_tokens(text or ""))
+                if len(own) > COUNTER_ROWS:
+                    yield from as_batches([{"token": list(own), "n": list(own.values())}], schema)
+                    own = Counter()
+        yield from as_batches([{"token": list(own), "n": list(own.values())}], schema)
+
+    return map_arrow(texts, run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
-    Counts equal the library's own encoding without begin and end tokens. A null
-    text counts as empty, with no tokens; repeated rows are counted each.
-    """
-    model_bytes = read_model(model_path)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+
+def with_pieces(tokens: DataFrame, model_bytes: bytes) -> DataFrame:
+    """Add pieces, the number of pieces of each pre-token; an empty one is its mark alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
-        pieces: dict[str, int] = {}
+        for batch in batches:
+            for part in slices(batch, "token"):
+                given = part.column("token").to_pylist()
+                counts = [len(ids) if t else 1 for t, ids in zip(given, library.encode(given, num_threads=1), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*part.schema.names, "pieces"])
+
+    return map_arrow(tokens, run, "token string, n long, pieces long")
+
+
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, common: int = COMMON) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, n_tokens and over_limit (n_tokens > ``limit``).
+
+    Counts equal the library's own encoding without begin and end tokens. A null
+    text counts as empty, with no tokens; repeated rows are counted each. ``common``
+    bounds what is broadcast; whatever it is, the counts are the same.
+    """
+    texts = needed(docs, doc_id="long", text="string")
+    pieces = cut(with_pieces(distinct_pre_tokens(texts.select("text")), read_model(model_path)))
+    known = pieces.where(F.length("token") <= COMMON_CHARS).orderBy(F.desc("n"), "token").limit(common)
+    shared = docs.sparkSession.sparkContext.broadcast({r["token"]: r["pieces"] for r in known.collect()})
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_common", pa.int64()), ("rest", pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces_of = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                frequencies = [Counter(pre_tokens(t or "")) for t in texts]
-                if len(pieces) > TABLE_ROWS:
-                    pieces.clear()
-                new = list(set().union(*frequencies) - pieces.keys())
-                pieces.update(zip(new, map(len, library.encode(new, num_threads=1)), strict=True))
-                pieces[""] = 1
-                totals = [sum(pieces[t] * n for t, n in f.items()) for f in frequencies]
+                totals, rests = [], []
+                for text in part.column("text").to_pylist():
+                    own = Counter(pre_tokens(text or ""))
+                    totals.append(sum(pieces_of[t] * n for t, n in own.items() if t in pieces_of))
+                    rests.append([{"token": t, "n": n} for t, n in own.items() if t not in pieces_of])
                 sizes = pc.fill_null(pc.binary_length(part.column("text")), 0)
-                yield from as_batches([{"doc_id": part.column("doc_id"), "n_bytes": sizes, "n_tokens": totals, "over_limit": [n > limit for n in totals]}], schema)
+                yield from as_batches([{"doc_id": part.column("doc_id"), "n_bytes": sizes, "n_common": totals, "rest": rests}], schema)
 
-    return map_arrow(needed(docs, doc_id="long", text="string"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    counted = map_arrow(texts, run, "doc_id long, n_bytes long, n_common long, rest array<struct<token:string,n:long>>")
+    # the key of a row has to be the same on both sides of the join below
+    rows = cut(counted.withColumn("row_key", F.monotonically_increasing_id()))
+    rest = rows.select("row_key", F.explode("rest").alias("r")).select("row_key", "r.token", "r.n")
+    summed = rest.join(pieces.select("token", "pieces"), "token").groupBy("row_key").agg(F.sum(F.col("n") * F.col("pieces")).alias("n_rest"))
+    n_tokens = F.col("n_common") + F.coalesce("n_rest", F.lit(0))
+    joined = rows.drop("rest").join(summed, "row_key", "left").withColumn("n_tokens", n_tokens)
+    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -90,9 +90,10 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=piece_model())
 
 
-def test_token_counts(spark, library):
+@pytest.mark.parametrize("common", [token_counts.COMMON, 20, 0])
+def test_token_counts(spark, library, common):
     rows = list(enumerate(texts(200)))
-    got = {r.doc_id: r for r in token_counts.count_tokens(table(spark, rows), piece_model(), limit=50).collect()}
+    got = {r.doc_id: r for r in token_counts.count_tokens(table(spark, rows), piece_model(), limit=50, common=common).collect()}
     for i, t in rows:
         n = len(library.encode(t or ""))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 50), t
