@@ -62,14 +62,17 @@ def pairs_or_text(spark: Spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.nullif("text", F.lit("")), "role").alias("key_text"))
 
 
-@query("s24_log_metrics", "WITH x AS (SELECT *, sum((event_type = (SELECT min(event_type) FROM events))::INT) OVER (ORDER BY event_id) AS part FROM events) SELECT part::BIGINT AS part, event_id, value FROM x WHERE value > 50")
+_LOG = "CASE WHEN event_type = 'error' THEN '=== run ' || event_id ELSE 'step ' || event_id || ' ' || event_type || ' loss=' || value END"
+
+
+@query("s24_log_metrics", f"WITH l AS (SELECT event_id, {_LOG} AS line FROM events), x AS (SELECT *, sum(starts_with(line, '=== run')::INT) OVER (ORDER BY event_id) AS part FROM l) SELECT part::BIGINT AS part, event_id, regexp_extract(line, 'click loss=(-?[0-9.]+)', 1)::DOUBLE AS metric FROM x WHERE regexp_extract(line, 'click loss=(-?[0-9.]+)', 1) <> ''")
 def log_metrics(spark: Spark, sf_dir: str) -> DataFrame:
-    from lattica.operators.windows import running_parts
+    """Lines of a log cut into runs at a marker, and a metric read from the lines that hold it."""
+    from lattica.sources.files import log_values
 
-    e = table(spark, sf_dir, "events")
-    mark = e.agg(F.min("event_type").alias("mark"))
-    marked = e.crossJoin(F.broadcast(mark)).withColumn("is_mark", F.col("event_type") == F.col("mark"))
-    return running_parts(marked, "event_id", "is_mark").where("value > 50").select("part", "event_id", "value")
+    key, value = F.col("event_id").cast("string"), F.col("value").cast("string")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("=== run "), key)).otherwise(F.concat(F.lit("step "), key, F.lit(" "), "event_type", F.lit(" loss="), value))
+    return log_values(table(spark, sf_dir, "events").select("event_id", line.alias("value")), "=== run", "click loss=(-?[0-9.]+)", "event_id")
 
 
 _ANSWERS = "WITH a AS (SELECT conv_id, turn, text AS p, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations QUALIFY g IS NOT NULL AND text IS NOT NULL)"
@@ -104,11 +107,19 @@ def rouge_l(spark: Spark, sf_dir: str) -> DataFrame:
     return a.select("conv_id", "turn", F.round(metrics.rouge_n("p", "g", 1), 6).alias("rouge1"), F.round(metrics.rouge_n("p", "g", 2), 6).alias("rouge2"), F.round(metrics.rouge_l(metrics.words("p"), metrics.words("g")), 6).alias("rouge_l"))
 
 
-@query("q32_passage_recall", "WITH s AS (SELECT d.doc_id, list_sort(list_distinct(list(l.l_partkey))) AS g FROM labels d JOIN lineitem l ON l.l_orderkey = d.doc_id GROUP BY 1), f AS (SELECT doc_id, g, list_filter(g, lambda x: x % 3 = 0) AS found FROM s) SELECT doc_id, round(len(found) / len(g), 6) AS recall, (len(found) > 0)::INT AS hit, (len(found) = len(g))::INT AS all_hit FROM f")
+@query("q32_passage_recall", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+  s AS (SELECT q.vec_id AS qid, v.vec_id, v.label = q.label AS same, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s),
+  g AS (SELECT qid, count(*) FILTER (same) AS gold, count(*) FILTER (same AND rank <= 10) AS found FROM r GROUP BY 1) SELECT qid, round(found / gold, 6) AS recall, (found > 0)::INT AS hit, (found = gold)::INT AS all_hit FROM g""")
 def passage_recall(spark: Spark, sf_dir: str) -> DataFrame:
-    gold = table(spark, sf_dir, "labels").select("doc_id").distinct().join(table(spark, sf_dir, "lineitem"), F.col("doc_id") == F.col("l_orderkey")).groupBy("doc_id").agg(F.collect_set("l_partkey").alias("g"))
-    recall, hit, all_hit = metrics.retrieval(F.filter("g", lambda x: x % 3 == 0), F.col("g"))
-    return gold.select("doc_id", recall, hit, all_hit).withColumn("recall", F.round("recall", 6))
+    """The ten nearest vectors against all of the query's label."""
+    from lattica.operators.search import top_k
+
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label"))
+    hits = top_k(asked.select("qid", "vector"), v.select(F.col("vec_id").alias("node_id"), "embedding"), 10).groupBy("qid").agg(F.collect_set("node_id").alias("found"))
+    gold = asked.select("qid", "label").join(v.select("label", "vec_id"), "label").groupBy("qid").agg(F.collect_set("vec_id").alias("gold"))
+    recall, hit, all_hit = metrics.retrieval(F.col("found"), F.col("gold"))
+    return gold.join(hits, "qid").select("qid", recall, hit, all_hit).withColumn("recall", F.round("recall", 6))
 
 
 @query("w1_running_offsets", "SELECT o_custkey, coalesce(sum(n) OVER (ORDER BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_id, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
@@ -221,16 +232,18 @@ def set_compare(spark: Spark, sf_dir: str) -> DataFrame:
     return both.select("l_orderkey", F.round(same / F.size("x"), 6).alias("recall"), F.round(same / F.size("y"), 6).alias("precision"))
 
 
-@query("u2_in_every_round", f"{_ROUNDS}, n AS (SELECT count(DISTINCT round) AS r FROM one WHERE round <= 2) SELECT user_id FROM one, n WHERE round <= 2 GROUP BY user_id, r HAVING count(DISTINCT round) = r")
+@query("u2_in_every_round", f"{_ROUNDS}, n AS (SELECT count(DISTINCT round) AS r FROM one) SELECT user_id FROM one, n GROUP BY user_id, r HAVING count(DISTINCT round) = r")
 def in_every_round(spark: Spark, sf_dir: str) -> DataFrame:
-    r = _rounds(spark, sf_dir).where("round <= 2")
+    r = _rounds(spark, sf_dir)
     n = r.agg(F.count_distinct("round").alias("r"))
     return r.groupBy("user_id").agg(F.count_distinct("round").alias("c")).crossJoin(F.broadcast(n)).where("c = r").select("user_id")
 
 
-@query("u3_set_difference", "SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("u3_set_difference", "SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 def set_difference(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey").distinct().join(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    """Offsets that exist but aren't referred to by any large line."""
+    used = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey").distinct().join(used, "p_partkey", "left_anti")
 
 
 @query("t14_by_length", "SELECT conv_id, turn, row_number() OVER (ORDER BY length(coalesce(text, '')), conv_id, turn) AS place FROM conversations")
@@ -248,7 +261,9 @@ def split(spark: Spark, sf_dir: str) -> DataFrame:
     return numbered(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "n").select("doc_id", F.when(F.col("n") <= 100, "train").otherwise("test").alias("part"))
 
 
-@query("q33_chunk_packing")
+@query("q33_chunk_packing", """WITH c AS (SELECT conv_id, turn, len(string_split(coalesce(text, ''), ' ')) AS n FROM conversations), a AS (SELECT conv_id, list(n ORDER BY turn) AS n, list(turn ORDER BY turn) AS t FROM c GROUP BY 1),
+  f AS (SELECT conv_id, t, list_reduce(n, lambda acc, x: {'chunk': acc.chunk + CASE WHEN acc.total + x >= 96 THEN 1 ELSE 0 END, 'total': CASE WHEN acc.total + x >= 96 THEN 0 ELSE acc.total + x END, 'out': list_append(acc.out, acc.chunk)}, {'chunk': 0::BIGINT, 'total': 0::BIGINT, 'out': []::BIGINT[]}) AS r FROM a)
+  SELECT conv_id, t[i] AS turn, CASE WHEN r.total > 0 AND r.chunk > 0 THEN least(r.out[i], r.chunk - 1) ELSE r.out[i] END AS chunk FROM f, unnest(range(1, len(t) + 1)) AS u(i)""")
 def chunk_packing(spark: Spark, sf_dir: str) -> DataFrame:
     import pandas as pd
 

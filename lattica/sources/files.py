@@ -10,15 +10,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.operators.windows import numbered, running_parts
+
 CONTAINERS = ("data", "examples", "samples")
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
-    """JSON Lines (blank lines skipped) or, with ``multi_line``, a JSON array or container; malformed lines are left out."""
-    reader = spark.read.option("mode", "DROPMALFORMED").option("multiLine", str(multi_line).lower())
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, skip_malformed: bool = False) -> DataFrame:
+    """Rows of JSON Lines (blank lines skipped), of a JSON array, or of a container object; the file's first character and line tell which.
+
+    Malformed text is an error, or left out with ``skip_malformed``. Lines are
+    read in splits; an array or container is one text, read by one task a file.
+    """
+    head = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").limit(1).collect()]
+    whole = bool(head) and not _is_object(head[0])
+    reader = spark.read.option("mode", "DROPMALFORMED" if skip_malformed else "FAILFAST").option("multiLine", str(whole).lower())
     return unwrap((reader.schema(schema) if schema else reader).json(path))
 
 
+def _is_object(line: str) -> bool:
+    """Whether a line is a JSON object of its own that is no container."""
+    try:
+        value = json.loads(line)
+    except ValueError:
+        # the beginning of an object that goes on, or a bad line
+        return line.strip().startswith("{") and len(line.strip()) > 1
+    return isinstance(value, dict) and not any(isinstance(value.get(c), list) for c in CONTAINERS)
+
+
+def load_rows(spark: SparkSession, path: str, schema: str, start: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows of a JSON Lines file with their ``source_index`` from 0 in the file, from ``start`` on, ``limit`` at most."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("_at"))
+    placed = numbered(lines, ["_at"], "source_index", 0)
+    upto = F.lit(True) if limit is None else F.col("source_index") < start + limit
+    wanted = placed.where((F.col("source_index") >= start) & upto)
+    return wanted.select("source_index", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("source_index", "r.*")
+
+
 def unwrap(df: DataFrame) -> DataFrame:
     """Rows of the first of data, examples and samples that the table has as an array of structs; else the table."""
     for name in CONTAINERS:
@@ -72,11 +99,10 @@ def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def log_values(lines: DataFrame, marker: str, pattern: str, order: str = "line_no") -> DataFrame:
-    """Part number (running count of marker lines), line and value of each line that holds the pattern's group."""
-    from pyspark.sql import Window
-
-    part = F.sum(F.contains("value", F.lit(marker)).cast("int")).over(Window.orderBy(order))
-    return lines.withColumn("part", part).withColumn("found", F.regexp_extract("value", pattern, 1)).where("found != ''").select("part", order, F.col("found").cast("double").alias("metric"))
+    """part (running count of marker lines), line and metric of each line that holds the pattern's group; the count runs over range partitions."""
+    marked = lines.withColumn("_mark", F.contains("value", F.lit(marker)))
+    found = running_parts(marked, order, "_mark").withColumn("found", F.regexp_extract("value", pattern, 1))
+    return found.where("found != ''").select("part", order, F.col("found").cast("double").alias("metric"))
 
 
 def sample_id(*names: str) -> Column:
