@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +80,35 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def byte_vocabulary() -> str:
+    """Where the public byte-level vocabulary lies; operators take a path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 2,048 tokens, packed into as few sequences as the plan reaches."""
+    from lattica.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), byte_vocabulary(), with_ids=False)
+
+
+def op12_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open sales of each nation, and of all (-2), at every moment at which they change."""
+    from lattica.llm.concurrency import concurrency, sale_intervals
+
+    found = concurrency(sale_intervals(*[_table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients")]))
+    return found.withColumnsRenamed({"key": "nation_id", "open_weight": "open_cents"})
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove by part, at each step of all 120 orders."""
+    from lattica.llm.filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_personal_data": op1_personal_data,
@@ -93,10 +121,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_linked_secrets": op8_linked_secrets,
         "op9_toxicity": op9_toxicity,
         "op10_main_text": op10_main_text,
+        "op11_bin_slack": op11_bin_slack,
+        "op12_concurrency": op12_concurrency,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from lattica.llm import oracles
 
-    return {"op2_near_dedup": oracles.OP2, "op5_decontamination": oracles.OP5}
+    return {"op2_near_dedup": oracles.OP2, "op5_decontamination": oracles.OP5, "op12_concurrency": oracles.OP12, "op13_filter_audit": oracles.OP13}
