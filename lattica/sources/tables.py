@@ -104,3 +104,23 @@ def sample_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("c_mktsegment")
     json = F.when(kind == "BUILDING", pairs).when(kind == "MACHINERY", objects).when(kind == "FURNITURE", paragraphs).when(kind == "AUTOMOBILE", plain).otherwise(own)
     return c.select(F.col("c_custkey").alias("source_index"), json.alias("json"))
+
+
+def question_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions about customers (sample, question, answer) and the pages they come with (sample, page, title, sentences).
+
+    Two pages lead from a customer by its nation to its region; one of a MACHINERY
+    customer speaks of it by pronouns, a HOUSEHOLD one lacks the nation's, and what an
+    AUTOMOBILE one is asked stands in no page.
+    """
+    home = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    home = home.withColumn("sample", F.col("c_custkey").cast("string"))
+    f, kind = F.format_string, F.col("c_mktsegment")
+    founded = (1900 + F.length("c_name") + F.col("c_nationkey")).cast("string")
+    question = F.when(kind == "AUTOMOBILE", f("When was %s founded?", "c_name")).otherwise(f("Which region is %s in?", "c_name"))
+    questions = home.select("sample", question.alias("question"), F.when(kind == "AUTOMOBILE", founded).otherwise(F.col("r_name")).alias("answer"))
+    own = F.when(kind == "MACHINERY", F.array(f("%s is a trader.", "c_name"), f("It is old and it was located in %s.", "n_name"))).otherwise(F.array(f("%s is located in %s.", "c_name", "n_name")))
+    page = lambda n, title, sentences: F.struct(F.lit(n).alias("page"), F.col(title).alias("title"), sentences.alias("sentences"))
+    first, second = page(0, "c_name", own), page(1, "n_name", F.array(f("%s lies in %s; its language is old.", "n_name", "r_name")))
+    pages = F.when(kind == "HOUSEHOLD", F.array(first)).otherwise(F.array(first, second))
+    return questions, home.select("sample", F.explode(pages).alias("p")).select("sample", "p.*")
