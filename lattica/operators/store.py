@@ -126,6 +126,7 @@ class Store:
     """The tables of one build, each computed and written once, when first asked for."""
 
     TABLES = ("kv_records", "nodes", "aliases", "triples", "triple_kvs", "triple_sources")
+    version = 0
 
     def __init__(self, raw: DataFrame):
         self.parsed = parsed(raw)
