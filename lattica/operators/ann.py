@@ -80,13 +80,16 @@ class Index:
         return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, backend: str = "auto", probes: int = 8, exact_rows: int = 1_000_000) -> DataFrame:
-    """Search by a backend: exact, lists, or auto, which is exact for up to ``exact_rows`` vectors. A ``k`` of 0 or less gives no rows."""
+def search(queries: DataFrame, vectors: DataFrame, k: int, backend: str = "auto", probes: int = 8, index: Index | None = None) -> DataFrame:
+    """Search by a backend: exact, lists, or auto, which takes the ``index`` if there is one, else is exact. A ``k`` of 0 or less gives no rows.
+
+    ``lists`` without an index builds one. The size of the table never changes what a call returns.
+    """
     if backend not in ("auto", "exact", "lists"):
         raise ValueError(f"no backend {backend}")
-    if backend == "exact" or backend == "auto" and vectors.count() <= exact_rows:
+    if backend == "exact" or backend == "auto" and index is None:
         return top_k(queries, vectors, k)
-    return Index(vectors).search(queries, k, probes)
+    return (index or Index(vectors)).search(queries, k, probes)
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ ones cut their lineage into the checkpoint folder.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +89,15 @@ def shortest_path_support(sources: DataFrame, targets: DataFrame, edges: DataFra
     return joined.where("du + 1 + dv = best").select("qid", "src", "dst")
 
 
-def reachable(sources: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """qid, node: everything that directed edges (qid, src, dst) lead to, the sources included; stops when nothing is new."""
+def reachable(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """qid, node: everything that directed edges (qid, src, dst) lead to, the sources included; a round for each step of the longest way."""
     seen = cut(sources.select("qid", "node").distinct())
     frontier = seen
-    for _ in range(max_rounds):
+    while not frontier.isEmpty():
         step = frontier.join(edges.select("qid", "src", "dst"), (frontier["qid"] == edges["qid"]) & (F.col("node") == F.col("src"))).select(frontier["qid"], F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen, ["qid", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
         seen = cut(seen.union(frontier))
-    raise RuntimeError(f"not closed after {max_rounds} rounds")
+    return seen
 
 
 def diffusion(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
@@ -196,19 +196,18 @@ def multi_hop_adjacency(adj: DataFrame, hops: int, decay: float) -> DataFrame:
     return terms.groupBy("i", "j").agg(F.sum("w").alias("weight"))
 
 
-def topological_layers(edges: DataFrame, max_layers: int = 200) -> DataFrame:
-    """qid, node, layer: the longest distance from a node without in-edges; nodes on or behind a cycle are left out."""
+def topological_layers(edges: DataFrame) -> DataFrame:
+    """qid, node, layer: the longest distance from a node without in-edges; nodes on or behind a cycle are left out. A round for each layer."""
     e = edges.select("qid", "src", "dst").distinct()
     left = cut(e.select("qid", F.col("src").alias("node")).union(e.select("qid", F.col("dst").alias("node"))).distinct())
     done = None
-    for layer in range(max_layers):
+    for layer in itertools.count():
         blocked = e.join(left.select("qid", F.col("node").alias("src")), ["qid", "src"]).select("qid", F.col("dst").alias("node")).distinct()
         free = cut(left.join(blocked, ["qid", "node"], "left_anti").withColumn("layer", F.lit(layer)))
         done = free if done is None else done.union(free)
         if free.isEmpty():
             return done
         left = cut(left.join(free, ["qid", "node"], "left_anti"))
-    raise RuntimeError(f"more than {max_layers} layers")
 
 
 def sinks(edges: DataFrame) -> DataFrame:

@@ -187,17 +187,15 @@ def near_chains(t: DataFrame, by: str, least: int = 3) -> DataFrame:
     return a.join(b, by).where((F.col("i") != F.col("j")) & (F.contains("o", F.col("s")) | F.contains("s", F.col("o")))).select(by, "i", "j")
 
 
-def ancestors(ends: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """qid, sink, node: everything that leads to each sink (qid, node), the sink itself included."""
+def ancestors(ends: DataFrame, edges: DataFrame) -> DataFrame:
+    """qid, sink, node: everything that leads to each sink (qid, node), the sink itself included; a round for each step of the longest way."""
     seen = cut(ends.select("qid", F.col("node").alias("sink"), "node").distinct())
     frontier, back = seen, edges.select("qid", F.col("dst").alias("node"), F.col("src").alias("before")).distinct()
-    for _ in range(max_rounds):
+    while not frontier.isEmpty():
         step = frontier.join(back, ["qid", "node"]).select("qid", "sink", F.col("before").alias("node")).distinct()
         frontier = cut(step.join(seen, ["qid", "sink", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
         seen = cut(seen.union(frontier))
-    raise RuntimeError(f"not closed after {max_rounds} rounds")
+    return seen
 
 
 def appended(existing: DataFrame, new: DataFrame, key: str, number: str, order: list[str]) -> DataFrame:

@@ -27,9 +27,14 @@ def _at(seed: Column, n: Column | int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(seed.cast("string")), 1, 8), 16, 10).cast("long"), n)
 
 
+def exact_mean(c: str) -> Column:
+    """The mean of a column summed in decimals of ten places, so that the order of its rows doesn't matter."""
+    return F.sum(F.col(c).cast("decimal(28,10)")).cast("double") / F.count(c)
+
+
 def edge_scalars(edges: DataFrame) -> DataFrame:
     """Add of_best (score by the source's best), over_mean (score less the target's mean), out_share and log_in."""
-    into = edges.groupBy("dst").agg(F.count("*").alias("_in"), F.avg("score").alias("_mean"))
+    into = edges.groupBy("dst").agg(F.count("*").alias("_in"), exact_mean("score").alias("_mean"))
     out = edges.groupBy("src").agg(F.count("*").alias("_out"), F.max("score").alias("_best"))
     e = edges.join(into, "dst").join(out, "src")
     added = {"of_best": F.col("score") / F.col("_best"), "over_mean": F.col("score") - F.col("_mean"), "out_share": 1 / F.col("_out"), "log_in": F.log1p("_in")}
@@ -152,7 +157,7 @@ def graph_metrics(edges: DataFrame) -> DataFrame:
     nodes = edges.select("qid", F.explode(F.array("src", "dst")).alias("node")).distinct()
     leaving = edges.select("qid", F.col("src").alias("node"), F.lit(1).alias("_out")).distinct()
     per = nodes.join(leaving, ["qid", "node"], "left").groupBy("qid").agg(F.count("*").alias("nodes"), F.count_if(F.col("_out").isNull()).alias("sinks"))
-    e = edges.groupBy("qid").agg(F.count("*").alias("edges"), F.avg("score").alias("relevance"))
+    e = edges.groupBy("qid").agg(F.count("*").alias("edges"), exact_mean("score").alias("relevance"))
     return e.join(per, "qid").withColumn("density", F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1) + 1))
 
 

@@ -32,7 +32,7 @@ _EXACT = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOU
 
 @query("t3_search_by_backend", _EXACT)
 def search_by_backend(spark: Spark, sf_dir: str) -> DataFrame:
-    """The backend that auto takes, exact up to a million vectors, and all lists, which is exact, too."""
+    """The backend that auto takes without an index, the exact one, and all lists, which is exact, too."""
     asked, vectors = _vectors(spark, sf_dir)
     auto = ann.search(asked, vectors, 10, "auto")
     every = ann.Index(vectors).search(asked, 10, probes=ann.MOST_LISTS)

@@ -16,19 +16,19 @@ from lattica.sources.tables import table
 Spark = SparkSession
 
 
-@query("g11_edge_scalars", f"WITH {sql.EDGES}, i AS (SELECT dst, count(*) AS n, avg(score) AS m FROM e GROUP BY 1), o AS (SELECT src, count(*) AS n, max(score) AS m FROM e GROUP BY 1) SELECT l_orderkey, l_linenumber, e.src, e.dst, round(e.score / o.m, 6) AS of_best, round(e.score - i.m, 6) AS over_mean, round(1 / o.n, 6) AS out_share, round(ln(1 + i.n), 6) AS log_in FROM e JOIN i ON i.dst = e.dst JOIN o ON o.src = e.src")
+@query("g11_edge_scalars", f"WITH {sql.EDGES}, i AS (SELECT dst, count(*) AS n, sum(CAST(score AS DECIMAL(28, 10)))::DOUBLE / count(score) AS m FROM e GROUP BY 1), o AS (SELECT src, count(*) AS n, max(score) AS m FROM e GROUP BY 1) SELECT l_orderkey, l_linenumber, e.src, e.dst, round(e.score / o.m, 6) AS of_best, round(e.score - i.m, 6) AS over_mean, round(1 / o.n, 6) AS out_share, round(ln(1 + i.n), 6) AS log_in FROM e JOIN i ON i.dst = e.dst JOIN o ON o.src = e.src")
 def edge_scalars(spark: Spark, sf_dir: str) -> DataFrame:
     """Scalars of each edge from its score and its ends' degrees."""
     s = variants.edge_scalars(tables.edges(spark, sf_dir))
     return s.select("l_orderkey", "l_linenumber", "src", "dst", *[F.round(c, 6).alias(c) for c in ("of_best", "over_mean", "out_share", "log_in")])
 
 
-@query("g12_linear_scores", f"WITH {sql.EDGES}, i AS (SELECT dst, avg(score) AS m FROM e GROUP BY 1), o AS (SELECT src, count(*) AS n FROM e GROUP BY 1) SELECT l_orderkey, l_linenumber, e.src, e.dst, round(0.65 * score + 0.2 * (score - i.m) + 0.15 / o.n, 6) AS linear, round(1 / (1 + exp(-(0.65 * score + 0.2 * (score - i.m) + 0.15 / o.n))), 6) AS chance FROM e JOIN i ON i.dst = e.dst JOIN o ON o.src = e.src")
+@query("g12_linear_scores", f"WITH {sql.EDGES}, i AS (SELECT dst, sum(CAST(score AS DECIMAL(28, 10)))::DOUBLE / count(score) AS m FROM e GROUP BY 1), o AS (SELECT src, count(*) AS n FROM e GROUP BY 1) SELECT l_orderkey, l_linenumber, e.src, e.dst, 0.0 + 0.65 * score + 0.2 * (score - i.m) + 0.15 * (1 / o.n) AS linear, round(1 / (1 + exp(-(0.0 + 0.65 * score + 0.2 * (score - i.m) + 0.15 * (1 / o.n)))), 6) AS chance FROM e JOIN i ON i.dst = e.dst JOIN o ON o.src = e.src")
 def linear_scores(spark: Spark, sf_dir: str) -> DataFrame:
     """A weighted sum of scalars, and its logistic."""
     s = variants.edge_scalars(tables.edges(spark, sf_dir))
     total = variants.linear({"score": 0.65, "over_mean": 0.2, "out_share": 0.15})
-    return s.select("l_orderkey", "l_linenumber", "src", "dst", F.round(total, 6).alias("linear"), F.round(1 / (1 + F.exp(-total)), 6).alias("chance"))
+    return s.select("l_orderkey", "l_linenumber", "src", "dst", total.alias("linear"), F.round(1 / (1 + F.exp(-total)), 6).alias("chance"))
 
 
 @query("g13_scorer")
@@ -169,10 +169,10 @@ def insert_positions(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 @query("q12_graph_metrics", f"""WITH {_Q}, n AS (SELECT qid, src AS node FROM qe UNION SELECT qid, dst FROM qe), s AS (SELECT qid, count(*) AS sinks FROM n WHERE (qid, node) NOT IN (SELECT (qid, src) FROM qe) GROUP BY 1)
-  SELECT qid, count(*) AS edges, any_value(nn) AS nodes, coalesce(any_value(sinks), 0) AS sinks, round(avg(score), 6) AS relevance, round(count(*) / (any_value(nn) * (any_value(nn) - 1) + 1), 6) AS density FROM qe JOIN (SELECT qid, count(*) AS nn FROM n GROUP BY 1) USING (qid) LEFT JOIN s USING (qid) GROUP BY qid""")
+  SELECT qid, count(*) AS edges, any_value(nn) AS nodes, coalesce(any_value(sinks), 0) AS sinks, sum(CAST(score AS DECIMAL(28, 10)))::DOUBLE / count(score) AS relevance, count(*) / (any_value(nn) * (any_value(nn) - 1) + 1) AS density FROM qe JOIN (SELECT qid, count(*) AS nn FROM n GROUP BY 1) USING (qid) LEFT JOIN s USING (qid) GROUP BY qid""")
 def graph_metrics(spark: Spark, sf_dir: str) -> DataFrame:
     """Q12, Q13, Q39: size, sinks, relevance and density of each question's graph."""
-    return variants.graph_metrics(question_edges(spark, sf_dir)).withColumns({"relevance": F.round("relevance", 6), "density": F.round("density", 6)})
+    return variants.graph_metrics(question_edges(spark, sf_dir))
 
 
 @query("g45_relation_paths")

@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _value(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 5) + 0.0
+        return "nan" if math.isnan(x) else float(f"{x:.10g}") + 0.0
     if isinstance(x, (list, tuple)):
         return tuple(_value(v) for v in x)
     return float(x) if type(x).__name__ == "Decimal" else x
