@@ -12,8 +12,10 @@ length over range partitions and each finds its place from its rank alone.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +36,9 @@ CAPACITY, END_ID = 2048, 0
 TABLE_ROWS, LONGEST_KEPT = 600_000, 64
 _odd_blank = re.compile(r" (?!\S)")
 _cut = re.compile(r" (?=\S)")
+#: Chunks of letters alone, marks after them, or a line's end and letters after it: their pre-tokens are plain to see.
+_letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_words = re.compile(rf"([{_letters}]+)([.,;:!?]+)?(?:\n([{_letters}]+))?\Z")
 
 
 def chunks(text: str) -> list[str]:
@@ -45,40 +50,68 @@ def chunks(text: str) -> list[str]:
     return _cut.split(text) if _odd_blank.search(text) else text.split(" ")
 
 
+def byte_signs() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in own else next(others)) for b in range(256)}
+
+
+class Ids(dict):
+    """From a chunk, after what stands before it, to its ids as little-endian 32-bit bytes; found when first asked for."""
+
+    def __init__(self, library, before: str = "", bare: Ids | None = None):
+        self.library, self.before, self.bare = library, before, self if bare is None else bare
+        self.signs = byte_signs()
+        self.first = "".join(self.signs[b] for b in before.encode())
+
+    def _word(self, letters: str) -> bytes:
+        # letters are one pre-token, so the model is asked for it alone
+        signs = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.library.model.tokenize(self.first + signs)]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        plain = _words.match(chunk)
+        if plain is None:
+            found = array("I", self.library.encode(self.before + chunk, add_special_tokens=False).ids).tobytes()
+        else:
+            letters, marks, line = plain.groups()
+            found = self._word(letters) if marks is None else self[letters] + self.bare[marks]
+            if line:
+                found = (self[letters] if marks is None else found) + self.bare["\n"] + self.bare[line]
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = found
+        return found
+
+
 class ChunkIds:
-    """The ids of texts as little-endian 32-bit bytes; each distinct chunk is encoded once."""
+    """The ids of texts as little-endian 32-bit bytes; each distinct chunk is encoded once.
+
+    Chunks are for byte-level vocabularies that cut before blanks; texts that hold a
+    special token's string, and all texts of other vocabularies, go to the library whole.
+    """
 
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model.decode())
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, table: dict[str, bytes], new: list[str], blank: str) -> None:
-        # a thousand at a time: what the library returns holds far more than ids
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
-            found = self.library.encode_batch_fast([blank + c for c in part], add_special_tokens=False)
-            table.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found, strict=True))
+        kind = json.loads(model)
+        cutter = kind.get("pre_tokenizer") or {}
+        self.by_chunk = kind.get("normalizer") is None and (cutter.get("type"), cutter.get("use_regex"), cutter.get("add_prefix_space")) == ("ByteLevel", True, False)
+        self.bare = Ids(self.library)
+        self.after_blank = Ids(self.library, " ", self.bare)
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        whole = [any(s in t for s in self.special) for t in texts]
-        cut = [[""] if w else chunks(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.later) + len(self.first) > TABLE_ROWS:
-            self.first.clear()
-            self.later.clear()
-        self._learn(self.first, list({c[0] for c in cut} - self.first.keys()), "")
-        self._learn(self.later, list(set().union(*(c[1:] for c in cut)) - self.later.keys()), " ")
-        for text, by_library, c in zip(texts, whole, cut, strict=True):
-            if by_library:
-                yield np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                yield self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:]))
-        for table in (self.first, self.later):
-            for c in [c for c in table if len(c) > LONGEST_KEPT]:
-                del table[c]
+        for text in texts:
+            if not self.by_chunk or any(s in text for s in self.special):
+                yield array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+                continue
+            for table in (self.bare, self.after_blank):
+                if len(table) > TABLE_ROWS:
+                    table.clear()
+            first, *others = chunks(text)
+            yield self.bare[first] + b"".join(map(self.after_blank.__getitem__, others))
 
 
 @functools.lru_cache(maxsize=1)
