@@ -46,11 +46,15 @@ def sale_intervals(sales: DataFrame, lines: DataFrame, clients: DataFrame, extra
     null. Sales with a null sold_at or an end not after the start are left out;
     repeated sales count each. A client listed more than once has the smallest of
     its nations. A sale without an id has no lines, one without a client no nation.
+    Ends and nations are summed up and written before they are joined: a join of
+    plain exchanges is one whose hot keys Spark splits.
     """
     opened = needed(sales.withColumn("_start", seconds(sales, "sold_at")), sale_id="long", client_id="long", total="double", _start="long").where(F.col("_start").isNotNull())
     shipped = needed(lines.withColumn("_ship", seconds(lines, "shipped_at")), sale_id="long", _ship="long").where(F.col("sale_id").isNotNull() & F.col("_ship").isNotNull())
     closed = shipped.groupBy("sale_id").agg((F.min("_ship") + extra_days * DAY).alias("end"))
+    closed = saved(closed, "closed")
     nations = needed(clients, client_id="long", nation_id="int").where(F.col("client_id").isNotNull()).groupBy("client_id").agg(F.min("nation_id").alias("key"))
+    nations = saved(nations, "nations")
     timed = opened.join(closed, "sale_id", "left").where(F.col("end").isNull() | (F.col("end") > F.col("_start")))
     cents = F.coalesce(F.floor(100 * F.col("total") + 0.5), F.lit(0)).cast("long")
     return timed.join(nations, "client_id", "left").select(F.coalesce("key", F.lit(UNKNOWN)).cast("int").alias("key"), F.col("_start").alias("start"), "end", cents.alias("weight"))
