@@ -41,94 +41,216 @@ CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
 PATH, WORDS, MEASURES = 48, 16, 6
 TRAIN_PAGES, MADE_PAGES = 150, 450
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_opening = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_special = re.compile("[>\"']")
 _named = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _piece = re.compile(r"[A-Za-z]+")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of its characters in links) of every block with text, in page order."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[str] = []
-    shown: list[str] = []
+@lru_cache(maxsize=20_000)
+def _marks(element: str) -> np.ndarray:
+    """The hashed tag and names of an element (``tag names``), summed up."""
+    v = np.zeros(PATH, np.float32)
+    tag, _, names = element.partition(" ")
+    for key in {tag, *(p.lower() for p in _piece.findall(names))}:
+        v += _mark(key)
+    return v
+
+
+@lru_cache(maxsize=20_000)
+def _mark(key: str) -> np.ndarray:
+    v, h = np.zeros(PATH, np.float32), crc32(key.encode())
+    v[h % PATH] += 1 if h >> 16 & 1 else -1
+    v[(h >> 8) % PATH] += 1 if h >> 17 & 1 else -1
+    return v
+
+
+class Element:
+    """An open element with the one around it; blocks share them, so a deep page costs no more than a wide one."""
+
+    __slots__ = ("parent", "shown", "tag", "depth", "block", "linked", "main", "never", "formed", "form_since", "_sums")
+
+    def __init__(self, parent: Element | None, shown: str):
+        self.parent, self.shown = parent, shown
+        self.tag = tag = shown.partition(" ")[0]
+        self.depth: int = parent.depth + 1 if parent else 1
+        #: The nearest block-level element, itself included; whether a link, article or main is around it.
+        self.block: Element | None = self if tag in BLOCK else parent and parent.block
+        self.linked: bool = tag == "a" or bool(parent and parent.linked)
+        self.main: bool = tag in ("article", "main") or bool(parent and parent.main)
+        #: Whether it lies in an element that never holds article text, forms apart; in any form; in a form that holds no article around it.
+        self.never: bool = (tag in NEVER and tag != "form") or bool(parent and parent.never) or (tag == "header" and not (parent and parent.main))
+        self.formed: bool = tag == "form" or bool(parent and parent.formed)
+        self.form_since: bool = tag not in ("article", "main") and (tag == "form" or bool(parent and parent.form_since))
+        self._sums: tuple | None = None
+
+    def path(self) -> tuple[str, ...]:
+        found, at = [], self
+        while at:
+            found.append(at.shown)
+            at = at.parent
+        return tuple(reversed(found))
+
+    def sums(self) -> tuple[tuple[np.ndarray, str, int], ...]:
+        """Summed marks, last tag and length of the path: whole, without forms around an article, and without forms."""
+        chain, at = [], self
+        while at and at._sums is None:
+            chain.append(at)
+            at = at.parent
+        held = at._sums if at else ((np.zeros(PATH, np.float32), "", 0),) * 3
+        for e in reversed(chain):
+            more = lambda x: (x[0] + _marks(e.shown), e.tag, x[2] + 1)  # noqa: E731, B023
+            whole, some, none = held
+            if not e.formed:
+                held = (more(whole),) * 3
+            elif e.tag == "form":
+                held = more(whole), more(some), none
+            else:
+                held = more(whole), more(none if e.tag in ("article", "main") else some), more(none)
+            e._sums = held
+        return held
+
+
+WHOLE, SOME_FORMS, NO_FORMS = range(3)
+Block = tuple[Element | None, str, float]
+
+
+class _Tags:
+    """Where the tags of a page end. A search that fails isn't made again from a place that it went through."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.first, self.at = 0, -1  # from ``first`` on the next of > " ' stands at ``at``
+        self.dead: set[int] = set()  # quotes outside of quotes from which no tag ends
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.unclosed: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """The place behind the > that ends a tag whose name ends at ``at``; -1 if none does."""
+        page, gone = self.page, []
+        while True:
+            if not self.first <= at <= self.at:
+                m = _special.search(page, at)
+                self.first, self.at = at, m.start() if m else len(page)
+            k = self.at
+            if k < len(page) and page[k] == ">":
+                return k + 1
+            other = -1
+            if k < len(page) and k not in self.dead:
+                gone.append(k)
+                other = page.find(page[k], k + 1) if k < self.last[page[k]] else -1
+            if other < 0:
+                self.dead.update(gone)
+                return -1
+            at = other + 1
+
+    def find(self, sign: str, at: int) -> int:
+        """Where ``sign`` stands next; -1 if nowhere."""
+        k = -1 if sign in self.unclosed else self.page.find(sign, at)
+        if k < 0:
+            self.unclosed.add(sign)
+        return k
+
+    def closing(self, tag: str, at: int) -> int:
+        """The place behind the next closing tag; -1 if there is none."""
+        m = None if f"</{tag}" in self.unclosed else re.compile(f"</{tag}\\s*>", re.I).search(self.page, at)
+        if not m:
+            self.unclosed.add(f"</{tag}")
+        return m.end() if m else -1
+
+
+def blocks(page: str) -> list[Block]:
+    """(innermost open element, text, share of its characters in links) of every block with text, in page order.
+
+    Time and memory grow in proportion to the page, however deep or broken it is.
+    """
+    out: list[Block] = []
+    top: Element | None = None
+    opened: dict[str, list[Element]] = {}
     parts: list[str] = []
-    path: tuple[str, ...] = ()
-    linked = at = 0
+    place: Element | None = None
+    linked = since = at = 0
+    tags = _Tags(page)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((path, text, min(1.0, linked / len(text))))
+                out.append((place, text, min(1.0, linked / len(text))))
             parts, linked = [], 0
 
     def add(text: str) -> None:
-        nonlocal path, linked
+        nonlocal place, linked
         if text:
             if not parts:
-                path = tuple(shown)
+                place = top
             parts.append(text)
-            if "a" in stack:
+            if top and top.linked:
                 linked += len(text)
 
+    def close(element: Element) -> None:
+        nonlocal top
+        while top is not element.parent:
+            opened[top.tag].pop()
+            top = top.parent
+
     while True:
-        m = _token.search(page, at)
-        if not m:
-            add(page[at:])
+        k = page.find("<", at)
+        if k < 0:
+            add(page[since:])
             flush()
             return out
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        m = None
+        if page.startswith("<!--", k):
+            end = tags.find("-->", k + 4)
+            end = end + 3 if end >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), k):
+            end = tags.find(">", k + 2) + 1 or -1
+        else:
+            m = _opening.match(page, k)
+            end = tags.end(m.end()) if m else -1
+        if end < 0:  # no tag: plain text
+            at = k + 1
+            continue
+        add(page[since:k])
+        since = at = end
+        if m is None:
             continue
-        tag = m[2].lower()
+        tag, inside = m[2].lower(), page[m.end() : end - 1]
         if m[1]:
             if tag in BLOCK:
                 flush()
-            if tag in stack:
-                k = len(stack) - 1 - stack[::-1].index(tag)
-                del stack[k:], shown[k:]
+            if opened.get(tag):
+                close(opened[tag][-1])
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+            if not inside.endswith("/"):
+                end = tags.closing(tag, at)
                 # what isn't closed takes the rest of the page only where a browser reads it as raw text
-                at = end.end() if end else len(page) if tag in SWALLOWS else at
+                since = at = end if end >= 0 else len(page) if tag in SWALLOWS else at
             continue
         if tag in BLOCK:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if tag in CLOSED_BY.get(stack[k], ()):
-                    del stack[k:], shown[k:]
-                    break
-                if stack[k] in BLOCK:
-                    break
+            # only block-level elements are closed by others, so the nearest one decides
+            if top and top.block and tag in CLOSED_BY.get(top.block.tag, ()):
+                close(top.block)
         if tag in VOID:
             if tag == "br":
                 add(" ")
             continue
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if inside.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        names = " ".join(a or b or c for _, a, b, c in _named.findall(m[3])) if m[3] else ""
-        stack.append(tag)
-        shown.append(f"{tag} {names}" if names else tag)
+        names = " ".join(a or b or c for _, a, b, c in _named.findall(inside)) if inside else ""
+        top = Element(top, f"{tag} {names}" if names else tag)
+        opened.setdefault(tag, []).append(top)
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    for depth, element in enumerate(path):
-        tag, _, names = element.partition(" ")
-        for key in {tag, *(p.lower() for p in _piece.findall(names))} | ({"leaf:" + tag} if depth == len(path) - 1 else set()):
-            h = crc32(key.encode())
-            v[h % PATH] += 1 if h >> 16 & 1 else -1
-            v[(h >> 8) % PATH] += 1 if h >> 17 & 1 else -1
-    return np.clip(v, -2, 2)
+_OUTSIDE = (np.zeros(PATH, np.float32), "", 0)
 
 
-def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-    """A vector for each block."""
+def vectors(found: list[Block], forms: list[int] | int = WHOLE) -> np.ndarray:
+    """A vector for each block; ``forms`` says, for each or for all, which forms count as part of its path."""
     n = len(found)
     v = np.zeros((n, PATH + WORDS + MEASURES), np.float32)
     if not n:
@@ -139,31 +261,22 @@ def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     v[:, PATH : PATH + WORDS] = np.bincount(words.doc * WORDS + (h % U64(WORDS)).astype(np.int64), sign, n * WORDS).reshape(n, WORDS)
     count = np.bincount(words.doc, minlength=n)
     v[:, PATH : PATH + WORDS] /= np.sqrt(1 + count)[:, None]
-    v[:, :PATH] = [_path_vector(p) for p, _, _ in found]
+    paths = [e.sums()[f] if e else _OUTSIDE for (e, _, _), f in zip(found, forms if isinstance(forms, list) else [forms] * n, strict=True)]
+    v[:, :PATH] = [np.clip(marks + _mark("leaf:" + tag), -2, 2) if tag else marks for marks, tag, _ in paths]
     stops = np.array([t.count(".") + t.count(",") for _, t, _ in found])
-    v[:, PATH + WORDS :] = np.stack([np.log1p(count) / 4, [share for _, _, share in found], np.log1p(stops) / 2, [t[-1] in ".!?\"" for _, t, _ in found], np.arange(n) / n, [min(len(p), 12) / 12 for p, _, _ in found]], 1)
+    v[:, PATH + WORDS :] = np.stack([np.log1p(count) / 4, [share for _, _, share in found], np.log1p(stops) / 2, [t[-1] in ".!?\"" for _, t, _ in found], np.arange(n) / n, [min(length, 12) / 12 for _, _, length in paths]], 1)
     return v
 
 
-def never(path: tuple[str, ...]) -> bool:
-    tags = [e.partition(" ")[0] for e in path]
-    return any(t in NEVER for t in tags) or "header" in tags and not ({"article", "main"} & set(tags[: tags.index("header")]))
-
-
-Block = tuple[tuple[str, ...], str, float]
-
-
-def without_page_forms(found: list[Block]) -> list[Block]:
-    """The blocks of a page without the forms in their paths that say nothing about them: those around an article, and where most of a page stands in forms, all."""
-    tags = [[e.partition(" ")[0] for e in path] for path, _, _ in found]
-    formed = sum(len(text) for (_, text, _), own in zip(found, tags, strict=True) if "form" in own)
-    every = 2 * formed > sum(len(text) for _, text, _ in found)
+def never(element: Element | None, forms: int = WHOLE) -> bool:
+    """Whether a block lies in an element that never holds article text; of forms those count that ``forms`` names."""
+    return bool(element) and (element.never or (element.formed, element.form_since, False)[forms])
 
-    def shown(path: tuple[str, ...], own: list[str]) -> tuple[str, ...]:
-        inside = max((k for k, t in enumerate(own) if t in ("article", "main")), default=-1)
-        return tuple(e for k, (e, t) in enumerate(zip(path, own, strict=True)) if t != "form" or not (every or k < inside))
 
-    return [(shown(path, own), text, share) if "form" in own else (path, text, share) for (path, text, share), own in zip(found, tags, strict=True)]
+def page_forms(found: list[Block]) -> int:
+    """Which forms of a page say something about its blocks: none where most of the page stands in forms, else those around no article."""
+    formed = sum(len(text) for e, text, _ in found if e and e.formed)
+    return NO_FORMS if 2 * formed > sum(len(text) for _, text, _ in found) else SOME_FORMS
 
 
 #: Names of containers in the pages made for training.
@@ -230,10 +343,9 @@ def made_page(words: list[str], rng: np.random.Generator) -> tuple[str, list[boo
 _boiler = re.compile(r"(?i)\b(ads?|advert\w*|banner|side-?bar|menu|nav|cookies?|notice|promo|related|share|social|breadcrumbs?|newsletter|comments?|footer|copyright)\b")
 
 
-def semantic_label(path: tuple[str, ...]) -> bool:
+def semantic_label(element: Element | None) -> bool:
     """Whether a block lies in an article or main element and in nothing named after boilerplate."""
-    inside = [k for k, e in enumerate(path) if e.partition(" ")[0] in ("article", "main")]
-    return bool(inside) and not never(path) and not any(_boiler.search(e.partition(" ")[2]) for e in path)
+    return bool(element) and element.main and not never(element) and not any(_boiler.search(e.partition(" ")[2]) for e in element.path())
 
 
 def train(pages: DataFrame, sampled: int = TRAIN_PAGES, made: int = MADE_PAGES, epochs: int = 8, seed: int = 9) -> Tagger:
@@ -250,7 +362,7 @@ def train(pages: DataFrame, sampled: int = TRAIN_PAGES, made: int = MADE_PAGES,
     rng, sequences = np.random.default_rng(seed), []
     for row in rows:
         found = blocks(row["html"])
-        sequences.append((vectors(found), [semantic_label(p) for p, _, _ in found]))
+        sequences.append((vectors(found), [semantic_label(e) for e, _, _ in found]))
     words = sorted({w for row in rows for _, t, _ in blocks(row["html"]) for w in t.split()[:200]})[:20_000] or ["word"]
     for _ in range(made):
         page, marks = made_page(words, rng)
@@ -271,8 +383,9 @@ def train(pages: DataFrame, sampled: int = TRAIN_PAGES, made: int = MADE_PAGES,
 
 def main_texts(labeller: Tagger, pages: list[str]) -> list[str]:
     """The main text of each page; pages of like length are labelled side by side."""
-    found = [without_page_forms(blocks(p)) for p in pages]
-    flat = vectors([b for page in found for b in page])
+    found = [blocks(p) for p in pages]
+    forms = [page_forms(page) for page in found]
+    flat = vectors([b for page in found for b in page], [f for page, f in zip(found, forms, strict=True) for _ in page])
     ends = np.concatenate([[0], np.cumsum([len(b) for b in found])])
     out = [""] * len(pages)
     order = sorted((k for k in range(len(pages)) if found[k]), key=lambda k: len(found[k]))
@@ -289,7 +402,7 @@ def main_texts(labeller: Tagger, pages: list[str]) -> list[str]:
             x[:n, k], mask[:n, k] = flat[ends[page] : ends[page + 1]], True
         path = labeller.decode(x, mask)
         for k, page in enumerate(group):
-            out[page] = "\n".join(t for (p, t, _), tag in zip(found[page], path[:, k], strict=False) if tag and not never(p))
+            out[page] = "\n".join(t for (e, t, _), tag in zip(found[page], path[:, k], strict=False) if tag and not never(e, forms[page]))
         at = stop
     return out
 
@@ -299,7 +412,9 @@ def extract(pages: DataFrame, labeller: Tagger | None = None) -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one
     space, blocks are joined in page order by a line feed. A null or empty page has
-    an empty text; repeated rows each get theirs.
+    an empty text; repeated rows each get theirs. Long, deep and broken pages are
+    read whole, in time and memory proportional to them: what no > ends is text, an
+    element that isn't closed ends with the page.
     """
     labeller = labeller or train(pages)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,7 +253,13 @@ def tagged_spans(tagger: Tagger, texts: list[str], gated: bool = True) -> list[l
 
 def reconcile(text: str, base: list[tuple[int, int, int]], tagged: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
     """Base spans, and tagged ones that are possible and touch neither a base span nor a better tagged one; by kind, then start."""
-    taken = [(a, b) for _, a, b in base]
+    starts, ends = [], []  # of what is taken: apart from each other and in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     spans = list(base)
     for kind, a, b, _ in sorted(tagged, key=lambda s: (-s[3], s[1])):
         b = min(b, len(text))
@@ -261,8 +268,10 @@ def reconcile(text: str, base: list[tuple[int, int, int]], tagged: list[tuple[in
         while b > a and text[b - 1] in " .,\n":
             b -= 1
         whole = not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())
-        if a < b and whole and possible(kind, text[a:b]) and not any(a < y and x < b for x, y in taken):
-            taken.append((a, b))
+        at = bisect_left(starts, b)
+        if a < b and whole and possible(kind, text[a:b]) and not (at and a < ends[at - 1]):
+            starts.insert(at, a)
+            ends.insert(at, b)
             spans.append((kind, a, b))
     return sorted(spans)
 

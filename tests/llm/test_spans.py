@@ -169,3 +169,47 @@ def test_spans_longer_than_a_window_are_whole(kind, length, first):
     gated, every = (pii.tagged_spans(UpperTagger(kind), list(texts), g) for g in (True, False))
     kept = [[pii.reconcile(t, [], s) for t, s in zip(texts, found, strict=True)] for found in (gated, every)]
     assert kept[0] == kept[1] == [[(kind, a, b)] for a, b in zip(starts, ends, strict=True)]
+
+
+def test_many_spans_are_reconciled_in_proportion():
+    import time
+
+    from lattica.llm.pii import KINDS, reconcile
+
+    def took(n):
+        text = "dead:beef::cafe " * n
+        step = len("dead:beef::cafe ")
+        base = [(KINDS.index("ip"), k * step, k * step + step - 1) for k in range(0, n, 2)]
+        tagged = [(KINDS.index("ip"), k * step, k * step + step - 1, 1.0) for k in range(n)]
+        best = 9e9
+        for _ in range(3):
+            start = time.process_time()
+            spans = reconcile(text, base, tagged)
+            best = min(best, time.process_time() - start)
+        assert len(spans) == n  # those between base spans come in, those on them don't
+        return best
+
+    small, large = took(4000), took(16000)
+    assert large < 8 * small + 0.05
+
+
+def test_reconciled_spans_touch_nothing():
+    import random
+
+    from lattica.llm.pii import KINDS, possible, reconcile
+
+    rng, text = random.Random(2), "dead:beef::cafe ::1 " * 12
+    for _ in range(200):
+        some = lambda n: sorted({(KINDS.index("ip"), a, min(len(text), a + rng.randint(1, 40))) for a in (rng.randrange(len(text)) for _ in range(n))})  # noqa: E731, B023
+        base, tagged = some(4), [(*s, rng.random()) for s in some(8)]
+        taken, want = [(a, b) for _, a, b in base], list(base)
+        for kind, a, b, _ in sorted(tagged, key=lambda s: (-s[3], s[1])):
+            while a < b and text[a] in " (\n":
+                a += 1
+            while b > a and text[b - 1] in " .,\n":
+                b -= 1
+            whole = not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())
+            if a < b and whole and possible(kind, text[a:b]) and not any(a < y and x < b for x, y in taken):
+                taken.append((a, b))
+                want.append((kind, a, b))
+        assert reconcile(text, base, tagged) == sorted(want)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import decontam, html_extract, near_dedup, pieces, quality, token_counts, toxicity, url_filter
 from lattica.llm.queries import piece_model
@@ -341,3 +342,48 @@ def test_trees_keep_pairs_at_the_threshold_together():
             shared = rng.binomial(shared + rng.binomial(shared, 0.25), 0.8)
         met |= shared > 0
     assert (~met).mean() < 0.002
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<a '", "<svg>x", "<!x ", "<b></div>", "<p>x<b>", "<a \"'", "<div></div><b>", "</p>"])
+def test_deep_and_broken_pages_take_time_in_proportion(piece):
+    import time
+
+    def took(n):
+        best = 9e9
+        for _ in range(3):
+            start = time.process_time()
+            found = html_extract.blocks(piece * n)
+            html_extract.vectors(found, html_extract.page_forms(found))
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert took(16_000) < 8 * took(4_000) + 0.05
+
+
+def test_blocks_of_broken_pages():
+    cut = lambda page: [(e.path() if e else (), t) for e, t, _ in html_extract.blocks(page)]
+    assert cut("a <b 'x> c") == [((), "a <b 'x> c")]
+    assert cut("a < b <! c") == [((), "a < b <! c")]
+    assert cut("<p>a<p>b<div class=k>c</p>d") == [(("p",), "a"), (("p",), "b"), (("div k",), "c"), (("div k",), "d")]
+    assert cut("<svg>x<p>y") == [(("p",), "y")] or cut("<svg>x<p>y") == [((), "x"), (("p",), "y")]
+    assert cut("<script>x<p>y") == []
+    assert cut("<!-- a <p>b") == []
+
+
+def test_forms_around_articles():
+    page = "<form><article><p>a</p><form><p>b</p></form></article><p>c</p></form>" + "<p>d e f g h i j k l</p>"
+    found = html_extract.blocks(page)
+    forms = html_extract.page_forms(found)
+    assert [html_extract.never(e, forms) for e, _, _ in found] == [False, True, True, False]
+    whole = html_extract.blocks("<form><p>most of the page</p></form><p>d</p>")
+    assert not any(html_extract.never(e, html_extract.page_forms(whole)) for e, _, _ in whole)
+
+
+def test_entropy_counts_the_whole_host(spark):
+    import math
+
+    hosts = ["", "a", "abab", "x" * 253 + "abcdefgh", "x" * 300, "é.com"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter._entropy(F.col("host")).alias("e")).collect()
+    for r in rows:
+        want = -sum(n / len(r.host) * math.log2(n / len(r.host)) for n in Counter(r.host).values())
+        assert abs(r.e - want) < 1e-9
