@@ -7,6 +7,7 @@ ones cut their lineage into the checkpoint folder.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,12 @@ def node_features(edges: DataFrame, columns: list[str]) -> DataFrame:
     return parts[0].join(parts[1], "node", "full").fillna(0)
 
 
-def k_hop(seeds: DataFrame, incident: DataFrame, hops: int, expandable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def meeting(incident: DataFrame | Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """How a frontier (with node_id) meets its triples: a join with a table of them, or what a function of the frontier gives."""
+    return incident if callable(incident) else lambda frontier: frontier.join(incident.select("node_id", "triple_id", "other_id", *(["rank"] if "rank" in incident.columns else [])), "node_id")
+
+
+def k_hop(seeds: DataFrame, incident: DataFrame | Callable[[DataFrame], DataFrame], hops: int, expandable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first expansion from seeds (qid, node_id): (nodes with depth, triples by qid).
 
     ``incident`` has node_id, triple_id and other_id, capped as wanted. Nodes
@@ -41,7 +47,7 @@ def k_hop(seeds: DataFrame, incident: DataFrame, hops: int, expandable: DataFram
     frontier, found = seen, None
     for hop in range(1, hops + 1):
         start = frontier.join(expandable, "node_id", "left_semi") if expandable is not None else frontier
-        step = start.select("qid", "node_id").join(incident.select("node_id", "triple_id", "other_id"), "node_id")
+        step = meeting(incident)(start.select("qid", "node_id"))
         triples = step.select("qid", "triple_id")
         found = triples if found is None else found.union(triples)
         new = step.select("qid", F.col("other_id").alias("node_id")).distinct().join(seen.select("qid", "node_id"), ["qid", "node_id"], "left_anti")

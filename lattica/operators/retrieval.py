@@ -6,9 +6,12 @@ work is spread over all of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.graph import meeting
 from lattica.operators.windows import numbered
 from lattica.session import cut
 
@@ -19,7 +22,7 @@ def incident_triples(nodes: DataFrame, triples: DataFrame) -> DataFrame:
     return at("subject_id").union(at("object_id")).distinct()
 
 
-def expand_budgeted(seeds: DataFrame, incident: DataFrame, hops: int, max_triples: int, expandable: DataFrame | None = None) -> DataFrame:
+def expand_budgeted(seeds: DataFrame, incident: DataFrame | Callable[[DataFrame], DataFrame], hops: int, max_triples: int, expandable: DataFrame | None = None) -> DataFrame:
     """qid, seed, triple_id and n (from 1): triples found breadth first from each seed (qid, seed), ``max_triples`` at most.
 
     Nodes are expanded in the order in which they were found, their triples by
@@ -32,7 +35,7 @@ def expand_budgeted(seeds: DataFrame, incident: DataFrame, hops: int, max_triple
     frontier, found = seen, None
     for hop in range(1, hops + 1):
         start = frontier.join(expandable.select("node_id"), "node_id", "left_semi") if expandable is not None else frontier
-        step = start.join(incident.select("node_id", "triple_id", "other_id", "rank"), "node_id")
+        step = meeting(incident)(start)
         first = step.groupBy(*key, "triple_id").agg(F.min(F.struct("pos", "rank", "other_id")).alias("at"))
         had = F.lit(0)
         if found is not None:
