@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text
+from lattica.functions.vectors import hash_embedder
 from lattica.operators import metrics
 from lattica.plans import sql
 from lattica.plans.registry import query
+from lattica.sources import responses
 from lattica.sources.files import not_done, parquet_preview
 from lattica.sources.tables import table
 
@@ -107,6 +109,29 @@ def rouge_l(spark: Spark, sf_dir: str) -> DataFrame:
     return a.select("conv_id", "turn", F.round(metrics.rouge_n("p", "g", 1), 6).alias("rouge1"), F.round(metrics.rouge_n("p", "g", 2), 6).alias("rouge2"), F.round(metrics.rouge_l(metrics.words("p"), metrics.words("g")), 6).alias("rouge_l"))
 
 
+@query("f9_rouge_stemmed")
+def rouge_stemmed(spark: Spark, sf_dir: str) -> DataFrame:
+    """ROUGE over stems."""
+    a = _answers(spark, sf_dir).groupBy("conv_id", "turn").agg(F.min("p").alias("p"), F.min("g").alias("g"))
+    return metrics.rouge_stemmed(a, ["conv_id", "turn"], "p", "g")
+
+
+@query("f10_faithfulness")
+def faithfulness(spark: Spark, sf_dir: str) -> DataFrame:
+    """Cosine of the embeddings of answer and reference, here of hashed words."""
+    found = metrics.embedding_faithfulness(_answers(spark, sf_dir), "p", "g", hash_embedder(64))
+    return found.select("conv_id", "turn", F.round("faithfulness", 5).alias("faithfulness"))
+
+
+@query("p12_mended_responses")
+def mended_responses(spark: Spark, sf_dir: str) -> DataFrame:
+    """The events' JSON as a model would give it, fenced or cut off by length; what is read of it in how many attempts, and dead letters."""
+    props = F.coalesce("props", F.lit(""))
+    said = F.when(F.length(props) % 3 == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(F.length(props) % 3 == 1, F.substring(props, F.lit(1), F.length(props) - 2)).otherwise(props)
+    good, dead = responses.read_responses(table(spark, sf_dir, "events").select("event_id", said.alias("said")), "said")
+    return good.select("event_id", "attempts", F.to_json("parsed").alias("json"), F.lit(None).cast("string").alias("why")).union(dead.select("event_id", "attempts", F.lit(None).cast("string"), "why"))
+
+
 @query("q32_passage_recall", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
   s AS (SELECT q.vec_id AS qid, v.vec_id, v.label = q.label AS same, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s),
   g AS (SELECT qid, count(*) FILTER (same) AS gold, count(*) FILTER (same AND rank <= 10) AS found FROM r GROUP BY 1) SELECT qid, round(found / gold, 6) AS recall, (found > 0)::INT AS hit, (found = gold)::INT AS all_hit FROM g""")
