@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.columns import needed
 from lattica.llm.textscan import NOT_ALNUM, Words, as_batches, map_arrow, slices, text_bytes
-from lattica.session import cut
+from lattica.session import cut, saved
 
 #: Words of items that one automaton takes, and of one piece of an item.
 SHARD_WORDS, PIECE_WORDS = 200_000, 10_000
@@ -198,14 +198,13 @@ def _hits(texts: DataFrame, automaton: ItemAutomaton) -> DataFrame:
     return map_arrow(texts, run, f"{kept}, n_words long, begins array<long>, ends array<long>, items array<string>")
 
 
-def _automata(benchmark: DataFrame, window: int, shard_words: int) -> Iterator[ItemAutomaton]:
-    """Automata of all items, as few as their words allow; one at a time is built."""
+def _automata(benchmark: DataFrame, window: int, shard_words: int) -> tuple[int, Iterator[ItemAutomaton]]:
+    """How many automata hold all items, as few as their words allow, and one after another of them: each is built when it is asked for."""
     pieces = _pieces(needed(benchmark, item_id="string", text="string"), window)
     total = pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_words))
-    for k in range(shards):
-        mine = pieces if shards == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)) == k)
-        yield ItemAutomaton(_items(mine), window)
+    mine = lambda k: pieces if shards == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)) == k)
+    return shards, (ItemAutomaton(_items(mine(k)), window) for k in range(shards))
 
 
 def _carrying(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
@@ -222,14 +221,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     """
     texts = needed(docs, doc_id="long", text="string") if not carry else _carrying(docs, carry)
     out = ["doc_id", "n_words", "begins", "ends", "items", *["carried"] * bool(carry)]
-    automata = list(_automata(benchmark, window, shard_words))
-    if len(automata) == 1:
-        return _hits(texts, automata[0]).select(*out)
+    n, automata = _automata(benchmark, window, shard_words)
+    if n == 1:
+        return _hits(texts, next(automata)).select(*out)
     # every pass has to know a row by the same key
     keyed = cut(texts.withColumn("row_key", F.monotonically_increasing_id()))
     passes = None
     for automaton in automata:
-        part = _hits(keyed.select("row_key", "text"), automaton).drop("text")
+        # written before the next automaton is built, so that the driver holds one at a time
+        part = saved(_hits(keyed.select("row_key", "text"), automaton).drop("text"), "hits")
         passes = part if passes is None else passes.union(part)
     together = passes.groupBy("row_key", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "ends")))).alias("runs"),
@@ -294,9 +294,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_ru
         columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names[:-1]]
         return pa.RecordBatch.from_arrays([*columns, pa.array(n_cut, pa.int64())], names=names).filter(pa.array(stays, pa.bool_()))
 
-    automata = list(_automata(benchmark, window, shard_words))
-    if len(automata) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(automata[0])
+    n, automata = _automata(benchmark, window, shard_words)
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(automata))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -19,42 +19,49 @@ def piece_model() -> str:
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents: base patterns, and what the tagger adds."""
     from lattica.llm.pii import digest, find_personal_data
 
     return digest(find_personal_data(_table(spark, sf_dir, "documents")))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates over all documents: four-word shingles, a similarity of 0.8 or more."""
     from lattica.llm.near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document is kept by repetition, length and distance from its language."""
     from lattica.llm.quality import judge
 
     return judge(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op4_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces with merge-dropout, and whether they decode to it."""
     from lattica.llm.pieces import encode
 
     return encode(_table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document, and whether it is contaminated."""
     from lattica.llm.decontam import find_contamination, judge
 
     return judge(find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of pieces of every document."""
     from lattica.llm.token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), piece_model())
 
 
 def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules, else by boosted trees."""
     from lattica.llm.url_filter import judge, rule_labels, train
 
     pages = _table(spark, sf_dir, "pages")
@@ -62,12 +69,14 @@ def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns, and weak parts that stand together."""
     from lattica.llm.secrets import digest, find_secrets
 
     return digest(find_secrets(_table(spark, sf_dir, "documents")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document."""
     from lattica.llm.toxicity import score_toxicity, train
 
     docs = _table(spark, sf_dir, "documents")
@@ -75,6 +84,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     from lattica.llm.html_extract import extract
 
     return extract(_table(spark, sf_dir, "pages"))
