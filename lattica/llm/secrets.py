@@ -8,7 +8,8 @@ buckets of REACH code points that they cover, and joined with the parts that
 cover a bucket of their text when widened by REACH on both sides; parts within
 REACH of each other share a bucket, however long they are. A weak secret is
 reported when an identifier or an endpoint lies in its scope (a paragraph) within
-REACH, a weak identifier when a secret does.
+REACH, a weak identifier when a secret does. A secret inside an endpoint, as a value
+of its query or the password of its address, has the endpoint as its partner.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ LEAST_VALUE = 8
 IDENTIFIER = f"(?:{'|'.join(_either_case(w) for w in ('client', 'access', 'account', 'user', 'key'))})[_-]?(?:{_either_case('id')}|{_either_case('name')}){_IS}[A-Za-z0-9@._-]{{4,}}"
 ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x20\x09-\x0D"'<>]+|(?:[Hh]ost|[Ss]erver|[Ee]ndpoint)\x20*[:=]\x20*[^\x20\x09-\x0D]+"""
 SECRET = "(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+_-]{20,64}(?![A-Za-z0-9/+=_-])"
+#: Weak secrets inside an endpoint, whose partner it is: values of a query, and the password before an address.
+IN_QUERY = r"[?&;][A-Za-z0-9_.-]{1,40}=[A-Za-z0-9/+_-]{20,64}(?![A-Za-z0-9/+=_-])"
+IN_ADDRESS = r"""//[^\x20\x09-\x0D/@:"'<>]{1,64}:[^\x20\x09-\x0D/@"'<>]{8,64}@"""
 REACH = 300
 KINDS = (*BASE, "linked_id", "linked_secret")
 
@@ -84,7 +88,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     # a weak secret needs an identifier or an endpoint, so texts without any are not searched for it
     partner = (F.size("ids") > 0) | (F.size("ends") > 0) | F.exists("base", lambda b: b["kind"] == 1)
     mixed = F.filter(_matches(F.col("text"), SECRET), lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]"))
-    df = df.withColumn("weak", F.when(partner, _apart(_as_kind(mixed, 4), F.concat("base", "ids", "ends"))).otherwise(F.array().cast(_SPANS)))
+    none = F.array().cast(_SPANS)
+    df = df.withColumn("weak", F.when(partner, _apart(_as_kind(mixed, 4), F.concat("base", "ids", "ends"))).otherwise(none))
+    # what lies in an endpoint: the value behind the last = of a parameter, and what stands between : and @
+    value = lambda m, size, before: F.struct((m["end"] - size - before).alias("start"), (m["end"] - before).alias("end"), m["match"].alias("match"))
+    told = F.transform(_matches(F.col("text"), IN_QUERY), lambda m: value(m, F.length(F.regexp_extract(m["match"], "=([^=]+)$", 1)), 0))
+    told = F.filter(told, lambda m: m["match"].rlike("=(?=[^=]*[0-9])(?=[^=]*[A-Za-z])[^=]*$"))
+    passwords = F.transform(_matches(F.col("text"), IN_ADDRESS), lambda m: value(m, F.length(F.regexp_extract(m["match"], "^//[^:]*:(.*)@$", 1)), 1))
+    inner = _apart(_as_kind(F.concat(told, passwords), 4), F.concat("base", "ids"))
+    df = df.withColumn("weak", F.concat("weak", F.when(F.contains("text", F.lit("://")), inner).otherwise(none)))
     # the paragraph of each part, from where paragraphs begin
     parts = F.when((F.size("weak") > 0) | (F.size("ids") > 0), F.concat("base", "ids", "ends", "weak")).otherwise(F.array().cast(_SPANS))
     breaks = F.transform(_matches(F.col("text"), r"\n[\x20\t]*\n"), lambda m: m["start"])

@@ -213,3 +213,24 @@ def test_reconciled_spans_touch_nothing():
                 taken.append((a, b))
                 want.append((kind, a, b))
         assert reconcile(text, base, tagged) == sorted(want)
+
+
+def test_secrets_inside_endpoints(spark):
+    key = "Zk39dQm20sLp88xTqW41vB7"
+    texts = [
+        f"endpoint https://api.host.net/v1?key={key} client_id=myclient77",
+        f"see https://h.example/a?x=1&sig={key}&y={key}.",
+        "postgres://joe:pa55word!@db.example:5432/x",
+        f"no address ?key={key}",
+        "https://h.example/?key=onlyletterswithoutdigits",
+        f"https://h.example/?token={key}",
+        "https://h.example/?key=short1",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    said = {i: [(secrets.KINDS[s.kind], t[s.start : s.end]) for s in rows[i].linked] for i, t in enumerate(texts)}
+    assert said[0] == [("linked_secret", key), ("linked_id", "client_id=myclient77")]
+    assert said[1] == [("linked_secret", key)] * 2
+    assert said[2] == [("linked_secret", "pa55word!")]
+    assert not any(said[i] for i in (3, 4, 6))
+    assert said[5] == [] and [texts[5][s.start : s.end] for s in rows[5].base] == [f"token={key}"]
