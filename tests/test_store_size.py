@@ -5,6 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from lattica.functions import text
 from lattica.operators import store
 from lattica.session import ensure_checkpoint_dir
 
@@ -41,3 +42,25 @@ def test_build_is_small_and_in_order(spark):
     assert {(r.kv_offset, r.key_text, r.value_text) for r in got["kv_records"].collect()} == {(n, k, v) for (_, v), (n, k) in kvs.items()}
     assert got["triple_kvs"].agg(F.count_distinct("triple_id"), F.count_distinct("kv_offset")).first() == (len(triples), len(kvs))
     assert built.triples.where("length(content_key) != 64").isEmpty() and built.kv_records.where("length(content_key) != 64").isEmpty()
+
+
+def test_nodes_and_triples_keep_no_hashes(spark):
+    left = lambda: sum(f.stat().st_size for f in Path(ensure_checkpoint_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    built = store.Store(spark.createDataFrame(rows(), SCHEMA).repartition(7))
+    parsed, before = built.laid.count(), left()
+    assert built.nodes.count() and built.triples.count()
+    # a hash for each triple alone would be 32 bytes
+    assert (left() - before) / parsed < 32
+    # aliases come from the forms that the nodes were made of, not from the triples again
+    plan = store.aliases(built.forms, built.nodes)
+    assert not any("/laid-" in f for f in plan.inputFiles()) and any("/forms-" in f for f in plan.inputFiles())
+
+
+def test_plain_texts_take_the_short_way_to_the_same_keys(spark):
+    odd = ["", " ", "a", " a", "a  b", "a\n", "a\u00a0b", "A#1", "#", "((", "A (b) c", "(b)", "Kelvin \u212a", "\u0130x", "Stra\u00dfe", "a\u200bb", "x)", "-", "A-B c.", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    # a mark that is no printable ASCII, taken off again, sends every text the long way
+    marked = F.concat(F.coalesce("t", F.lit("")), F.lit("\u200b"))
+    got = df.select("t", text.normalize_text("t"), text.canonical_entity_key("t"), text.casefold("t"), text.normalize_text(marked), text.canonical_entity_key(marked)).collect()
+    for t, norm, key, low, long_norm, long_key in got:
+        assert (norm, key) == (long_norm, long_key) and low == (t or "").casefold(), t
