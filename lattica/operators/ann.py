@@ -11,11 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.vectors import dot, unit
-from lattica.operators.search import top_k
+from lattica.operators.search import nearest, top_k
 
 #: Bound of the vectors that the centroids are fitted on, picked by hash of the id, and of the centroids.
 SAMPLE, MOST_LISTS = 20_000, 1024
@@ -74,10 +73,7 @@ class Index:
         if k <= 0 or not len(self.at):
             return top_k(queries, self.rows.where("false").select("node_id", "embedding"), 0)
         asked = _nearest(queries.select("qid", "vector"), "vector", self.at, min(probes, len(self.at)), "_l")
-        met = asked.select("qid", unit(F.col("vector")).alias("q"), F.explode("_l").alias("list")).join(self.rows, "list")
-        scored = met.select("qid", "node_id", dot(F.col("q"), unit(F.col("embedding"))).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "node_id"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        return nearest(asked if probes < len(self.at) else asked.drop("_l"), self.rows, k)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, backend: str = "auto", probes: int = 8, index: Index | None = None) -> DataFrame:
