@@ -64,3 +64,25 @@ def test_plain_texts_take_the_short_way_to_the_same_keys(spark):
     got = df.select("t", text.normalize_text("t"), text.canonical_entity_key("t"), text.casefold("t"), text.normalize_text(marked), text.canonical_entity_key(marked)).collect()
     for t, norm, key, low, long_norm, long_key in got:
         assert (norm, key) == (long_norm, long_key) and low == (t or "").casefold(), t
+
+
+def test_sources_come_by_place_and_pairs_of_both_directions_meet(spark):
+    # a forward pair that equals a backward one, copies in other letters and of other samples, and the same source twice
+    odd = [("a", "s1", 5, 0, "RELATION", "x y", "Owns", "b"), ("a", "s2", 1, 0, "ATTRIBUTE", "The entity that owns B", "is", "x y"), ("a", "s1", 5, 1, "RELATION", "X Y", "owns", "b"), ("a", "s1", 6, 0, "RELATION", "x y", "Owns", "b"), ("b", "s1", 6, 0, "RELATION", "x", "y Owns", "b"), ("b", "s3", 7, 2, "ATTRIBUTE", "The", "is", "that")]
+    raw = [(*r, "t") for r in odd] + [r for r in rows()[:3000] if r[0] == "a" or r[2] > 10]
+    built = store.Store(spark.createDataFrame(raw, SCHEMA).repartition(5))
+    kvs, triples, sources, links, origins = {}, {}, set(), {}, set()
+    for d, s, i, t, kind, a, p, b, _ in sorted(raw, key=lambda r: (r[0], r[2], r[3])):
+        a, b = " ".join(a.split()), " ".join(b.split())
+        n = triples.setdefault((kind, a.lower(), p.lower(), b.lower()), len(triples) + 1)
+        origins.add((n, d, s, t))
+        for side, (k, v) in enumerate([(f"{a} {p}", b), (f"the entity that {p} {b} is", a)][: 2 if kind == "RELATION" else 1]):
+            kv = kvs.setdefault((k.lower(), v), len(kvs))
+            sources.add((kv, d, s, t, side))
+            links[n, kv] = min(side, links.get((n, kv), side))
+    got = sorted(map(tuple, built.kv_sources.collect()))
+    assert got == sorted(sources)
+    assert {(r.triple_id, r.kv_offset): r.ordinal for r in built.triple_kvs.collect()} == links
+    assert sorted(map(tuple, built.triple_sources.select("triple_id", "dataset_id", "sample_id", "triple_index").collect())) == sorted(origins)
+    # no hash of a pair is computed for its sources, let alone exchanged
+    assert "sha2" not in built.kv_sources._jdf.queryExecution().toString()
