@@ -1,13 +1,14 @@
 """What a build of a store leaves on disk, and its ids against plain Python."""
 
 import random
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from lattica.functions import text
 from lattica.operators import store
-from lattica.session import ensure_checkpoint_dir
+from lattica.session import ensure_checkpoint_dir, saved
 
 N = 20_000
 SCHEMA = "dataset_id string, sample_id string, source_index long, triple_index int, triple_type string, subject string, predicate string, object string, title string"
@@ -86,3 +87,17 @@ def test_sources_come_by_place_and_pairs_of_both_directions_meet(spark):
     assert sorted(map(tuple, built.triple_sources.select("triple_id", "dataset_id", "sample_id", "triple_index").collect())) == sorted(origins)
     # no hash of a pair is computed for its sources, let alone exchanged
     assert "sha2" not in built.kv_sources._jdf.queryExecution().toString()
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    dirs = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    left = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    before = left()
+    df = spark.range(100_000).repartition(3).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))
+    table = saved(df, "counts")
+    for _ in range(50):
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
