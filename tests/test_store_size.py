@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import text
 from lattica.operators import store
-from lattica.session import ensure_checkpoint_dir, saved
+from lattica.session import ensure_checkpoint_dir, saved, saved_in_slices
 
 N = 20_000
 SCHEMA = "dataset_id string, sample_id string, source_index long, triple_index int, triple_type string, subject string, predicate string, object string, title string"
@@ -101,3 +101,22 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
         time.sleep(0.1)
     assert not left() - before and table.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_large_builds_meet_their_nodes_in_slices(spark, monkeypatch):
+    raw = spark.createDataFrame(rows(), SCHEMA).repartition(7)
+    whole, cut = store.Store(raw), store.Store(raw)
+    expected = sorted(map(tuple, whole.triples.collect()))
+    sizes: dict[str, list[int]] = {}
+
+    def counted(part, slices, name):
+        sizes[name] = [part(k).count() for k in range(slices)]
+        return saved_in_slices(part, slices, name)
+
+    monkeypatch.setattr(store, "SLICED_FROM", 1_000)
+    monkeypatch.setattr(store, "saved_in_slices", counted)
+    assert sorted(map(tuple, cut.triples.collect())) == expected
+    # no slice holds half of the triples, and together they hold each once
+    assert sum(sizes["met"]) == len(expected) and max(sizes["met"]) < len(expected) / 2 and len(sizes["places"]) > 1
+    # what lay between the two steps is gone
+    assert not list(Path(ensure_checkpoint_dir(spark).removeprefix("file:")).glob("met-*"))
