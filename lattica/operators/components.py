@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import cut
+from lattica.session import discard, saved
 
 
 def _by_first(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -21,21 +21,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     isn't in the result. A round has two exchanges: the large star hangs the larger
     neighbours of a node on the smallest node around it, the small star the smaller
     ones; it marks the pairs that moved. The edge list shrinks to one star for each
-    component and is cut into the checkpoint folder each round.
+    component; each star's pairs are written to the checkpoint folder, in place of those
+    they come from, so that one exchange is on disk at a time.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-    e = cut(e.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") > F.col("v"))))
+    e = saved(e.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") > F.col("v"))), "stars")
     for _ in range(max_rounds):
         around, low = _by_first(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         # node u with its smallest neighbour m, or itself: larger neighbours v hang on it, and so does u
         met = around.join(low, "u").withColumn("m", F.least("u", "m"))
         hung = F.array(F.when(F.col("v") > F.col("u"), F.struct(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))), F.when(F.col("m") < F.col("u"), F.struct("u", F.col("m").alias("v"), F.lit(False).alias("moved"))))
-        large = met.select(F.explode(F.array_compact(hung)).alias("x")).select("x.*")
+        large = saved(met.select(F.explode(F.array_compact(hung)).alias("x")).select("x.*"), "stars")
+        discard(e)
         moved = large.repartition("u").groupBy("u", "v").agg(F.max("moved").alias("moved"))
         least = moved.groupBy("u").agg(F.min("v").alias("m"))
         joined = moved.join(least, "u")
         hung = F.array(F.when(F.col("v") > F.col("m"), F.struct(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))), F.when(F.col("v") == F.col("m"), F.struct("u", "v", "moved")), F.when(F.col("v") > F.col("m"), F.struct("u", F.col("m").alias("v"), F.lit(True).alias("moved"))))
-        e = cut(joined.select(F.explode(F.array_compact(hung)).alias("x")).select("x.*"))
+        e = saved(joined.select(F.explode(F.array_compact(hung)).alias("x")).select("x.*"), "stars")
+        discard(large)
         if e.where("moved").isEmpty():
             break
     else:
