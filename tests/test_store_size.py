@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions import text
 from lattica.operators import store
-from lattica.session import ensure_checkpoint_dir, saved, saved_in_slices
+from lattica.operators.graph import maybe_among
+from lattica.session import cut, ensure_checkpoint_dir, saved, saved_in_slices
 
 N = 20_000
 SCHEMA = "dataset_id string, sample_id string, source_index long, triple_index int, triple_type string, subject string, predicate string, object string, title string"
@@ -105,7 +106,7 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
 
 def test_large_builds_meet_their_nodes_in_slices(spark, monkeypatch):
     raw = spark.createDataFrame(rows(), SCHEMA).repartition(7)
-    whole, cut = store.Store(raw), store.Store(raw)
+    whole, large = store.Store(raw), store.Store(raw)
     expected = sorted(map(tuple, whole.triples.collect()))
     sizes: dict[str, list[int]] = {}
 
@@ -115,8 +116,29 @@ def test_large_builds_meet_their_nodes_in_slices(spark, monkeypatch):
 
     monkeypatch.setattr(store, "SLICED_FROM", 1_000)
     monkeypatch.setattr(store, "saved_in_slices", counted)
-    assert sorted(map(tuple, cut.triples.collect())) == expected
+    assert sorted(map(tuple, large.triples.collect())) == expected
     # no slice holds half of the triples, and together they hold each once
     assert sum(sizes["met"]) == len(expected) and max(sizes["met"]) < len(expected) / 2 and len(sizes["places"]) > 1
     # what lay between the two steps is gone
     assert not list(Path(ensure_checkpoint_dir(spark).removeprefix("file:")).glob("met-*"))
+
+
+def test_shuffle_files_go_at_a_checkpoint(spark):
+    dirs = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    left = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    before = left()
+    table = cut(spark.range(100_000).repartition(3).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(50):
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before and table.count() == 1000
+
+
+def test_only_edges_of_a_frontier_may_move(spark):
+    edges = spark.range(200_000).select((F.col("id") % 50_000).alias("node_id"), F.col("id").alias("triple_id"))
+    frontier = spark.range(0, 50_000, 100).select(F.col("id").alias("node_id"))
+    got = maybe_among(edges, frontier)
+    assert got.columns == edges.columns and got.join(frontier, "node_id").count() == 2_000
+    # eight million bits let few others pass
+    assert got.count() < 2_100
