@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.selection import Board, Budget, Edge, budgeted_select, build_dag, orient, steiner_tree, within_reach, without_cycles
+from lattica.operators.selection import Board, Budget, Edge, budgeted_select, build_dag, orient, pair_costs, steiner_tree, within_reach, without_cycles
 from lattica.operators.windows import numbered
 
 #: How relation phrases are brought to one name, the first that applies; phrases too weak to keep.
@@ -254,17 +254,17 @@ def group_steiner(edges: list[Edge], groups: list[set[int]], most_roots: int = 1
         degree[e.dst] += 1
     first = sorted(min(held, key=lambda g: (len(g), sorted(g))))
     roots = [*first, *sorted(nodes - set(first), key=lambda n: (-degree[n], n))][:most_roots]
-    costs = _costs(edges)
-    cheapest = {}
-    for a, b, c in costs:
-        cheapest[frozenset((a, b))] = min(c, cheapest.get(frozenset((a, b)), np.inf))
-    trees = []
+    cheapest = pair_costs(_costs(edges))
+    nearest = [min(g, key=lambda n: (-degree[n], n)) for g in held]
+    trees, made = [], {}
     for root in roots:
-        goals = [root, *[min(g, key=lambda n: (n != root, -degree[n], n)) for g in held]]
-        tree = steiner_tree(costs, goals)
+        goals = frozenset([root, *[root if root in g else n for g, n in zip(held, nearest, strict=True)]])
+        if goals not in made:
+            made[goals] = steiner_tree(cheapest, list(goals))
+        tree = made[goals]
         covered = {n for p in tree for n in p} | {root}
         if all(g & covered for g in held):
-            trees.append((round(sum(cheapest[frozenset(p)] for p in tree), 9), sorted(map(sorted, tree)), tree))
+            trees.append((round(sum(cheapest[p] for p in tree), 9), sorted(map(sorted, tree)), tree))
     return _edges_of(edges, min(trees)[2]) if trees else set()
 
 
