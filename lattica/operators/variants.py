@@ -210,7 +210,7 @@ def two_way_beam(edges: list[Edge], seeds: int, width: int, hops: int, max_edges
                     options[k] = max(options.get(k, -np.inf), total + float(board.score[k]))
             beam = []
             for k, total in sorted(options.items(), key=lambda x: (-x[1], x[0]))[:width]:
-                closes = board.reached(board.on, board.dst[k : k + 1])[board.src[k]]
+                closes = board.closes(k)
                 if not closes and board.on.sum() < max_edges:
                     board.on[k] = True
                     beam.append((k, total))
@@ -256,11 +256,11 @@ def group_steiner(edges: list[Edge], groups: list[set[int]], most_roots: int = 1
     roots = [*first, *sorted(nodes - set(first), key=lambda n: (-degree[n], n))][:most_roots]
     cheapest = pair_costs(_costs(edges))
     nearest = [min(g, key=lambda n: (-degree[n], n)) for g in held]
-    trees, made = [], {}
+    trees, made, known = [], {}, {}
     for root in roots:
         goals = frozenset([root, *[root if root in g else n for g, n in zip(held, nearest, strict=True)]])
         if goals not in made:
-            made[goals] = steiner_tree(cheapest, list(goals))
+            made[goals] = steiner_tree(cheapest, list(goals), known=known)
         tree = made[goals]
         covered = {n for p in tree for n in p} | {root}
         if all(g & covered for g in held):
@@ -293,7 +293,7 @@ def attach_answers(edges: list[Edge], chosen: set[int], answers: set[int], max_e
         board = Board(edges, [])
         board.on = np.isin(board.eid, np.array(sorted(kept), np.int64))
         for row in np.flatnonzero(board.dst == np.searchsorted(board.names, node)).tolist() if node in board.names else ():
-            if board.reached(board.on, board.dst[row : row + 1])[board.src[row]]:
+            if board.closes(row):
                 continue
             if len(kept) >= max_edges:
                 free = [k for k in kept if by_id[k].dst not in answers]
